@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, linededup, packing, rules, tokencount
+from noticeflow.llm import decontam, jaccard, linededup, packing, rules, tokencount
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -38,12 +38,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), fold=True)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
