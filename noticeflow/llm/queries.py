@@ -46,8 +46,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
