@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, jaccard, linededup, packing, rules, tokencount
+from noticeflow.llm import decontam, jaccard, linededup, packing, repeats, rules, tokencount
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
