@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, jaccard, linededup, packing, repeats, rules, tokencount
+from noticeflow.llm import decontam, jaccard, linededup, packing, repeats, rules, tokencount, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
