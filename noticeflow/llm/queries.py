@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, jaccard, linededup, packing, repeats, rules, tokencount, warc
+from noticeflow.llm import decontam, jaccard, linededup, packing, quality_model, repeats, rules, tokencount, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
