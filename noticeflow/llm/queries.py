@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, jaccard, linededup, packing, quality_model, repeats, rules, tokencount, warc
+from noticeflow.llm import decontam, jaccard, linededup, packing, quality_model, repeats, rules, secrets, tokencount, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_line_dedup, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
