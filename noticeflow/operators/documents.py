@@ -113,3 +113,31 @@ def withhold_conflicts(upstream: DataFrame, attachment: DataFrame, keys: list[st
     differ = F.coalesce(F.col("value") != F.col("upstream_value"), F.lit(False))
     pair = F.when(F.col("field").isin("estimated_amount", "currency"), "budget").otherwise(F.col("field"))
     return both.withColumn("conflict", F.max(differ).over(W.partitionBy(*keys, pair)))
+
+
+def document_bundle(attachments: DataFrame, parses: DataFrame, version: str = "version_id") -> DataFrame:
+    """Trusted, non-blank pages of a version's attachments, one parse each, without repeats, in order."""
+    best = trusted_parses(parses)
+    pages = attachments.join(best, "attachment_id").select(version, "sha256", "parser_kind", F.explode("pages").alias("page"))
+    seen = pages.where(F.trim(F.regexp_replace("page.text", r"(?U)\s+", " ")) != "").select(version, F.struct("sha256", F.col("page.page_number").alias("page_number"), F.col("page.text").alias("text"), "parser_kind").alias("p"))
+    return seen.groupBy(version).agg(F.array_sort(F.collect_set("p")).alias("bundle"))
+
+
+def readiness(versions: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Gaps that keep a version from being compared; ready without any. versions: version_id, documents_complete,
+    extraction_status; attachments: version_id, status."""
+    open_ = attachments.where(~F.col("status").isin("parsed", "unsupported", "parse_failed")).groupBy("version_id").agg(F.count(F.lit(1)).alias("open"))
+    gaps = F.array_compact(F.array(F.when(~F.col("documents_complete"), "documents_incomplete"), F.when(F.col("open") > 0, "attachments_pending"), F.when(~F.coalesce(F.col("extraction_status").isin("done", "dead_lettered"), F.lit(False)), "extraction_missing")))
+    return versions.join(open_, "version_id", "left").select("version_id", gaps.alias("gaps"), (F.size(gaps) == 0).alias("ready"))
+
+
+def validate_claims(claims: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document the grounding issues of its claims: quotes that are not on the page they name, fields
+    claimed with two values, required fields that are missing. claims: doc, field, value, page_number, quote."""
+    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    on = claims.join(pages.select(doc, "page_number", "text"), [doc, "page_number"], "left")
+    missing_quote = ~F.coalesce(F.contains(flat(F.col("text")), flat(F.col("quote"))), F.lit(False))
+    by = on.groupBy(doc, "field").agg(F.max(missing_quote).alias("ungrounded"), (F.count_distinct("value") > 1).alias("contradicted"))
+    issues = by.groupBy(doc).agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(F.when(F.col("ungrounded"), F.concat("field", F.lit(":quote_not_found"))), F.when(F.col("contradicted"), F.concat("field", F.lit(":contradiction")))))))).alias("issues"), F.collect_set("field").alias("fields"))
+    absent = F.transform(F.array_except(F.array(F.lit("title"), F.lit("buyer_name")), "fields"), lambda f: F.concat(f, F.lit(":missing")))
+    return issues.select(doc, F.array_sort(F.concat("issues", absent)).alias("issues")).withColumn("valid", F.size("issues") == 0)

@@ -91,3 +91,36 @@ def billing_outcomes(events: DataFrame, mappings: DataFrame, policies: DataFrame
     done = F.coalesce(before, F.lit(0)) > 0
     outcome = F.when(F.col("invoice_id").isNull(), "observed").when(done, "duplicate").when(F.col("review_reason").isNotNull(), "review").otherwise("applied")
     return e.withColumn("outcome", outcome).select("event_id", "seq", "invoice_id", "outcome", F.when(F.col("outcome") == "review", F.col("review_reason")).alias("review_reason"), F.when(F.col("outcome") == "applied", F.col("credit_units")).alias("credit_units"))
+
+
+def delivery_state(attempts: DataFrame, event: str = "event_id", seq: str = "seq") -> DataFrame:
+    """The state of each event after its attempts: sent, cancelled, dead_lettered after three, or pending with a wait.
+
+    attempts: outcome in (sent, failed, cancelled), retryable. A failure that can't be retried is dead at once; nothing
+    changes after an end state.
+    """
+    w = W.partitionBy(event).orderBy(seq)
+    final = F.col("outcome").isin("sent", "cancelled") | ((F.col("outcome") == "failed") & ~F.col("retryable"))
+    before = F.coalesce(F.max(final).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    n = F.count_if(F.col("outcome") == "failed").over(w.rowsBetween(W.unboundedPreceding, 0))
+    df = attempts.withColumn("failures", n).withColumn("_done", before).where(~F.col("_done") & (F.coalesce(F.col("failures") - F.col("outcome").isin("failed").cast("int"), F.lit(0)) < MOST_ATTEMPTS))
+    last = df.groupBy(event).agg(F.max_by(F.struct("outcome", "retryable", "failures"), seq).alias("x"), F.count(F.lit(1)).alias("attempts"))
+    status = F.when(F.col("x.outcome") != "failed", F.col("x.outcome")).when(~F.col("x.retryable") | (F.col("x.failures") >= MOST_ATTEMPTS), "dead_lettered").otherwise("pending")
+    return last.select(event, "attempts", status.alias("status"), F.when(status == "pending", F.pow(F.lit(2.0), F.col("x.failures")).cast("long")).alias("wait_s"))
+
+
+def credit_fence(ops: DataFrame, now: Column, grace_s: int = 120) -> DataFrame:
+    """Reservations and what became of them: settled, open, or for review beyond the grace.
+
+    ops: reservation_key, operation, at (seconds).
+    """
+    by = ops.groupBy("reservation_key").agg(F.min(F.when(F.col("operation") == "reserve", F.col("at"))).alias("reserved_at"), F.max(F.col("operation").isin("commit", "refund")).alias("settled"))
+    state_ = F.when(F.col("settled"), "settled").when(now - F.col("reserved_at") > grace_s, "review_required").otherwise("open")
+    return by.where("reserved_at is not null").select("reservation_key", "reserved_at", state_.alias("state"))
+
+
+def outcome_watchers(published: DataFrame, ancestors: DataFrame, watches: DataFrame) -> DataFrame:
+    """Who hears of a published outcome: those who watch it or any of its ancestors, once each."""
+    to = published.select("opportunity_id", F.col("opportunity_id").alias("watched"))
+    up = published.join(ancestors, published["opportunity_id"] == ancestors["node"]).select("opportunity_id", F.col("ancestor").alias("watched"))
+    return to.unionByName(up).join(watches.withColumnRenamed("opportunity_id", "watched"), "watched").groupBy("user_id", "opportunity_id").agg(F.min("watched").alias("through"))

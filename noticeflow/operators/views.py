@@ -78,3 +78,33 @@ def pipeline_dashboard(log: DataFrame, since: Column) -> DataFrame:
     today = F.col("at") >= since
     zero = lambda c: F.coalesce(F.sum(F.when(today, F.col(c))), F.lit(0)).alias(c)
     return log.agg(zero("fetched"), zero("created"), zero("failed"), F.count_if((F.col("retries") > 0) & ~F.col("dead_lettered")).alias("retrying"), F.count_if("dead_lettered").alias("dead"))
+
+
+def patch_merge(base: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Base rows with the fields that a patch sets (its array set_fields names them; null can be set) replaced."""
+    p = patches.select(F.col(key), "set_fields", *(F.col(f).alias(f"_{f}") for f in fields))
+    isset = lambda f: F.coalesce(F.array_contains("set_fields", f), F.lit(False))
+    return base.join(p, key, "left").select(*(F.when(isset(c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns))
+
+
+def ui_order(df: DataFrame, by: str) -> DataFrame:
+    """Recommendation (recommended first, then score), deadline or budget; unknown values last, ids break ties."""
+    keys = {"recommendation": [F.col("recommended").desc_nulls_last(), F.col("score").desc_nulls_last()], "deadline": [F.col("deadline").asc_nulls_last()], "budget": [F.col("amount").desc_nulls_last()]}[by]
+    return df.orderBy(*keys, "id")
+
+
+def top_features(df: DataFrame, features: list[str], n: int = 2) -> DataFrame:
+    """The n greatest features per row as (name, value), greatest first; names break ties."""
+    entries = F.array_compact(F.array(*(F.when(F.col(f).isNotNull(), F.struct((-F.col(f).cast("double")).alias("k"), F.lit(f).alias("name"), F.col(f).cast("double").alias("value"))) for f in features)))
+    return df.withColumn("top", F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"))))
+
+
+def field_rows(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """P20: known fields as (key, field, value) rows."""
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    return df.select(key, F.inline(rows)).where("value is not null")
+
+
+def decision_label(eligible: Column, warnings: Column, recommended: Column) -> Column:
+    """The label of a card."""
+    return F.when(recommended, "recommended").when(~eligible, "excluded").when(F.size(warnings) > 0, "review").otherwise("eligible")

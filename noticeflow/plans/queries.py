@@ -523,3 +523,83 @@ def d18_labelled_claims(spark, sf):
 def s14_synthetic_feed(spark, sf):
     """The generated feed, 50,000 records."""
     return synthetic.synthetic_records(spark, 50_000).select("i", "record_id", "buyer_name", "estimated_amount", _iso("published_at").alias("published_at"), F.array_join("regions", ",").alias("region"))
+
+
+# --- delivery, documents and presentation ----------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT user_id * 50 + event_id % 50 AS event_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'signup' THEN 'cancelled' ELSE 'failed' END AS outcome, event_id % 7 <> 0 AS retryable FROM events),
+b AS (SELECT *, outcome <> 'failed' OR NOT retryable AS final, count(*) FILTER (WHERE outcome = 'failed') OVER (PARTITION BY event_id ORDER BY seq) AS n FROM a),
+c AS (SELECT *, coalesce(bool_or(final) OVER (PARTITION BY event_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM b),
+d AS (SELECT * FROM c WHERE NOT done AND n - CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END < 3),
+e AS (SELECT event_id, count(*) AS attempts, arg_max(outcome, seq) AS o, arg_max(retryable, seq) AS r, arg_max(n, seq) AS f FROM d GROUP BY event_id)
+SELECT event_id, attempts, CASE WHEN o <> 'failed' THEN o WHEN NOT r OR f >= 3 THEN 'dead_lettered' ELSE 'pending' END AS status, CASE WHEN o = 'failed' AND r AND f < 3 THEN CAST(pow(2, f) AS BIGINT) END AS wait_s FROM e""")
+def d26_delivery_state(spark, sf):
+    """Where each delivery stands after its attempts."""
+    k = F.col("event_id")
+    a = table(spark, sf, "events").select((F.col("user_id") * 50 + k % 50).alias("event_id"), k.alias("seq"), F.when(F.col("event_type") == "purchase", "sent").when(F.col("event_type") == "signup", "cancelled").otherwise("failed").alias("outcome"), (k % 7 != 0).alias("retryable"))
+    return state.delivery_state(a)
+
+
+@query("""WITH o AS (SELECT o_custkey AS reservation_key, CASE o_orderstatus WHEN 'O' THEN 'reserve' WHEN 'F' THEN 'commit' ELSE 'refund' END AS operation, date_diff('second', TIMESTAMP '1970-01-01', CAST(o_orderdate AS TIMESTAMP)) AS secs FROM orders WHERE o_orderkey % 3 = 0),
+b AS (SELECT reservation_key, min(secs) FILTER (WHERE operation = 'reserve') AS reserved_at, bool_or(operation <> 'reserve') AS settled FROM o GROUP BY 1)
+SELECT reservation_key, reserved_at, CASE WHEN settled THEN 'settled' WHEN 946684800 - reserved_at > 120 THEN 'review_required' ELSE 'open' END AS state FROM b WHERE reserved_at IS NOT NULL""")
+def d30_credit_fence(spark, sf):
+    """Reservations beyond their grace."""
+    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz))")
+    ops = o.select(F.col("o_custkey").alias("reservation_key"), F.when(F.col("o_orderstatus") == "O", "reserve").when(F.col("o_orderstatus") == "F", "commit").otherwise("refund").alias("operation"), at.alias("at"))
+    return state.credit_fence(ops, F.lit(946684800))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS version_id, o_orderkey % 4 <> 0 AS complete, CASE o_orderkey % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'dead_lettered' WHEN 2 THEN 'running' END AS ex FROM orders), a AS (SELECT l_orderkey AS version_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O' GROUP BY 1)
+SELECT version_id, array_to_string(list_filter([CASE WHEN NOT complete THEN 'documents_incomplete' END, CASE WHEN n > 0 THEN 'attachments_pending' END, CASE WHEN ex IS NULL OR ex = 'running' THEN 'extraction_missing' END], lambda z: z IS NOT NULL), ',') AS gaps, complete AND n IS NULL AND ex IN ('done', 'dead_lettered') AND ex IS NOT NULL AS ready FROM v LEFT JOIN a USING (version_id)""")
+def d7_readiness(spark, sf):
+    """What keeps a version from being compared."""
+    k = F.col("o_orderkey")
+    v = table(spark, sf, "orders").select(k.alias("version_id"), (k % 4 != 0).alias("documents_complete"), F.when(k % 5 == 0, "done").when(k % 5 == 1, "dead_lettered").when(k % 5 == 2, "running").alias("extraction_status"))
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "queued").otherwise("parsed").alias("status"))
+    return documents.readiness(v, a).withColumn("gaps", F.array_join("gaps", ","))
+
+
+@query("""SELECT c_custkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE c_name END AS c_name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def p19_patch_merge(spark, sf):
+    """Set fields replace, unset ones stay, null can be set."""
+    k = F.col("s_suppkey")
+    named = lambda m, f: F.when(k % m == 0, F.lit(f))
+    p = table(spark, sf, "supplier").select(k.alias("c_custkey"), F.array_compact(F.array(named(2, "c_name"), named(3, "c_mktsegment"))).alias("set_fields"), F.col("s_name").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    return views.patch_merge(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), p, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query(f"WITH {A.OPPORTUNITIES} SELECT id, unnest(['currency', 'status', 'estimated_amount']) AS field, unnest([currency, status, CAST(estimated_amount AS VARCHAR)]) AS value FROM opportunities".join(["SELECT * FROM (", ") WHERE value IS NOT NULL"]))
+def p20_field_rows(spark, sf):
+    """P20: known fields as rows."""
+    return views.field_rows(A.opportunities(spark, sf), "id", ["currency", "status", "estimated_amount"])
+
+
+@query(ELIGIBLE + " SELECT id, profile_id, CASE WHEN NOT eligible THEN 'excluded' WHEN len(warn) > 0 THEN 'review' ELSE 'eligible' END AS label FROM decided")
+def p21_decision_label(spark, sf):
+    d = decisions.eligibility(_profiled(spark, sf))
+    return d.select("id", F.col("p.profile_id").alias("profile_id"), views.decision_label(F.col("eligible"), F.col("warnings"), F.lit(False)).alias("label"))
+
+
+@query(LINKS + """, up AS (SELECT child AS node, parent AS ancestor FROM links WHERE parent IS NOT NULL), w AS (SELECT DISTINCT user_id, event_id AS watched FROM events WHERE event_type = 'view'),
+p AS (SELECT o_orderkey AS opportunity_id FROM orders WHERE o_orderkey % 5 >= 3), t AS (SELECT opportunity_id, opportunity_id AS watched FROM p UNION ALL SELECT opportunity_id, ancestor FROM p JOIN up ON node = opportunity_id)
+SELECT user_id, opportunity_id, min(watched) AS through FROM t JOIN w USING (watched) GROUP BY ALL""")
+def d24_outcome_watchers(spark, sf):
+    """Outcomes reach the watchers of their parents."""
+    e = linking.links(_nodes(spark, sf), fuzzy=False).where("parent is not null")
+    up = linking.closure(e, depth=1)
+    w = table(spark, sf, "events").where("event_type = 'view'").select("user_id", F.col("event_id").alias("opportunity_id")).distinct()
+    p = table(spark, sf, "orders").where("o_orderkey % 5 >= 3").select(F.col("o_orderkey").alias("opportunity_id"))
+    return state.outcome_watchers(p, up, w)
+
+
+@query()
+def d19_claim_validation(spark, sf):
+    """Claims whose quotes are on their page (collections have no value hash; tests hold golden cases)."""
+    o = A.opportunities(spark, sf)
+    pages = o.select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.concat(F.lit("Title: "), "title", F.lit("\nBuyer: "), "buyer").alias("text"))
+    quote = F.when(F.col("id") % 5 == 0, F.lit("Buyer: nobody")).otherwise(F.concat(F.lit("Buyer: "), "buyer"))
+    claims = o.select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value"), F.concat(F.lit("Title: "), "title").alias("quote")), F.struct(F.lit("buyer_name").alias("field"), F.col("buyer").alias("value"), quote.alias("quote")))))
+    return documents.validate_claims(claims, pages).select("doc_id", F.array_join("issues", ",").alias("issues"), "valid")

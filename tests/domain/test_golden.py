@@ -184,3 +184,28 @@ def test_views(spark):
     rows = spark.createDataFrame([(i, None if i == 3 else datetime(2026, 1, 1 + i % 2)) for i in range(6)], "id long, published_at timestamp").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
     assert [r.id for r in views.keyset_page(rows, 2).collect()] == [5, 1, 4]
     assert [r.id for r in views.keyset_page(rows, 9, after=("2026-01-02 00:00:00", 1)).collect()] == [4, 2, 0, 3]
+
+
+def test_documents_and_delivery(spark):
+    pages = spark.createDataFrame([(1, 1, "Title: Cloud  works\nBuyer: X"), (2, 1, "Title: A")], "doc_id long, page_number int, text string")
+    claims = spark.createDataFrame([(1, "title", "Cloud works", 1, "Title: Cloud works"), (1, "buyer_name", "X", 1, "Buyer: X"), (2, "title", "A", 1, "Title: A"), (2, "title", "B", 1, "Title: B")], "doc_id long, field string, value string, page_number int, quote string")
+    got = {r.doc_id: (r.valid, r.issues) for r in documents.validate_claims(claims, pages).collect()}
+    assert got == {1: (True, []), 2: (False, ["buyer_name:missing", "title:contradiction", "title:quote_not_found"])}
+    att = spark.createDataFrame([("v", "a", "h1"), ("v", "b", "h2")], "version_id string, attachment_id string, sha256 string")
+    page = "array<struct<page_number: int, text: string>>"
+    parses = spark.createDataFrame([("a", "native", 9, "trusted", [(1, "n")]), ("a", "ocr", 1, "trusted", [(2, "o2"), (1, "o1"), (3, " ")]), ("b", "native", 1, "needs_ocr", [(1, "x")])], f"attachment_id string, parser_kind string, parser_version int, status string, pages {page}")
+    assert [(p.page_number, p.text) for p in documents.document_bundle(att, parses).first().bundle] == [(1, "o1"), (2, "o2")]
+    log = [("e", 1, "failed", True), ("e", 2, "failed", True), ("e", 3, "failed", True), ("e", 4, "sent", True), ("f", 1, "failed", True), ("f", 2, "sent", True), ("f", 3, "failed", True), ("g", 1, "failed", True), ("h", 1, "failed", False)]
+    got = {r.event_id: (r.status, r.attempts, r.wait_s) for r in state.delivery_state(spark.createDataFrame(log, "event_id string, seq long, outcome string, retryable boolean")).collect()}
+    assert got == {"e": ("dead_lettered", 3, None), "f": ("sent", 2, None), "g": ("pending", 1, 2), "h": ("dead_lettered", 1, None)}
+    row = spark.createDataFrame([(1, 0.5, 0.7, 0.7)], "id long, a double, b double, c double")
+    assert [tuple(x) for x in views.top_features(row, ["a", "b", "c"]).first().top] == [("b", 0.7), ("c", 0.7)]
+
+
+def test_government_fields_and_profiles(spark):
+    raw = spark.createDataFrame([('{"bidNtceNm": "N", "dminsttNm": " ", "ntceInsttNm": "I", "ntceKindNm": "변경공고", "presmptPrce": "5", "bidNtceDt": "2026-09-01 10:00:00", "bidClseDt": "2026-09-02 10:00:00"}',)], "p string")
+    import json
+
+    assert json.loads(raw.select(normalize.map_government(F.col("p"))).first()[0]) == {"title": "N", "buyer_name": "I", "lifecycle_stage": "amendment", "estimated_amount": "5", "published_at": "2026-09-01T10:00:00+09:00", "closes_at": "2026-09-02T10:00:00+09:00"}
+    p = spark.createDataFrame([(["a", " A "], [], [], [], Decimal(5), Decimal(1), None), (["a"], [], [], [], None, None, "krw")], "regions array<string>, certifications array<string>, industries array<string>, capabilities array<string>, min_contract_amount decimal(18,2), max_contract_amount decimal(18,2), contract_currency string")
+    assert [(r.errors, r.contract_currency) for r in normalize.profile_errors(p).collect()] == [(["regions_repeated", "amounts_inverted", "currency_required"], None), ([], "KRW")]
