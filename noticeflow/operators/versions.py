@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 def ingest(raw: DataFrame, keys: list[str], order: str, existing: DataFrame | None = None) -> DataFrame:
     """The first row of each key (duplicates by payload), minus keys that `existing` holds. One shuffle by key."""
     first = raw.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
-    return first if existing is None else first.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return first if existing is None else first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*raw.columns)
 
 
 def ingest_counters(raw: DataFrame, run: str, keys: list[str], order: str) -> DataFrame:

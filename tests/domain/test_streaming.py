@@ -27,3 +27,25 @@ def test_append_new_is_idempotent(spark, tmp_path):
     for _ in range(2):
         streams.append_new(rows, str(tmp_path / "t"), ["k"], "seq")
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_feed_source(spark, tmp_path):
+    from noticeflow.sources import feed
+
+    feed.register(spark)
+    rows = spark.read.format("noticefeed").load()
+    assert [r.source_record_id for r in rows.orderBy("obs_seq").collect()] == [r[0] for r in feed.MockFeed.records]
+    assert rows.sparkSession.read.format("noticefeed").option("cursor", 4).load().count() == 2
+    q = spark.readStream.format("noticefeed").load().writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.obs_seq for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_daily_counts(spark, tmp_path):
+    spark.createDataFrame([("2026-01-01 10:00:00", "a"), ("2026-01-01 11:00:00", "a"), ("2026-01-02 10:00:00", "b"), ("2026-01-09 10:00:00", "b")], "ts string, event_type string").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    q = streams.daily_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.day.day, r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {(1, "a", 2), (2, "b", 1)}
