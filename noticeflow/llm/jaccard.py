@@ -35,6 +35,8 @@ WORDS = 8  #: least 64-bit words of a token bitmap, and those of a tree's inner
 LEAF = 8  #: members of a tree's leaf, and children of a node
 #: Sets whose ids are sent to all tasks to filter what the second scan emits; beyond that the join alone filters.
 FILTER_IDS = 2_000_000
+#: Shared shingles that are compared at a time when the links inside a class are counted.
+BLOCK = 4096
 #: Most frequent shingles that are ordered last (8 bytes each, sent to all tasks).
 LAST = 500_000
 
@@ -374,11 +376,9 @@ def _pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that link, by their whole sets."""
+def _elements(needed: DataFrame, docs: DataFrame, k: int, none) -> DataFrame:
+    """s, elements (sorted shingles) of the sets whose ids are in `needed` (node); other sets may be among them."""
     spark = docs.sparkSession
-    parts = cut(connected(pairs))
-    needed = parts.select("node")
     ids = None
     if needed.count() <= FILTER_IDS:
         ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in needed.collect()], np.int64)))
@@ -396,6 +396,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chu
                 if want:
                     yield pa.RecordBatch.from_arrays([pa.array(s1[want]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in want], pa.binary())], names=["s", "elements"])
 
+    return docs.mapInArrow(sets, "s long, elements binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those that link, by their whole sets."""
+    parts = cut(connected(pairs))
+
     # a task: the pairs between two chunks of a candidate component; each set goes to the tasks that need it
     sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
     place = cut(parts.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c")))
@@ -403,7 +410,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chu
     tasks = pairs.join(one, "a").join(two, "b").select(F.xxhash64("ra", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("task"), "a", "b")
     tasks = cut(tasks)
     places = tasks.select("task", F.col("a").alias("s")).unionAll(tasks.select("task", F.col("b").alias("s"))).distinct()
-    found = docs.mapInArrow(sets, "s long, elements binary")
+    found = _elements(parts.select("node"), docs, k, none)
     carried = places.join(found, "s").select("task", F.lit(0).alias("kind"), F.col("s").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
     both = carried.unionAll(tasks.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements")))
 
@@ -432,11 +439,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chu
     return both.repartition("task").sortWithinPartitions("task", "kind").mapInArrow(compare, "a long, b long")
 
 
-def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16, dense: int = 4096, chunk: int = 256, sample_one_in: int = 32, frequent: int = 6) -> DataFrame:
+def common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many elements each set of `one` shares with each of `two` (places in `sets`), by products of 0/1 blocks."""
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kinds, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # an element of one set only is shared with none
+    keep = times[column] > 1
+    who, column = who[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    out = np.zeros((len(one), len(two)), np.int64)
+    for c in range(0, int(shared[-1]) + 1 if len(kinds) else 0, BLOCK):
+        a, b = np.searchsorted(column, (c, c + BLOCK))
+        block = np.zeros((len(sets), min(BLOCK, int(shared[-1]) + 1 - c)), np.float32)
+        block[who[a:b], column[a:b] - c] = 1
+        out += (block[one] @ block[two].T).astype(np.int64)
+    return out
+
+
+def _class_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
+    """s1, links: per member of a class (s1, root), part by part, how many others of the class link with it.
+
+    A task compares two chunks of a class and returns a row for each of their members, never the pairs.
+    """
+    keys = ["root", "ci", "cj"]
+    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    sized = cut(classes.join(sizes, "root"))
+    twos = sized.where("m = 2").select("s1", F.lit(1).cast("long").alias("links"))
+    many = sized.where("m > 2").withColumn("chunks", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
+    placed = many.withColumn("side", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
+    spread = placed.select("root", "side", "s1", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    members = spread.select("root", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", F.col("s1").alias("s"))
+    # several tasks may send the same set: one row of it is enough
+    found = _elements(many.select(F.col("s1").alias("node")), docs, k, none).groupBy("s").agg(F.first("elements").alias("elements"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            s, side = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held])
+            sets = [np.frombuffer(x[2], K.U64) for x in held]
+            n = np.array([len(x) for x in sets], np.int64)
+            one, two = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+            both = common(sets, one, two)
+            ok = 100 * both >= percent * (n[one][:, None] + n[two] - both)
+            ok &= one[:, None] != two
+            s, links = (s[one], ok.sum(1)) if key[1] == key[2] else (np.concatenate([s[one], s[two]]), np.concatenate([ok.sum(1), ok.sum(0)]))
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(links.astype(np.int64))], names=["s1", "links"])
+
+        for batch in batches:
+            for *now, side, s, elements in zip(*(K.columns(batch, c).to_pylist() for c in (*keys, "side", "s", "elements")), strict=True):
+                if now != key:
+                    if held:
+                        yield counted()
+                    key, held = now, []
+                held.append((s, side, elements))
+        if held:
+            yield counted()
+
+    carried = members.join(found, "s").repartition(*keys).sortWithinPartitions(*keys)
+    return carried.select(*keys, "side", "s", "elements").mapInArrow(run, "s1 long, links long").unionAll(twos)
+
+
+def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16, dense: int = 4096, chunk: int = 256, sample_one_in: int = 32, frequent: int = 6, counted: bool = True) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (the set's digest), mark (xxhash64 of the text), component_id and links per row.
 
     component_id: the smallest doc_id reachable by links between rows' sets; links: how many different sets link with
-    the row's set by a compared pair (pairs inside a class that its other links already make are not compared).
+    the row's set (null where not `counted`: the pairs inside the classes that stars make are compared for it alone).
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
@@ -465,11 +534,16 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16
 
     links = cut(first.unionAll(second).distinct())
     roots = connected(links).withColumnRenamed("node", "s1")
-    degree = links.select(F.col("a").alias("s1")).unionAll(links.select(F.col("b").alias("s1"))).groupBy("s1").agg(F.count(F.lit(1)).alias("links"))
-    known = roots.join(degree, "s1")
+    if counted:
+        # links of the second search join different classes; those inside a class are counted there
+        across = second.select(F.explode(F.array("a", "b")).alias("s1"), F.lit(1).cast("long").alias("links"))
+        inside = cut(_class_links(classes, texts, k, percent, none, 2 * chunk))
+        known = roots.join(across.unionAll(inside).groupBy("s1").agg(F.sum("links").alias("links")), "s1")
+    else:
+        known = roots.withColumn("links", F.lit(None).cast("long"))
     # a set without links is its own class, named by all 128 bits
     marked = nodes.drop("bits", "prefix").join(known, "s1", "left").withColumn("c1", F.coalesce("root", "s1")).withColumn("c2", F.when(F.col("root").isNull(), F.col("s2")).otherwise(F.lit(0)))
-    marked = cut(marked.select("doc_id", "mark", "n", "s1", "s2", "c1", "c2", F.coalesce("links", F.lit(0)).alias("links")))
+    marked = cut(marked.select("doc_id", "mark", "n", "s1", "s2", "c1", "c2", (F.coalesce("links", F.lit(0)) if counted else F.col("links")).alias("links")))
     least = marked.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
     linked = marked.where("n > 0").join(least, ["c1", "c2"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "s1", "s2", F.col("least").alias("component_id"), "links")
     alone = marked.where("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), "s1", "s2", F.col("doc_id").alias("component_id"), "links")
@@ -481,11 +555,17 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return components(docs, **options).select("doc_id", "n_shingles", "component_id", "links")
 
 
+def alike(docs: DataFrame, **options) -> DataFrame:
+    """mark (xxhash64 of the text), unit: the smallest mark that a text reaches by links, for texts that reach a smaller one."""
+    found = components(docs.select(F.xxhash64("text").alias("doc_id"), "text"), counted=False, **options)
+    return cut(found.where("component_id <> doc_id").groupBy(F.col("doc_id").alias("mark")).agg(F.min("component_id").alias("unit")))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each component: that of its smallest doc_id.
 
     Rows of that doc_id whose texts also belong to the component stay together, as do rows without a doc_id.
     """
-    found = components(docs, **options).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("component_id").alias("_component")).where("_id is not null and _id <> _component")
+    found = components(docs, counted=False, **options).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("component_id").alias("_component")).where("_id is not null and _id <> _component")
     gone = found.select("_id", "_mark").distinct()
     return docs.join(gone, (docs["`doc_id`"] == gone["_id"]) & (F.xxhash64(docs["`text`"]) == gone["_mark"]), "left_anti")

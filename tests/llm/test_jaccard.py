@@ -119,3 +119,18 @@ def test_connected(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 50), (50, 70), (70, 100), (7, 7)] + [(200, x) for x in range(201, 240)]
     got = dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(21)}, 100: 50, 50: 50, 70: 50, 200: 200, **{x: 200 for x in range(201, 240)}}
+
+
+@pytest.mark.parametrize("options", [{}, {"star": 2, "dense": 8, "chunk": 4}, {"star": 1000}])
+def test_links(spark, options):
+    """Every link counts, also inside a class; however large the group."""
+    r = random.Random(5)
+    word = lambda: "v" + str(r.randrange(10**6))
+    base = [word() for _ in range(200)]
+    docs = [(i, " ".join([*base, *(word() for _ in range(3))])) for i in range(60)]  # all 0.97 alike
+    docs += [(100 + i, " ".join(base[: 150 + i] + [word() for _ in range(5)])) for i in range(40)]  # some alike
+    docs += [(200, docs[0][1]), (201, ""), (202, None), *((300 + i, " ".join(word() for _ in range(30 + i))) for i in range(5))]
+    sets = {d: frozenset(shingles(t)) for d, t in docs}
+    other = lambda x: {y for y in sets.values() if y and x and y != x and 100 * len(x & y) >= 75 * len(x | y)}
+    got = dict(jaccard.report(spark.createDataFrame(docs, "doc_id long, text string"), **options).select("doc_id", "links").collect())
+    assert got == {d: len(other(x)) for d, x in sets.items()} and got[1] >= 59
