@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without the lines that are boilerplate on their site."""
-    return linededup.cleaned(docs)
+    """The same documents without the lines that are boilerplate on their site; copies count as one page of it."""
+    return linededup.cleaned(docs, alike=jaccard.alike(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ partial aggregate per (site, line digest), so a line on a third of all pages lea
 boilerplate lines reach the pages by broadcast only when their counted number is small; beyond that the pages'
 own lines are joined with them and the removals come back per page, so a large site never meets in one task.
 
+With `alike` (mark, unit: texts that are one document, as jaccard.alike finds them) a site's copies count as one page:
+exact copies by their text's hash, near copies by their unit. Else a text copied on more than `most_percent` of its
+site's pages would be all boilerplate, and every copy of it would lose its whole text.
+
 Defined results: a null site is a site of its own; null text stays null and counts as a page without lines; lines
 without a visible character are never dropped; repeated rows are separate pages; an empty table gives no rows;
 extra columns are kept.
@@ -33,11 +37,16 @@ def _digests(text: Column) -> Column:
     return F.array_distinct(F.transform(visible, _digest))
 
 
-def boilerplate(pages: DataFrame, *, site: str = "source", text: str = "text", most_percent: int = 2, least_pages: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, *, site: str = "source", text: str = "text", most_percent: int = 2, least_pages: int = 5, alike: DataFrame | None = None) -> DataFrame:
     """Per boilerplate line: site, line (digest), pages with it, pages of the site."""
-    narrow = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").alias("text"))
-    totals = narrow.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
-    lines = narrow.select("site", F.explode(_digests(F.col("text"))).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"))
+    narrow = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    each, own = narrow.select("site", "mark"), narrow.select("site", "mark", F.explode(_digests(F.col("text"))).alias("line"))
+    if alike is not None:
+        # copies of a text are one row before the join, so that none of its marks is hot
+        unit = lambda df, *names: df.distinct().join(alike, "mark", "left").select(*names, F.coalesce("unit", "mark").alias("unit")).distinct()
+        each, own = unit(each, "site"), unit(own, "site", "line")
+    totals = each.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
+    lines = own.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"))
     often = lines.where(F.col("pages") >= least_pages)
     return often.join(totals, often["site"].eqNullSafe(totals["site"])).where(F.col("pages") * 100 > F.col("site_pages") * most_percent).select(often["site"], "line", "pages", "site_pages")
 

@@ -65,3 +65,26 @@ def test_unusual_rows(spark, tmp_path):
             docs = spark.createDataFrame(got.collect(), df.schema)
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
     assert packed == []
+
+
+def test_copies_reach_packing(spark, tmp_path):
+    """A third of a site is one text and its near copies, five pages of another one: one full document of each is packed."""
+    word = lambda *x: "w" + "x".join(map(str, x))
+    page = lambda *x, n=12: [" ".join(word(*x, i, j) for j in range(10)) for i in range(n)]
+    menu = "home about contact imprint and the terms of use"
+    rows = []
+    for i in range(120):
+        kind = "own" if i % 3 else "copy"
+        lines = page("own", i) if i % 3 else page("copy") if i % 2 else [*page("copy"), " ".join(word("end", i, j) for j in range(4))]
+        rows.append((i, "\n".join([menu, *lines]), "big", kind))
+    rows += [(200 + i, "\n".join(page("five") if i < 5 else page("small", i)), "small", "five" if i < 5 else "own") for i in range(12)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line dedup", "near duplicates", "decontamination"):
+        stages[name](spark, docs, SF).write.parquet(str(tmp_path / name[:4]))
+        docs = spark.read.parquet(str(tmp_path / name[:4]))
+    kept, by_id = {r.doc_id: r.text for r in docs.collect()}, {d: (t, s, kind) for d, t, s, kind in rows}
+    assert sorted(d for d in kept if by_id[d][2] != "own") == [0, 200] and len(kept) == 80 + 7 + 2
+    assert all(kept[d] == by_id[d][0].removeprefix(menu + "\n") for d in kept)
+    packed = {r.doc_id: r.doc_tokens for r in stages["packing"](spark, docs, SF).collect()}
+    assert set(packed) == set(kept) and packed[0] > 100 and packed[200] > 100
