@@ -587,9 +587,9 @@ def p21_decision_label(spark, sf):
 p AS (SELECT o_orderkey AS opportunity_id FROM orders WHERE o_orderkey % 5 >= 3), t AS (SELECT opportunity_id, opportunity_id AS watched FROM p UNION ALL SELECT opportunity_id, ancestor FROM p JOIN up ON node = opportunity_id)
 SELECT user_id, opportunity_id, min(watched) AS through FROM t JOIN w USING (watched) GROUP BY ALL""")
 def d24_outcome_watchers(spark, sf):
-    """Outcomes reach the watchers of their parents."""
+    """Outcomes reach the watchers of all their ancestors."""
     e = linking.links(_nodes(spark, sf), fuzzy=False).where("parent is not null")
-    up = linking.closure(e, depth=1)
+    up = linking.closure(e)
     w = table(spark, sf, "events").where("event_type = 'view'").select("user_id", F.col("event_id").alias("opportunity_id")).distinct()
     p = table(spark, sf, "orders").where("o_orderkey % 5 >= 3").select(F.col("o_orderkey").alias("opportunity_id"))
     return state.outcome_watchers(p, up, w)

@@ -1,0 +1,30 @@
+"""D24 against the whole chain of links; its registered twin takes one level."""
+import duckdb
+
+from noticeflow.plans import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def same(spark, name, sql, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = sorted(con.sql(f"select {', '.join(df.columns)} from ({sql})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == want and got
+    return len(got)
+
+
+SQL = (
+    queries.LINKS.replace("WITH n", "WITH RECURSIVE n", 1)
+    + """, up AS (SELECT child AS node, parent AS ancestor FROM links WHERE parent IS NOT NULL UNION SELECT up.node, l.parent FROM up JOIN links l ON l.child = up.ancestor WHERE l.parent IS NOT NULL),
+w AS (SELECT DISTINCT user_id, event_id AS watched FROM events WHERE event_type = 'view'), p AS (SELECT o_orderkey AS opportunity_id FROM orders WHERE o_orderkey % 5 >= 3),
+t AS (SELECT opportunity_id, opportunity_id AS watched FROM p UNION ALL SELECT opportunity_id, ancestor FROM p JOIN up ON node = opportunity_id)
+SELECT user_id, opportunity_id, min(watched) AS through FROM t JOIN w USING (watched) GROUP BY ALL"""
+)
+
+
+def test_outcome_watchers(spark):
+    print("d24 rows", same(spark, "d24_outcome_watchers", SQL, "orders", "events"))
