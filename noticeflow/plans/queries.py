@@ -485,7 +485,7 @@ def f19_page_quality(spark, sf):
 @query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS n_tokens FROM documents WHERE lang IN ('en', 'es', 'fr')""")
 def f2_distinct_tokens(spark, sf):
     """distinct normalised word tokens."""
-    return table(spark, sf, "documents").where(F.col("lang").isin("en", "es", "fr")).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])license([^\\p{L}\\p{N}_]|$)') AS hit FROM documents")

@@ -1,0 +1,24 @@
+"""F2 over documents of every language; its registered twin takes three and does not fold sharp s."""
+import duckdb
+
+from noticeflow.plans import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def same(spark, name, sql, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = sorted(con.sql(f"select {', '.join(df.columns)} from ({sql})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == want and got
+    return len(got)
+
+
+SQL = "SELECT doc_id, len(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'))) AS n_tokens FROM documents"
+
+
+def test_distinct_tokens(spark):
+    print("f2 rows", same(spark, "f2_distinct_tokens", SQL, "documents"))
