@@ -56,7 +56,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) = 1"""
 def s6_ingest_against_table(spark, sf):
     """New rows only, against what the table already holds."""
     e = table(spark, sf, "events").select("event_id", "user_id", "props")
-    return versions.ingest(e.where("event_id % 3 = 0"), ["user_id", "props"], "event_id", existing=e.where("event_id % 3 = 1")).select("event_id")
+    return versions.ingest(e.where("event_id % 3 = 0"), ["user_id", "props"], "event_id", existing=e.where("event_id % 3 <> 0")).select("event_id")
 
 
 FOLD = f"""WITH RECURSIVE {A.OBSERVATIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY obs_seq) AS n FROM observations),
@@ -546,7 +546,7 @@ b AS (SELECT reservation_key, min(secs) FILTER (WHERE operation = 'reserve') AS
 SELECT reservation_key, reserved_at, CASE WHEN settled THEN 'settled' WHEN 946684800 - reserved_at > 120 THEN 'review_required' ELSE 'open' END AS state FROM b WHERE reserved_at IS NOT NULL""")
 def d30_credit_fence(spark, sf):
     """Reservations beyond their grace."""
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf, "orders")
     at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz))")
     ops = o.select(F.col("o_custkey").alias("reservation_key"), F.when(F.col("o_orderstatus") == "O", "reserve").when(F.col("o_orderstatus") == "F", "commit").otherwise("refund").alias("operation"), at.alias("at"))
     return state.credit_fence(ops, F.lit(946684800))

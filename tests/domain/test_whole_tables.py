@@ -1,0 +1,32 @@
+"""D30 and S6 over all orders and events; their registered twins leave a third or two out."""
+import duckdb
+
+from noticeflow.plans import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def same(spark, name, sql, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = sorted(con.sql(f"select {', '.join(df.columns)} from ({sql})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == want and got
+    return len(got)
+
+
+FENCE = """WITH o AS (SELECT o_custkey AS reservation_key, o_orderstatus AS s, date_diff('second', TIMESTAMP '1970-01-01', CAST(o_orderdate AS TIMESTAMP)) AS secs FROM orders),
+b AS (SELECT reservation_key, min(secs) FILTER (WHERE s = 'O') AS reserved_at, bool_or(s <> 'O') AS settled FROM o GROUP BY 1)
+SELECT reservation_key, reserved_at, CASE WHEN settled THEN 'settled' WHEN 946684800 - reserved_at > 120 THEN 'review_required' ELSE 'open' END AS state FROM b WHERE reserved_at IS NOT NULL"""
+NEW = """SELECT event_id FROM events r WHERE event_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id % 3 <> 0 AND x.user_id = r.user_id AND x.props = r.props)
+QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) = 1"""
+
+
+def test_credit_fence(spark):
+    print("d30 rows", same(spark, "d30_credit_fence", FENCE, "orders"))
+
+
+def test_ingest_against_table(spark):
+    print("s6 rows", same(spark, "s6_ingest_against_table", NEW, "events"))
