@@ -6,6 +6,7 @@ single longer text), never the partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,18 +69,14 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-class Prefix:
-    """Prefix sums of a byte block; gives 64-bit hashes of any of its substrings."""
+class Rolling:
+    """Hashes of the `length` bytes from each position: they only choose places; what is found there is compared by its bytes."""
 
     def __init__(self, data: np.ndarray):
         p, self.inverse = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-
     def fixed(self, length: int) -> np.ndarray:
         """The hash of the `length` bytes from each position that has so many after it."""
         n = len(self.sums) - length
@@ -88,6 +85,41 @@ class Prefix:
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + U64(length))
 
 
+#: Spans of more than SHORT bytes are kept apart by a cryptographic digest; the worker remembers some of them.
+SHORT, REMEMBERED, REMEMBERED_BYTES = 7, 300_000, 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], U64)
+_LONG: dict[bytes, int] = {}
+
+
+def _long_hash(span: bytes) -> int:
+    h = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+    if len(span) <= REMEMBERED_BYTES:
+        if len(_LONG) >= REMEMBERED:
+            _LONG.clear()
+        _LONG[span] = h
+    return h
+
+
+def short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of each span of up to SHORT bytes and its size, as one number: different spans have different ones."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    loads = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    few = np.minimum(sizes, SHORT)
+    return (loads[starts] & _MASKS[few]) | (few.astype(U64) << U64(56))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans. Those of up to SHORT bytes never collide with each other; longer ones have BLAKE2b's."""
+    sizes = ends - starts
+    out = mix(short_keys(data, starts, sizes)) if len(starts) else np.zeros(0, U64)
+    if len(long_ := np.flatnonzero(sizes > SHORT)):
+        raw, get = data.tobytes(), _LONG.get
+        spans = (raw[a:b] for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True))
+        out[long_] = np.array([get(x) or _long_hash(x) for x in spans], U64)
+    return out
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of true bytes that don't cross row borders."""
     n = len(mask)
@@ -156,7 +188,16 @@ class Words:
         self.data = LOWER[data] if lower else data
         self.starts, self.ends = runs(table[self.data], offsets)
         self.first = np.searchsorted(self.starts, offsets)
-        self.hash = Prefix(self.data).of(self.starts, self.ends) if len(self.starts) else np.zeros(0, U64)
+        self.hash = span_hashes(self.data, self.starts, self.ends)
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """The words with a space after each, and where each starts there (and the end)."""
+        sizes = self.ends - self.starts + 1
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(self.starts - at[:-1], sizes) + np.arange(at[-1])
+        out = self.data[np.minimum(take, len(self.data) - 1)] if len(self.data) else self.data
+        out[at[1:] - 1] = 0x20
+        return out.tobytes(), at
 
     def texts(self, a: int, b: int) -> list[bytes]:
         return [self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(a, b)]

@@ -52,11 +52,11 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids or counts of whole texts, as tokenizers gives them for the file at `path`.
 
-    most: entries that the cache keeps in this worker; a full cache starts anew (a bound of memory, not of results).
+    most: entries with which the cache starts anew in this worker (a bound of memory, not of results).
     fold: the tokenizer lower-cases, so ASCII letters may be folded before the cache is asked.
     """
 
-    def __init__(self, path: str, fold: bool = False, most: int = 700_000, keep_ids: bool = True):
+    def __init__(self, path: str, fold: bool = False, most: int = 400_000, keep_ids: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,6 +67,7 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
+        self.long: dict[bytes, int] = {}  # numbers of the pieces of more than K.SHORT bytes
         self.sizes = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.store = np.zeros(1 << 18, np.uint32)
@@ -95,6 +96,16 @@ class PieceEncoder:
         for i, key in enumerate(keys):
             self.index[key] = known + i
 
+    def _keys(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number per piece: equal numbers are equal pieces, byte by byte. Short pieces are their own, long ones are counted."""
+        sizes = ends - starts
+        out = K.short_keys(data, starts, sizes)
+        raw, number = data.tobytes(), self.long
+        long_ = np.flatnonzero(sizes > K.SHORT)
+        spans = (raw[a:b] for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True))
+        out[long_] = np.array([number.setdefault(x, len(number)) for x in spans], K.U64) | K.U64(255 << 56)
+        return out
+
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece its place in the cache; for each row its first piece (and the end)."""
         if self.fold and b"|>" not in data.tobytes():
@@ -104,9 +115,9 @@ class PieceEncoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, np.int64), first
-        keys, where, back = np.unique(K.Prefix(data).of(starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > self.most and self.index:
+        if len(self.index) >= self.most:
             self.clear()
+        keys, where, back = np.unique(self._keys(data, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
         get = self.index.get
         places = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))

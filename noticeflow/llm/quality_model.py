@@ -40,7 +40,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end = np.concatenate([s1, s2]), np.concatenate([e1, e2])
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
-    h = K.Prefix(data).of(start, end) if len(start) else np.zeros(0, K.U64)
+    h = K.span_hashes(data, start, end)
     return h, np.searchsorted(start, offsets)
 
 

@@ -98,7 +98,7 @@ class Tokens:
         by_length = np.searchsorted([4, 8, 12, 16, 20, 32, 64], length, "right")
         by_turn = np.searchsorted([1, 3, 6], turns, "right")
         self.shape = (seen * 8 + by_length) * 4 + by_turn
-        self.word = K.Prefix(K.LOWER[data]).of(self.start, self.end)
+        self.word = K.span_hashes(K.LOWER[data], self.start, self.end)
         # of the whole text: how many tokens mix letters and digits, and whether it assigns anything
         mixed = (seen & 4 > 0) & (seen & 3 > 0)
         share = np.bincount(self.row, mixed, len(offsets) - 1) / np.maximum(np.diff(self.first), 1)
@@ -289,12 +289,16 @@ def train(*, texts: int = 1200, epochs: int = 35, rate: float = 0.3, decay: floa
 
 
 def scan(docs: DataFrame, *, field: Field | None = None, **options) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_crf and the found spans (kind, from, to; code points) per row."""
+    """doc_id, n_assign, n_access, n_hex, n_crf, n_field and the found spans (kind, from, to; code points) per row.
+
+    n_field counts all that the field tags; n_crf those of it that no fixed pattern touches, which are the spans it adds.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field or train(**options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
+            field_spans: list[int] = []
             found = []
             for r0, r1, data, offsets in K.blocks(K.columns(batch, "text")):
                 hs, he = K.runs(_HEX[data], offsets)
@@ -305,8 +309,11 @@ def scan(docs: DataFrame, *, field: Field | None = None, **options) -> DataFrame
                 for r, a, b in zip(hex_row.tolist(), hs.tolist(), he.tolist(), strict=True):
                     runs.setdefault(r, []).append((a - int(offsets[r]), b - int(offsets[r])))
                 more: dict[int, list] = {}
+                count = np.zeros(r1 - r0, np.int64)
                 for r, a, b in shared.value.spans(Tokens(data, offsets)):
                     more.setdefault(r, []).append((a - int(offsets[r]), b - int(offsets[r])))
+                    count[r] += 1
+                field_spans += count.tolist()
                 raw = data.tobytes()
                 for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     body = raw[a:b]
@@ -321,16 +328,16 @@ def scan(docs: DataFrame, *, field: Field | None = None, **options) -> DataFrame
                         counts[k].append(sum(s[2] == k for s in spans))
                     found.append([{"kind": KINDS[k], "from": x, "to": y} for x, y, k in spans])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([K.columns(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, kind)], names=["doc_id", *(f"n_{k}" for k in KINDS), "found"])
+            yield pa.RecordBatch.from_arrays([K.columns(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(field_spans, pa.int64()), pa.array(found, kind)], names=["doc_id", *(f"n_{k}" for k in KINDS), "n_field", "found"])
 
     docs = only(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, n_crf long, found array<struct<kind: string, from: long, to: long>>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, n_crf long, n_field long, found array<struct<kind: string, from: long, to: long>>")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_crf per document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf and n_field per document."""
     from pyspark.sql import functions as F
 
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["from"].cast("string"), s["to"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"] != "crf")
-    return scan(docs, **options).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), "n_crf")
+    return scan(docs, **options).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), "n_crf", "n_field")
