@@ -2,17 +2,20 @@
 
 Fingerprints are the minimum k-gram hash of each window of `span - k + 1` consecutive k-grams, so any shared
 run of `span` words has a fingerprint in common. The benchmark's fingerprints are joined with each document's
-inside the scan (the benchmark comes in blocks of a bounded number of words, one pass each), and every hit is
-extended to the spans of `span` words around it, which must agree word by word. Items shorter than a span
-are their own k-gram and are looked up at every position (a winnowing window of one).
+inside the scan, and every hit is extended to the spans of `span` words around it, which must agree letter by
+letter. Items shorter than a span are their own k-gram and are looked up at every position (a winnowing window of one).
+The benchmark comes in blocks of a bounded number of words. One block is a single pass; of several, each is a pass
+that reads the texts and keeps only what it hits, by the texts' digests.
 
 Defined results: null, empty or wordless texts have no words and no hits; an item without words never occurs;
 an item with a null id counts towards n_hit, not towards the items; repeated items count once, repeated
-documents each keep their row; an empty benchmark leaves all documents clean; extra columns are ignored.
+documents each keep their row; an empty benchmark leaves all documents clean; extra columns are ignored by `report`
+and kept with their values by `clean`.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm import kernel as K
-from noticeflow.llm.shared import cut, only
+from noticeflow.llm.shared import aside, cut, keyed_join, only
 
-#: Words of benchmark text that one pass holds in memory (about 150 bytes each in its index).
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text that one pass holds in memory (about 60 bytes each in its index, with the words themselves).
+BLOCK_WORDS = 2_000_000
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
@@ -41,54 +44,63 @@ def winnow(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
 
 
 class Index:
-    """Distinct windows of a block of benchmark items, by length: hashes, words, and the items that hold each."""
+    """Distinct windows of a block of benchmark items, by length: hashes, the words themselves, and the items that hold each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], span: int, k: int):
         self.span, self.k, self.w = span, k, span - k + 1
         self.names: list[str] = sorted({i for i, _ in items if i is not None})
         name = {i: n for n, i in enumerate(self.names)}
-        column = pa.array([t for _, t in items], pa.large_string())
-        found: dict[int, dict[bytes, set[int]]] = {}
-        words: dict[int, list[np.ndarray]] = {}
-        prints: list[np.ndarray] = [np.zeros(0, K.U64)]
-        for r0, r1, data, offsets in K.blocks(column):
+        item = np.array([-1 if i is None else name[i] for i, _ in items], np.int64)
+        prints, found, self.text, held = [np.zeros(0, K.U64)], {}, b"", []
+        done = 0
+        for r0, _, data, offsets in K.blocks(pa.array([t for _, t in items], pa.large_string())):
             W = K.Words(data, offsets, K.WORDY)
             grams = K.shingles(W.hash, k)
             prints.append(grams[winnow(grams, W.first, k, self.w)])
-            sizes = W.ends - W.starts
-            both = np.stack([W.hash, sizes.astype(K.U64)], 1) if len(W.hash) else np.zeros((0, 2), K.U64)
-            for r in range(r1 - r0):
-                a, b = int(W.first[r]), int(W.first[r + 1])
-                length = min(span, b - a)
-                for s in range(a, b - length + 1) if length else ():
-                    key = both[s : s + length].tobytes()
-                    if key not in (have := found.setdefault(length, {})):
-                        have[key] = set()
-                        words.setdefault(length, []).append(both[s : s + length])
-                    if items[r0 + r][0] is not None:
-                        have[key].add(name[items[r0 + r][0]])
+            sizes = np.diff(W.first)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            joined, at = W.joined()
+            held.append(joined)
+            for length in np.unique(np.minimum(sizes[sizes > 0], span)).tolist():
+                if length == span:
+                    start = np.flatnonzero(K.windows_in_rows(W.first, span))
+                else:
+                    start = W.first[:-1][sizes == length]
+                one, two = K.shingles(W.hash, length)[start], K.shingles(W.hash ^ K.U64(0x3C6EF372FE94F82B), length)[start]
+                found.setdefault(length, []).append((one, two, item[r0 + row[start]], done + at[start], done + at[start + length]))
+            done += len(joined)
+        self.text = b"".join(held)
         self.prints = np.unique(np.concatenate(prints))
-        self.by_length = {}
-        for length, have in found.items():
-            table = np.stack(words[length])
-            keys = np.array([K.shingles(row[:, 0].copy(), length)[0] for row in table], K.U64)
-            order = np.argsort(keys, kind="stable")
-            members = list(have.values())
-            self.by_length[length] = (keys[order], table[order], [members[i] for i in order])
+        self.by_length = {length: self._windows(*(np.concatenate(x) for x in zip(*parts, strict=True))) for length, parts in found.items()}
+
+    @staticmethod
+    def _windows(one, two, item, start, end) -> tuple[np.ndarray, ...]:
+        """Distinct windows by hash: hash, start and end in the text, first of its items, items."""
+        order = np.lexsort((item, two, one))
+        one, two, item = one[order], two[order], item[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        window = np.cumsum(new) - 1
+        own = np.ones(len(one), bool)
+        own[1:] = new[1:] | (item[1:] != item[:-1])
+        own &= item >= 0
+        lead = order[new]
+        return one[new], start[lead], end[lead], np.searchsorted(window[own], np.arange(window[-1] + 2)), item[own]
 
     def windows(self, length: int, at: np.ndarray, keys: np.ndarray, W: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Of document windows (starts `at`, hashes `keys`), those that are windows of an item, and which."""
-        have, table, _ = self.by_length[length]
+        """Of document windows (starts `at`, hashes `keys`), those that are windows of an item, letter by letter, and which."""
+        have, start, end, _, _ = self.by_length[length]
         lo, hi = np.searchsorted(have, keys, "left"), np.searchsorted(have, keys, "right")
         hit = np.flatnonzero(hi > lo)
         out_at, out_w = [], []
-        # equal hashes of different windows are next to each other; all are compared word by word
+        if len(hit):
+            text, place = W.joined()
+        # equal hashes of different windows are next to each other; all are compared
         for step in range(int((hi - lo)[hit].max()) if len(hit) else 0):
             hit = hit[lo[hit] + step < hi[hit]]
             w, s = lo[hit] + step, at[hit]
-            same = np.ones(len(hit), bool)
-            for j in range(length):
-                same &= (W.hash[s + j] == table[w, j, 0]) & ((W.ends[s + j] - W.starts[s + j]).astype(K.U64) == table[w, j, 1])
+            spans = zip(place[s].tolist(), place[s + length].tolist(), start[w].tolist(), end[w].tolist(), strict=True)
+            same = np.fromiter((text[a:b] == self.text[c:d] for a, b, c, d in spans), bool, len(hit))
             out_at.append(s[same])
             out_w.append(w[same])
         return (np.concatenate(out_at), np.concatenate(out_w)) if out_at else (np.zeros(0, np.int64),) * 2
@@ -97,8 +109,8 @@ class Index:
         """Which words are hit, and the distinct (row, item) pairs."""
         n = len(W.hash)
         mark = np.zeros(n + 1, np.int64)
-        pairs: set[tuple[int, int]] = set()
-        for length, (_, _, members) in self.by_length.items():
+        pairs = [np.zeros((2, 0), np.int64)]
+        for length, (_, _, _, first, members) in self.by_length.items():
             if length > n:
                 continue
             whole = K.windows_in_rows(W.first, length)[: n - length + 1]
@@ -125,10 +137,11 @@ class Index:
             np.add.at(mark, at, 1)
             np.add.at(mark, at + length, -1)
             row = np.searchsorted(W.first, at, "right") - 1
-            seen = np.unique(np.stack([row, which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            for r, w in zip(*seen.tolist(), strict=True):
-                pairs.update((r, i) for i in members[w])
-        return np.cumsum(mark)[:n] > 0, sorted(pairs)
+            row, which = np.unique(np.stack([row, which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+            size = first[which + 1] - first[which]
+            item = members[np.repeat(first[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            pairs.append(np.stack([np.repeat(row, size), item]))
+        return np.cumsum(mark)[:n] > 0, np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist()
 
 
 def item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -144,54 +157,104 @@ def item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[str | N
         yield block
 
 
+def _found(index: Index | None, text: pa.Array) -> tuple[np.ndarray, list[list[str]], list[list[int]]]:
+    """Per text its number of words, the items that it holds, and its runs of hit words (starts and ends, flattened)."""
+    n_words, items, spans = [np.zeros(0, np.int64)], [], []
+    for r0, r1, data, offsets in K.blocks(text):
+        W = K.Words(data, offsets, K.WORDY)
+        n_words.append(np.diff(W.first))
+        here: list[list[str]] = [[] for _ in range(r1 - r0)]
+        runs: list[list[int]] = [[] for _ in range(r1 - r0)]
+        if index is not None:
+            hit, pairs = index.scan(W)
+            for r, i in pairs:
+                here[r].append(index.names[i])
+            s, e = K.runs(hit, W.first)
+            for r, a, b in zip((np.searchsorted(W.first, s, "right") - 1).tolist(), s.tolist(), e.tolist(), strict=True):
+                runs[r] += [a - int(W.first[r]), b - int(W.first[r])]
+        items += here
+        spans += runs
+    return np.concatenate(n_words).astype(np.int64), items, spans
+
+
+_LISTS = (pa.list_(pa.string()), pa.list_(pa.int64()))
+
+
+def _hits(docs: DataFrame, shared) -> DataFrame:
+    """digest, items, spans of the texts that a block hits; a text comes once per task that reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            _, items, spans = _found(shared.value, K.columns(batch, "text"))
+            digests = K.columns(batch, "digest").to_pylist()
+            take = [i for i, s in enumerate(spans) if s and not (digests[i] in seen or seen.add(digests[i]))]
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in take], pa.binary()), *(pa.array([x[i] for i in take], t) for x, t in zip((items, spans), _LISTS, strict=True))], names=["digest", "items", "spans"])
+
+    return docs.mapInArrow(run, "digest binary, items array<string>, spans array<long>")
+
+
+def _merged_hits(hits: DataFrame) -> DataFrame:
+    """One row per digest: the union of what the blocks found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items, spans, out = None, set(), [], []
+        for batch in batches:
+            for d, i, s in zip(*(K.columns(batch, c).to_pylist() for c in ("digest", "items", "spans")), strict=True):
+                if d != now:
+                    if now is not None:
+                        out.append((now, sorted(items), spans))
+                    now, items, spans = d, set(), []
+                items.update(i)
+                spans = _union(spans, s)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), *(pa.array([o[j] for o in out], t) for j, t in enumerate(_LISTS, 1))], names=["digest", "items", "spans"])
+            out = []
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary()), pa.array([sorted(items)], _LISTS[0]), pa.array([spans], _LISTS[1])], names=["digest", "items", "spans"])
+
+    return hits.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, "digest binary, items array<string>, spans array<long>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every row of docs with its columns, and n_words long, n_hit long, items array<string>, spans array<long>.
 
-    spans: start and end (word positions) of the runs of hit words, flattened.
+    spans: start and end (word positions) of the runs of hit words, flattened. Columns of docs with these names are left out.
     """
     spark = docs.sparkSession
     plain = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
     out = docs.select(*(docs[f"`{c}`"] for c in plain))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, items array<string>, spans array<long>"
 
-    def one_pass(shared, again: bool):
+    def one_pass(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index: Index | None = shared.value
             for batch in batches:
-                text = K.columns(batch, "text")
-                n_words, items, spans = [], [], []
-                for r0, r1, data, offsets in K.blocks(text):
-                    W = K.Words(data, offsets, K.WORDY)
-                    n_words.append(np.diff(W.first))
-                    here: list[list[str]] = [[] for _ in range(r1 - r0)]
-                    runs_: list[list[int]] = [[] for _ in range(r1 - r0)]
-                    if index is not None:
-                        hit, pairs = index.scan(W)
-                        for r, i in pairs:
-                            here[r].append(index.names[i])
-                        s, e = K.runs(hit, W.first)
-                        for r, a, b in zip((np.searchsorted(W.first, s, "right") - 1).tolist(), s.tolist(), e.tolist(), strict=True):
-                            runs_[r] += [a - int(W.first[r]), b - int(W.first[r])]
-                    items += here
-                    spans += runs_
-                if again:
-                    items = [sorted({*a, *b}) for a, b in zip(items, K.columns(batch, "items").to_pylist(), strict=True)]
-                    spans = [_union(a, b) for a, b in zip(spans, K.columns(batch, "spans").to_pylist(), strict=True)]
-                words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-                arrays = [K.columns(batch, c) for c in plain] + [pa.array(words.astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
+                words, items, spans = _found(shared.value, K.columns(batch, "text"))
+                arrays = [K.columns(batch, c) for c in plain] + [pa.array(words), pa.array(items, _LISTS[0]), pa.array(spans, _LISTS[1])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*plain, "n_words", "items", "spans"])
 
         return run
 
-    passes = 0
-    for block in item_blocks(benchmark, block_words):
-        out = cut(out) if passes else out
-        out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(Index(block, span, k)), passes > 0), schema)
-        passes += 1
-    if not passes:
-        out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(None), False), schema)
+    blocks = item_blocks(benchmark, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    index = Index(first, span, k) if first is not None and second is None else None
+    found = out.mapInArrow(one_pass(spark.sparkContext.broadcast(index)), schema)
+    if second is not None:
+        digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+        texts, hits = docs.select("text", digest.alias("digest")), None
+        for block in itertools.chain([first, second], blocks):
+            shared = spark.sparkContext.broadcast(Index(block, span, k))
+            got = cut(_hits(texts, shared))  # hits only: the corpus is read again, not written
+            shared.destroy()
+            hits = got if hits is None else hits.unionByName(got)
+        merged = cut(_merged_hits(hits))
+        rows = texts.select("digest").join(merged.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"))
+        side = cut(merged.join(rows, "digest"))
+        bare = found.drop("items", "spans").withColumn("digest", digest)
+        hit = keyed_join(bare, side, ["digest"], "_rows")
+        none = bare.join(side.select("digest"), "digest", "left_anti").withColumn("items", F.array().cast("array<string>")).withColumn("spans", F.array().cast("array<long>"))
+        found = hit.unionByName(none).drop("digest").select(*(F.col(f"`{c}`") for c in (*plain, "n_words", "items", "spans")))
     pairs = F.expr("aggregate(sequence(0, size(spans) - 1, 2), 0L, (a, i) -> a + spans[i + 1] - spans[i])")
-    return out.withColumn("n_hit", F.when(F.size("spans") > 0, pairs).otherwise(F.lit(0).cast("long")))
+    return found.withColumn("n_hit", F.when(F.size("spans") > 0, pairs).otherwise(F.lit(0).cast("long")))
 
 
 def _union(a: list[int], b: list[int]) -> list[int]:
@@ -213,4 +276,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with the columns they had."""
-    return contamination(docs, benchmark, **options).where(F.col("n_hit") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, back = aside(docs, "text")
+    return back(contamination(rows, benchmark, **options).where(F.col("n_hit") == 0))
