@@ -25,9 +25,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node that it reaches) of every node with an edge to another; nodes are longs.
 
     Each round replaces edges by ones to the smallest known neighbour; rows never exceed the edges, no group is
-    gathered, and lineage is cut in the shared folder each round. Rounds end when the edges stay as they are.
+    gathered, and lineage is cut in the shared folder each round. Rounds end when the edges stay as they are. Edges with
+    a null end, and those of a node to itself, count for nothing; repeated ones count once; no edges give no rows.
     """
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())  # null ends fail the comparison
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
     before = None
     while (mark := sign(now)) != before and mark[0]:

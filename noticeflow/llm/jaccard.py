@@ -1,7 +1,7 @@
 """Operator 7, n-gram Jaccard join with signature trees.
 
-Sets of word shingles link when they share at least `percent` of their union. Rows with equal sets are one
-node. Two sets can only link if they share one of the `n - ceil(percent n) + 1` first shingles of each, in any
+Sets of word shingles link when they share at least `percent` of their union. Rows with equal sets (by 128 bits) are
+one node, numbered once, before anything is dealt out by shingle: a text that a third of all rows hold counts once. Two sets can only link if they share one of the `n - ceil(percent n) + 1` first shingles of each, in any
 order that holds for all; frequent shingles come last here (a sample tells which; the order never changes
 results). The nodes that share a shingle form a group; each distinct group gets a signature tree, whose nodes
 hold the OR of their members' token bitmaps and the range of their sizes. A dual traversal of the tree drops
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm import kernel as K
 from noticeflow.llm.components import connected
-from noticeflow.llm.shared import cut, only
+from noticeflow.llm.shared import aside, cut, keyed_join, only
 
 WORDS = 8  #: least 64-bit words of a token bitmap, and those of a tree's inner nodes
 LEAF = 8  #: members of a tree's leaf, and children of a node
@@ -81,16 +81,49 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
-def _nodes(docs: DataFrame, k: int, percent: int, last) -> DataFrame:
-    """doc_id, mark, n, s1, s2, usual (thousandths of the set that are frequent shingles), bits (the token bitmap) and prefix per row."""
+def _rows(docs: DataFrame, k: int, none) -> DataFrame:
+    """doc_id, mark, n, s1, s2 per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r0, r1, data, offsets in K.blocks(K.columns(batch, "text")):
+                h, first = _sorted_sets(data, offsets, k, none.value)
+                s1, s2 = _set_ids(h, first)
+                arrays = [K.columns(batch, "doc_id").slice(r0, r1 - r0), K.columns(batch, "mark").slice(r0, r1 - r0), pa.array(np.diff(first).astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n", "s1", "s2"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, s1 long, s2 long")
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each (s1, s2) that a task sees; the ids of one shuffle partition are held, 16 bytes each."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        ids = zip(K.columns(batch, "s1").to_pylist(), K.columns(batch, "s2").to_pylist(), strict=True)
+        take = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+        if take:
+            yield batch if len(take) == batch.num_rows else batch.take(pa.array(take))
+
+
+def _kinds(docs: DataFrame, k: int, percent: int, last) -> DataFrame:
+    """One row per distinct set: node (its number), s1, s2, n, usual (thousandths of the set that are frequent shingles), bits (the token bitmap) and prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a set is sent on once per task, but for very large tasks
+        for batch in batches:
+            for _, _, data, offsets in K.blocks(K.columns(batch, "text")):
                 h, first = _sorted_sets(data, offsets, k, last.value)
-                n = np.diff(first)
                 s1, s2 = _set_ids(h, first)
-                length = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                own = zip(s1.tolist(), s2.tolist(), np.diff(first).tolist(), strict=True)
+                keep = np.array([i for i, (x, y, m) in enumerate(own) if m and not ((x, y) in seen or seen.add((x, y)))], np.int64)
+                if not len(keep):
+                    continue
+                n = np.diff(first)[keep]
+                h = h[np.repeat(first[keep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                first = np.concatenate([[0], np.cumsum(n)])
+                length = n + (-percent * n) // 100 + 1
                 row = np.repeat(np.arange(len(n)), length)
                 flat = h[first[row] + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)]
                 often = np.zeros(len(h) + 1, np.int64)
@@ -98,16 +131,19 @@ def _nodes(docs: DataFrame, k: int, percent: int, last) -> DataFrame:
                     place = np.searchsorted(last.value, h)
                     place[place == len(last.value)] = 0
                     np.cumsum(last.value[place] == h, out=often[1:])
-                usual = 1000 * (often[first[1:]] - often[first[:-1]]) // np.maximum(n, 1)
+                usual = 1000 * (often[first[1:]] - often[first[:-1]]) // n
                 width = bitmap_bits(n)
                 ends = np.cumsum(width)
                 bits = np.zeros(int(ends[-1]), np.uint8)
                 bits[np.repeat(ends - width, n) + (h & np.repeat(width - 1, n).astype(K.U64)).astype(np.int64)] = 1
                 packed, ends = np.packbits(bits, bitorder="little").tobytes(), ends // 8
-                arrays = [K.columns(batch, "doc_id").slice(r0, r1 - r0), K.columns(batch, "mark").slice(r0, r1 - r0), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(usual), pa.array([packed[b - w : b] for b, w in zip(ends.tolist(), (width // 8).tolist(), strict=True)], pa.binary()), _lists(flat.view(np.int64), length)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n", "s1", "s2", "usual", "bits", "prefix"])
+                bitmaps = [packed[b - w : b] for b, w in zip(ends.tolist(), (width // 8).tolist(), strict=True)]
+                arrays = [pa.array(s1[keep].view(np.int64)), pa.array(s2[keep].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(usual), pa.array(bitmaps, pa.binary()), _lists(flat.view(np.int64), length)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["s1", "s2", "n", "usual", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n long, s1 long, s2 long, usual long, bits binary, prefix array<long>")
+    schema = "s1 long, s2 long, n long, usual long, bits binary, prefix array<long>"
+    found = docs.select("text").mapInArrow(run, schema).repartition("s1", "s2").mapInArrow(_first_of_each, schema)
+    return found.select(F.monotonically_increasing_id().alias("node"), "*")
 
 
 def _frequent(docs: DataFrame, k: int, one_in: int, least: int, none) -> np.ndarray:
@@ -125,7 +161,7 @@ def _frequent(docs: DataFrame, k: int, one_in: int, least: int, none) -> np.ndar
 
 
 def _groups(nodes: DataFrame, dense: int) -> DataFrame:
-    """Rows (g1, g2, s1): the members of each distinct group of nodes that share a prefix shingle.
+    """Rows (g1, g2, node): the members of each distinct group of nodes that share a prefix shingle.
 
     Groups of up to `dense` members are told apart by what they hold; larger ones keep their shingle as the name.
     """
@@ -136,7 +172,7 @@ def _groups(nodes: DataFrame, dense: int) -> DataFrame:
         streaming: int | None = None  # shingle of a group that is already being sent on
 
         def rows(g1, g2, s1):
-            return pa.RecordBatch.from_arrays([pa.array(g1), pa.array(g2), pa.array(s1)], names=["g1", "g2", "s1"])
+            return pa.RecordBatch.from_arrays([pa.array(g1), pa.array(g2), pa.array(s1)], names=["g1", "g2", "node"])
 
         def named(token, members):
             return rows(np.full(len(members), token), np.full(len(members), -1), members)
@@ -175,7 +211,7 @@ def _groups(nodes: DataFrame, dense: int) -> DataFrame:
 
         for batch in batches:
             token = np.concatenate([token_left, K.columns(batch, "token").to_numpy(zero_copy_only=False)])
-            s1 = np.concatenate([members_left, K.columns(batch, "s1").to_numpy(zero_copy_only=False)])
+            s1 = np.concatenate([members_left, K.columns(batch, "node").to_numpy(zero_copy_only=False)])
             if streaming is not None:
                 n = int(np.argmax(token != streaming)) if token[-1] != streaming else len(token)
                 if n:
@@ -196,8 +232,8 @@ def _groups(nodes: DataFrame, dense: int) -> DataFrame:
         if (out := closed(token_left, members_left)) is not None:
             yield out
 
-    tokens = nodes.select(F.explode("prefix").alias("token"), "s1").repartition("token").sortWithinPartitions("token", "s1")
-    return tokens.mapInArrow(run, "g1 long, g2 long, s1 long").distinct()
+    tokens = nodes.select(F.explode("prefix").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node")
+    return tokens.mapInArrow(run, "g1 long, g2 long, node long").distinct()
 
 
 def required(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -300,7 +336,7 @@ class SignatureTree:
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b of nodes that trees over the groups (by hub, ci, cj) can't rule out.
 
-    members: hub, ci, cj, side, s1, n, bits, label; where ci <> cj only pairs of different `side` count.
+    members: hub, ci, cj, side, node, n, bits, label; where ci <> cj only pairs of different `side` count.
     """
 
     keys = ["hub", "ci", "cj"]
@@ -317,7 +353,7 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
             g = np.stack([col(c) for c in keys])
             start = np.flatnonzero(np.concatenate([[True], (g[:, 1:] != g[:, :-1]).any(0)]))
             size = np.diff(np.append(start, table.num_rows))
-            s1, n, label, side = col("s1"), col("n"), col("label"), col("side")
+            node, n, label, side = col("node"), col("n"), col("label"), col("side")
             bits = Bitmaps(table.column("bits").to_pylist())
             cross = g[1] != g[2]
             ones, twos = [], []
@@ -330,14 +366,14 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
                 for c in range(0, len(i), 500_000):
                     p, q = i[c : c + 500_000], j[c : c + 500_000]
                     ok = _may_link(bits, n, label, p, q, percent) & (~cross[p] | (side[p] != side[q]))
-                    ones.append(s1[p[ok]])
-                    twos.append(s1[q[ok]])
+                    ones.append(node[p[ok]])
+                    twos.append(node[q[ok]])
             for a, m in zip(start.tolist(), size.tolist(), strict=True):
                 if m > 2 * LEAF:
                     i, j = SignatureTree(bits, np.arange(a, a + m), n, label).pairs(percent)
                     ok = ~cross[a] | (side[i] != side[j])
-                    ones.append(s1[i[ok]])
-                    twos.append(s1[j[ok]])
+                    ones.append(node[i[ok]])
+                    twos.append(node[j[ok]])
             if ones:
                 yield emit(np.concatenate(ones), np.concatenate(twos))
 
@@ -372,46 +408,48 @@ def _pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([K.columns(batch, c).filter(pa.array(ok)) for c in "ab"], names=["a", "b"])
 
     for x in "ab":
-        pairs = pairs.join(kinds.select(F.col("s1").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+        pairs = pairs.join(kinds.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def _elements(needed: DataFrame, docs: DataFrame, k: int, none) -> DataFrame:
-    """s, elements (sorted shingles) of the sets whose ids are in `needed` (node); other sets may be among them."""
+    """s1, s2, elements (sorted shingles) of the sets of `needed` (s1, s2), at most once per task; other sets may be among them."""
     spark = docs.sparkSession
     ids = None
     if needed.count() <= FILTER_IDS:
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in needed.collect()], np.int64)))
+        ids = spark.sparkContext.broadcast(np.unique(np.fromiter((r[0] for r in needed.select("s1").toLocalIterator()), np.int64)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, data, offsets in K.blocks(K.columns(batch, "text")):
                 h, first = _sorted_sets(data, offsets, k, none.value)
-                s1 = _set_ids(h, first)[0].view(np.int64)
+                s1, s2 = (x.view(np.int64) for x in _set_ids(h, first))
                 want = np.flatnonzero(np.isin(s1, ids.value)) if ids is not None else np.arange(len(s1))
-                want = [i for i in want.tolist() if first[i + 1] > first[i] and not (int(s1[i]) in seen or seen.add(int(s1[i])))]
+                keys = zip(want.tolist(), s1[want].tolist(), s2[want].tolist(), strict=True)
+                want = [i for i, x, y in keys if first[i + 1] > first[i] and not ((x, y) in seen or seen.add((x, y)))]
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if want:
-                    yield pa.RecordBatch.from_arrays([pa.array(s1[want]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in want], pa.binary())], names=["s", "elements"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s1[want]), pa.array(s2[want]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in want], pa.binary())], names=["s1", "s2", "elements"])
 
-    return docs.mapInArrow(sets, "s long, elements binary")
+    return docs.mapInArrow(sets, "s1 long, s2 long, elements binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
+def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
     """Of the candidate pairs (a, b), those that link, by their whole sets."""
     parts = cut(connected(pairs))
 
     # a task: the pairs between two chunks of a candidate component; each set goes to the tasks that need it
     sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
-    place = cut(parts.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c")))
+    ids = kinds.select("node", "s1", "s2")
+    place = cut(parts.join(sizes, "root").join(ids, "node").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c"), "s1", "s2"))
     one, two = (place.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
     tasks = pairs.join(one, "a").join(two, "b").select(F.xxhash64("ra", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("task"), "a", "b")
     tasks = cut(tasks)
-    places = tasks.select("task", F.col("a").alias("s")).unionAll(tasks.select("task", F.col("b").alias("s"))).distinct()
-    found = _elements(parts.select("node"), docs, k, none)
-    carried = places.join(found, "s").select("task", F.lit(0).alias("kind"), F.col("s").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
+    places = tasks.select("task", F.col("a").alias("node")).unionAll(tasks.select("task", F.col("b").alias("node"))).distinct().join(place.select("node", "s1", "s2"), "node")
+    found = _elements(place.select("s1", "s2"), docs, k, none)
+    carried = places.join(found, ["s1", "s2"]).select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
     both = carried.unionAll(tasks.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,48 +495,47 @@ def common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarr
     return out
 
 
-def _class_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
-    """s1, links: per member of a class (s1, root), part by part, how many others of the class link with it.
+def _class_links(classes: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
+    """node, links: per member of a class (node, root), part by part, how many others of the class link with it.
 
     A task compares two chunks of a class and returns a row for each of their members, never the pairs.
     """
     keys = ["root", "ci", "cj"]
     sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     sized = cut(classes.join(sizes, "root"))
-    twos = sized.where("m = 2").select("s1", F.lit(1).cast("long").alias("links"))
-    many = sized.where("m > 2").withColumn("chunks", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
-    placed = many.withColumn("side", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
-    spread = placed.select("root", "side", "s1", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    members = spread.select("root", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", F.col("s1").alias("s"))
-    # several tasks may send the same set: one row of it is enough
-    found = _elements(many.select(F.col("s1").alias("node")), docs, k, none).groupBy("s").agg(F.first("elements").alias("elements"))
+    twos = sized.where("m = 2").select("node", F.lit(1).cast("long").alias("links"))
+    many = sized.where("m > 2").join(kinds.select("node", "s1", "s2"), "node").withColumn("chunks", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
+    placed = many.withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = placed.select("root", "side", "node", "s1", "s2", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    members = spread.select("root", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", F.col("node").alias("s"), "s1", "s2")
+    found = _elements(many.select("s1", "s2"), docs, k, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, {}  # several tasks may have sent the same set
 
         def counted() -> pa.RecordBatch:
-            s, side = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held])
-            sets = [np.frombuffer(x[2], K.U64) for x in held]
+            s, side = np.array(list(held), np.int64), np.array([x[0] for x in held.values()])
+            sets = [np.frombuffer(x[1], K.U64) for x in held.values()]
             n = np.array([len(x) for x in sets], np.int64)
             one, two = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
             both = common(sets, one, two)
             ok = 100 * both >= percent * (n[one][:, None] + n[two] - both)
             ok &= one[:, None] != two
             s, links = (s[one], ok.sum(1)) if key[1] == key[2] else (np.concatenate([s[one], s[two]]), np.concatenate([ok.sum(1), ok.sum(0)]))
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(links.astype(np.int64))], names=["s1", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(links.astype(np.int64))], names=["node", "links"])
 
         for batch in batches:
             for *now, side, s, elements in zip(*(K.columns(batch, c).to_pylist() for c in (*keys, "side", "s", "elements")), strict=True):
                 if now != key:
                     if held:
                         yield counted()
-                    key, held = now, []
-                held.append((s, side, elements))
+                    key, held = now, {}
+                held[s] = side, elements
         if held:
             yield counted()
 
-    carried = members.join(found, "s").repartition(*keys).sortWithinPartitions(*keys)
-    return carried.select(*keys, "side", "s", "elements").mapInArrow(run, "s1 long, links long").unionAll(twos)
+    carried = members.join(found, ["s1", "s2"]).repartition(*keys).sortWithinPartitions(*keys)
+    return carried.select(*keys, "side", "s", "elements").mapInArrow(run, "node long, links long").unionAll(twos)
 
 
 def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16, dense: int = 4096, chunk: int = 256, sample_one_in: int = 32, frequent: int = 6, counted: bool = True) -> DataFrame:
@@ -511,42 +548,43 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     none = spark.sparkContext.broadcast(np.zeros(0, K.U64))
     last = spark.sparkContext.broadcast(_frequent(docs, k, sample_one_in, frequent, none))
-    nodes = cut(_nodes(docs, k, percent, last))
-    groups = cut(_groups(nodes.where("n > 0"), dense))
+    kinds = cut(_kinds(docs, k, percent, last))
+    groups = cut(_groups(kinds, dense))
     texts = docs.select("text")
 
-    # one row of each set: its size and bitmap
-    kinds = nodes.where("n > 0").groupBy("s1").agg(F.min(F.struct("n", "usual", "bits")).alias("x")).select("s1", "x.n", "x.usual", "x.bits")
     # a group's hub is the member with the most frequent shingles: what near copies have in common, if it is there
     # itself; groups of one hub hold much the same members and are searched as one
-    rated = groups.join(kinds.select("s1", "usual"), "s1")
-    hubs = rated.groupBy("g1", "g2").agg(F.max(F.struct("usual", "s1"))["s1"].alias("hub"), F.count(F.lit(1)).alias("size"))
-    near = cut(groups.join(hubs, ["g1", "g2"]).groupBy("hub", "s1").agg(F.max("size").alias("size")))
-    stars = near.where((F.col("size") > star) & (F.col("hub") != F.col("s1"))).select(F.least("hub", "s1").alias("a"), F.greatest("hub", "s1").alias("b")).distinct()
-    first = cut(_verified(cut(_pruned(stars, kinds, percent)), texts, k, percent, none, chunk))
-    classes = cut(connected(first)).withColumnRenamed("node", "s1")
-    named = near.join(classes, "s1", "left").select("hub", "s1", F.coalesce("root", "s1").alias("label"))
+    rated = groups.join(kinds.select("node", "usual"), "node")
+    hubs = rated.groupBy("g1", "g2").agg(F.max(F.struct("usual", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("size"))
+    near = cut(groups.join(hubs, ["g1", "g2"]).groupBy("hub", "node").agg(F.max("size").alias("size")))
+    stars = near.where((F.col("size") > star) & (F.col("hub") != F.col("node"))).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    first = cut(_verified(cut(_pruned(stars, kinds, percent)), kinds, texts, k, percent, none, chunk))
+    classes = cut(connected(first))
+    named = near.join(classes, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label"))
     live = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(max(2, dense // 4))).cast("int").alias("parts")).where("lo <> hi").select("hub", "parts")
-    own = F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int")
-    spread = named.join(live, "hub").withColumn("side", own).select("hub", "s1", "label", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = spread.join(kinds.drop("usual"), "s1").select("hub", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "s1", "n", "bits", "label")
-    second = cut(_verified(cut(_candidates(members, percent)), texts, k, percent, none, chunk))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    spread = named.join(live, "hub").withColumn("side", own).select("hub", "node", "label", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    members = spread.join(kinds.select("node", "n", "bits"), "node").select("hub", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "node", "n", "bits", "label")
+    second = cut(_verified(cut(_candidates(members, percent)), kinds, texts, k, percent, none, chunk))
 
     links = cut(first.unionAll(second).distinct())
-    roots = connected(links).withColumnRenamed("node", "s1")
+    known = connected(links)
     if counted:
         # links of the second search join different classes; those inside a class are counted there
-        across = second.select(F.explode(F.array("a", "b")).alias("s1"), F.lit(1).cast("long").alias("links"))
-        inside = cut(_class_links(classes, texts, k, percent, none, 2 * chunk))
-        known = roots.join(across.unionAll(inside).groupBy("s1").agg(F.sum("links").alias("links")), "s1")
+        across = second.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
+        inside = cut(_class_links(classes, kinds, texts, k, percent, none, 2 * chunk))
+        known = known.join(across.unionAll(inside).groupBy("node").agg(F.sum("links").alias("links")), "node")
     else:
-        known = roots.withColumn("links", F.lit(None).cast("long"))
-    # a set without links is its own class, named by all 128 bits
-    marked = nodes.drop("bits", "prefix").join(known, "s1", "left").withColumn("c1", F.coalesce("root", "s1")).withColumn("c2", F.when(F.col("root").isNull(), F.col("s2")).otherwise(F.lit(0)))
-    marked = cut(marked.select("doc_id", "mark", "n", "s1", "s2", "c1", "c2", (F.coalesce("links", F.lit(0)) if counted else F.col("links")).alias("links")))
-    least = marked.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-    linked = marked.where("n > 0").join(least, ["c1", "c2"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "s1", "s2", F.col("least").alias("component_id"), "links")
-    alone = marked.where("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), "s1", "s2", F.col("doc_id").alias("component_id"), "links")
+        known = known.withColumn("links", F.lit(None).cast("long"))
+    # rows are counted by set, sets by component, before either is joined; a set without links is its own component
+    rows = cut(_rows(docs, k, none))
+    sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_rows"))
+    held = cut(sets.join(kinds.select("node", "s1", "s2"), ["s1", "s2"]).join(known, "node", "left").select("s1", "s2", "least", "_rows", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) if counted else F.col("links")).alias("links")))
+    tops = cut(held.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_sets")))
+    side = cut(keyed_join(held.select("root", "s1", "s2", "_rows", "links"), tops, ["root"], "_sets").select("s1", "s2", "_rows", "component_id", "links"))
+    out = ["doc_id", "mark", "n_shingles", "s1", "s2", "component_id", "links"]
+    linked = keyed_join(rows.where("n > 0").withColumnRenamed("n", "n_shingles"), side, ["s1", "s2"], "_rows").select(*out)
+    alone = rows.where("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), "s1", "s2", F.col("doc_id").alias("component_id"), F.lit(0 if counted else None).cast("long").alias("links"))
     return linked.unionAll(alone)
 
 
@@ -557,7 +595,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def alike(docs: DataFrame, **options) -> DataFrame:
     """mark (xxhash64 of the text), unit: the smallest mark that a text reaches by links, for texts that reach a smaller one."""
-    found = components(docs.select(F.xxhash64("text").alias("doc_id"), "text"), counted=False, **options)
+    found = components(only(docs, "text").select(F.xxhash64("text").alias("doc_id"), "text"), counted=False, **options)
     return cut(found.where("component_id <> doc_id").groupBy(F.col("doc_id").alias("mark")).agg(F.min("component_id").alias("unit")))
 
 
@@ -568,4 +606,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = components(docs, counted=False, **options).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("component_id").alias("_component")).where("_id is not null and _id <> _component")
     gone = found.select("_id", "_mark").distinct()
-    return docs.join(gone, (docs["`doc_id`"] == gone["_id"]) & (F.xxhash64(docs["`text`"]) == gone["_mark"]), "left_anti")
+    rows, back = aside(docs, "doc_id", "text")
+    return back(rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti"))
