@@ -3,12 +3,14 @@
 Every window of `length` bytes has an anchor: the rightmost of its least (length/2)-gram hashes. Equal windows
 have equal anchors at equal places, so only windows with an anchor that the corpus holds twice can repeat, and
 these meet in the partition of that anchor. There the distinct stretches of text, in document order, become
-one text with a run-length Burrows-Wheeler index: the suffix-array samples at the ends of its runs give, for
-each position streamed, the length of its longest match (its matching statistic) and where that match is;
-positions with matches of `length` fall into classes, and all but the first of each class are repeats.
+one text with a run-length Burrows-Wheeler index. Of the transform only what its run borders sample is kept: which
+suffix stands above each run's first. From these samples the text's own positions are streamed in order, each with the
+length of its match with the suffix above it and where that is; positions with matches of `length` fall into classes,
+and all but the first of each class are repeats. (The transform of a block is built by sorting its suffixes.)
 
-Whole copies of an earlier text are taken out before; a stretch that a task has already seen in an earlier
-document is marked there and then, so the members of a hot passage are not sent on but once per task.
+Equal strings are one entry of the index, by 128 bits or the bytes themselves: whole copies of an earlier text are
+taken out before, and a stretch that a task has already seen in an earlier document is marked there and then, so that
+the members of a hot passage are not sent on but once per task.
 
 Defined results: null text counts as empty; texts shorter than `length` keep all; rows with one doc_id are
 ordered by the hash of their texts, and if their texts are equal they are one document; a null doc_id comes
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm import kernel as K
-from noticeflow.llm.shared import cut, only
+from noticeflow.llm.shared import cut, keyed_join, only
 
 #: Repeated anchors (8 bytes each) that all tasks may hold at once; beyond that they are joined by shuffle.
 FILTER_ANCHORS = 3_000_000
-#: Documents whose removed spans, or whole copies, may be broadcast; beyond that they are joined by shuffle.
-BROADCAST_DOCS = 200_000
+#: Whole copies (8 bytes each) that all tasks may hold at once; beyond that they are joined by shuffle.
+FILTER_COPIES = 4_000_000
 #: Bytes of text that one run-length index holds, unless a single anchor has more.
 INDEX_BYTES = 1_500_000
 
@@ -39,7 +41,7 @@ INDEX_BYTES = 1_500_000
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window and end window (starts, exclusive end) of each stretch of windows with one anchor."""
     k = length // 2
-    h = K.Prefix(data).fixed(k)
+    h = K.Rolling(data).fixed(k)
     w = length - k + 1
     n = len(h) - w + 1
     none = np.zeros(0, np.int64)
@@ -117,7 +119,6 @@ class RunLengthIndex:
         # separators are all different: each is a run of its own
         head[1:] |= (last[1:] == 0) | (last[:-1] == 0)
         at = np.flatnonzero(head)
-        self.symbols, self.lengths = last[at], np.diff(np.append(at, self.n))
         self.starts = order[at]  # samples at the first row of each run
         self.ends = order[np.append(at[1:], self.n) - 1]  # and at the last
         by = np.argsort(self.starts, kind="stable")
@@ -185,22 +186,39 @@ _KEY = ["late", "doc_id", "mark"]
 def removed_spans(docs: DataFrame, *, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """(spans, copies): per document (late, doc_id, mark) its removed spans (from, to), not yet merged; and the documents that copy an earlier one whole.
 
-    docs: late (doc_id is null), doc_id (0 then), mark, mark2, text (no nulls).
+    docs: late (doc_id is null), doc_id (0 then), mark, digest, text (no nulls).
     """
     spark = docs.sparkSession
-    narrow = docs.select(*_KEY, "mark2", F.octet_length("text").alias("size"))
-    firsts = narrow.groupBy("mark", "mark2").agg(F.min(F.struct("late", "doc_id")).alias("f"), F.max(F.struct("late", "doc_id")).alias("l"))
-    several = firsts.where("f <> l").drop("l")
-    copies = cut(narrow.join(several, ["mark", "mark2"]).where(f"size >= {length} and (late <> f.late or doc_id <> f.doc_id)").select(*_KEY, "size").distinct())
-    gone = copies.select(*_KEY)
-    originals = docs.join(F.broadcast(gone) if copies.count() <= BROADCAST_DOCS else gone, _KEY, "left_anti").where(f"octet_length(text) >= {length}").select(*_KEY, "text")
+    narrow = docs.select(*_KEY, "digest", F.octet_length("text").cast("long").alias("size")).where(f"size >= {length}")
+    firsts = narrow.groupBy("digest").agg(F.min(F.struct("late", "doc_id")).alias("f"), F.max(F.struct("late", "doc_id")).alias("l"), F.count(F.lit(1)).alias("_rows"))
+    several = cut(firsts.where("f <> l").drop("l"))
+    copies = cut(keyed_join(narrow, several, ["digest"], "_rows").where("late <> f.late or doc_id <> f.doc_id").select(*_KEY, "size").distinct())
+    own = F.xxhash64(*_KEY)
+    originals = docs.where(f"octet_length(text) >= {length}").select(*_KEY, own.alias("own"), "text")
+    gone = None
+    if copies.count() <= FILTER_COPIES:
+        gone = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in copies.select(own).toLocalIterator()), np.int64)))
+    else:
+        originals = originals.join(copies.select(*_KEY), _KEY, "left_anti")
+    originals = originals.select(*_KEY, "own", "text")
 
-    def all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches without the rows of whole copies."""
         for batch in batches:
+            if gone is not None and len(gone.value):
+                owns = K.columns(batch, "own").to_numpy()
+                place = np.searchsorted(gone.value, owns)
+                place[place == len(gone.value)] = 0
+                batch = batch.filter(pa.array(gone.value[place] != owns))
+            if batch.num_rows:
+                yield batch
+
+    def all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in first_texts(batches):
             for _, _, data, offsets in K.blocks(K.columns(batch, "text")):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets, length)[0].view(np.int64))], names=["anchor"])
 
-    twice = cut(originals.select("text").mapInArrow(all_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
+    twice = cut(originals.mapInArrow(all_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     few = None
     if twice.count() <= FILTER_ANCHORS:
         few = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in twice.toLocalIterator()), np.int64)))
@@ -208,7 +226,7 @@ def removed_spans(docs: DataFrame, *, length: int = 100) -> tuple[DataFrame, Dat
     else:
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in first_texts(batches):
                 for r0, r1, data, offsets in K.blocks(K.columns(batch, "text")):
                     h, start, _ = anchors(data, offsets, length)
                     row = np.searchsorted(offsets, start, "right") - 1
@@ -222,8 +240,8 @@ def removed_spans(docs: DataFrame, *, length: int = 100) -> tuple[DataFrame, Dat
     names = ["kind", "anchor", *_KEY, "from", "to", "stretch"]
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}
-        for batch in batches:
+        seen: dict[bytes, tuple] = {}
+        for batch in first_texts(batches):
             late, doc, mark = (K.columns(batch, c).to_numpy(zero_copy_only=False) for c in _KEY)
             lists = K.columns(batch, "at")
             for r0, r1, data, offsets in K.blocks(K.columns(batch, "text")):
@@ -241,13 +259,13 @@ def removed_spans(docs: DataFrame, *, length: int = 100) -> tuple[DataFrame, Dat
                     continue
                 h, start, end, row = h[at], start[at], end[at], row[at]
                 stop = end + length - 1
-                text_hash = K.Prefix(data).of(start, stop)
                 base = offsets[row]
                 raw = data.tobytes()
                 kind, keep = [], []
                 order = np.lexsort((start, mark[r0 + row], doc[r0 + row], late[r0 + row]))
                 rows_ = (r0 + row).tolist()
-                starts_, hashes = start.tolist(), text_hash.tolist()
+                starts_ = start.tolist()
+                hashes = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts_, stop.tolist(), strict=True)]
                 for i in order.tolist():
                     key = (int(late[rows_[i]]), int(doc[rows_[i]]), int(mark[rows_[i]]), starts_[i] - int(base[i]))
                     before = seen.get(hashes[i])
@@ -338,15 +356,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _merged_spans(spans: DataFrame) -> DataFrame:
+    """One row per document: its removed spans, merged, ascending, as pairs of 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def packed(done: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64())
+            keys = [pa.array([d[0][i] for d in done], t) for i, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([np.array(merged(d[1]), np.int64).tobytes() for d in done], pa.binary())], names=[*_KEY, "spans"])
+
+        for batch in batches:
+            done = []
+            for *key, a, b in zip(*(K.columns(batch, c).to_pylist() for c in (*_KEY, "from", "to")), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((now, held))
+                    now, held = key, []
+                held.append((a, b))
+                if len(held) > 10_000:
+                    held = merged(held)
+            yield packed(done)
+        if now is not None:
+            yield packed([(now, held)])
+
+    return spans.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, "late int, doc_id long, mark long, spans binary")
+
+
 def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
-    """doc_id, text (what is left, as bytes), n_bytes, n_removed, n_spans, kept_sha256 per row."""
+    """doc_id, text (what is left, as bytes), n_bytes, n_removed, n_spans, kept_sha256 per row.
+
+    Texts meet their spans by shuffle, at every size: nothing that grows with the corpus is broadcast for it.
+    """
     text = F.coalesce("text", F.lit(""))
-    keyed = only(docs, "doc_id", "text").select(F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("mark"), F.xxhash64(F.lit(1), text).alias("mark2"), text.alias("text"))
+    keyed = only(docs, "doc_id", "text").select(F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("mark"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     spans, copies = removed_spans(keyed, length=length)
-    lists = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    whole = copies.select(*_KEY, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").cast("long").alias("to"))).alias("spans"))
-    removed = cut(lists.unionAll(whole))
-    joined = keyed.drop("mark2").join(F.broadcast(removed) if removed.count() <= BROADCAST_DOCS else removed, _KEY, "left")
+    whole = copies.select(*_KEY, F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))
+    removed = _merged_spans(spans.unionAll(whole))
+    joined = keyed.drop("digest").join(removed.hint("shuffle_hash"), _KEY, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +404,7 @@ def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
             left, n, gone, runs = [], [], [], []
             for i, pairs in enumerate(K.columns(batch, "spans").to_pylist()):
                 body, kept, done = raw[at[i] : at[i + 1]].tobytes(), [], 0
-                found = merged([(p["from"], p["to"]) for p in pairs or ()])
+                found = np.frombuffer(pairs or b"", np.int64).reshape(-1, 2).tolist()
                 for a, b in found:
                     kept.append(body[done:a])
                     done = b
