@@ -1,9 +1,11 @@
 """Operator 10, WARC archives as a chunked record table.
 
 An archive is a table of rows (archive, record, chunk_no, data, block_sha1): the `data` of its records in order
-are the bytes of a WARC 1.1 file, and no row holds more than `chunk_bytes`. Writers and readers go through a
-record chunk by chunk with incremental digests, so a record of any size takes the memory of a chunk.
-`block_sha1` is the SHA-1 of the record's bytes up to and with that chunk: a reader checks each chunk as it
+are the bytes of a WARC 1.1 file, and no row holds more than `chunk_bytes`. An archive's name is new for every task
+of every write, so later writes add archives. Payloads reach the writers in slices that are cut beside the scan, and
+leave them chunk by chunk with incremental digests; readers likewise take a record's chunks one by one. Python thus
+holds an Arrow batch (which Spark bounds in bytes, see spark.sql.execution.arrow.maxBytesPerBatch) and a chunk, never a
+record; the source row itself is as large as its scan reads it. Equal payloads are told by SHA-1 and length. `block_sha1` is the SHA-1 of the record's bytes up to and with that chunk: a reader checks each chunk as it
 comes. Records with equal payloads of at least `least_bytes` are one response and revisits that refer to it.
 
 Defined results: null html is an empty payload; a null url leaves its header out; of equal payloads the smallest
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from noticeflow.llm import kernel as K
 from noticeflow.llm.shared import cut, only, table_path
 
-TABLE = "archive long, record long, chunk_no long, data binary, block_sha1 binary"
+TABLE = "archive string, record long, chunk_no long, data binary, block_sha1 binary"
 ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 #: Rows that one Arrow batch of the writer holds: a few, as each may be a whole chunk.
 BATCH_ROWS = 64
@@ -36,25 +38,9 @@ VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identic
 DATE = "1970-01-01T00:00:00Z"
 
 
-def digest_of(body: memoryview | bytes, step: int = 1 << 20) -> str:
-    """Bare upper-case base32 SHA-1, fed in steps."""
-    sha, view = hashlib.sha1(), memoryview(body)
-    for a in range(0, len(view), step):
-        sha.update(view[a : a + step])
-    return base64.b32encode(sha.digest()).decode()
-
-
-def _payloads(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = K.string_buffers(K.columns(batch, "html"))
-            view = memoryview(raw)
-            digests = [digest_of(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([K.columns(batch, c) for c in ("page_id", "url", "html")] + [pa.array(at[1:] - at[:-1]), pa.array(digests, pa.string())], names=["page_id", "url", "html", "payload_bytes", "payload_digest"])
-
-    return pages.mapInArrow(run, "page_id long, url string, html string, payload_bytes long, payload_digest string")
+def base32_of(digest: bytes) -> str:
+    """Bare upper-case base32."""
+    return base64.b32encode(digest).decode()
 
 
 def _record_id(digest: str, page_id: int | None) -> str:
@@ -65,10 +51,10 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record_parts(page_id: int | None, url: str | None, body: memoryview, digest: str, first: int | None, response: bool) -> list[memoryview]:
-    """The bytes of a record: header, HTTP header, payload (responses only), end."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-    block = len(http) + (len(body) if response else 0)
+def record_head(page_id: int | None, url: str | None, size: int, digest: str, first: int | None, response: bool) -> bytes:
+    """What stands before a record's payload: its header, and the HTTP header."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = len(http) + (size if response else 0)
     lines = [f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {_record_id(digest, page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
@@ -79,62 +65,87 @@ def record_parts(page_id: int | None, url: str | None, body: memoryview, digest:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(digest, first)}"]
         if first is not None:
             lines.append(f"X-Refers-To-Page: {first}")
-    head = VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n"
-    return [memoryview(head + http), body if response else memoryview(b""), memoryview(b"\r\n\r\n")]
+    return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def chunks(parts: list[memoryview], size: int) -> Iterator[bytes]:
-    """The parts' bytes in pieces of `size` (the last may be shorter), copying a piece at a time."""
-    held = bytearray()
-    for part in parts:
+class RecordWriter:
+    """Takes a record's bytes in any pieces and gives chunks of one size, each with the digest of all bytes so far."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.sha, self.no = size, bytearray(), hashlib.sha1(), 0
+
+    def _chunk(self) -> tuple[int, bytes, bytes]:
+        data = bytes(self.held)
+        self.held.clear()
+        self.sha.update(data)
+        self.no += 1
+        return self.no - 1, data, self.sha.copy().digest()
+
+    def feed(self, part: memoryview | bytes) -> Iterator[tuple[int, bytes, bytes]]:
         at = 0
         while at < len(part):
-            take = min(size - len(held), len(part) - at)
-            held += part[at : at + take]
+            take = min(self.size - len(self.held), len(part) - at)
+            self.held += part[at : at + take]
             at += take
-            if len(held) == size:
-                yield bytes(held)
-                held.clear()
-    if held:
-        yield bytes(held)
+            if len(self.held) == self.size:
+                yield self._chunk()
+
+    def close(self) -> Iterator[tuple[int, bytes, bytes]]:
+        yield from self.feed(b"\r\n\r\n")
+        if self.held:
+            yield self._chunk()
 
 
 def write_archive(pages: DataFrame, path: str, *, chunk_bytes: int = 256 << 10, least_bytes: int = 0) -> None:
     """Appends a record per row of pages (page_id, url, html) to the record table at `path`; a task writes an archive."""
-    rows = _payloads(only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long")))
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body"))
+    rows = rows.select("*", F.unhex(F.sha1("body")).alias("digest"), F.octet_length("body").cast("long").alias("size"))
     # only payloads that occur again need their first page
-    shared = rows.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("payload_bytes") >= least_bytes)).select("payload_digest", "first", F.lit(True).alias("again"))
+    shared = rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) & (F.col("size") >= least_bytes)).select("digest", "first", F.lit(True).alias("again"))
     shared = cut(shared)
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared
-    marked = rows.join(shared, "payload_digest", "left").withColumn("response", F.col("again").isNull() | F.col("first").eqNullSafe(F.col("page_id")))
+    marked = rows.join(shared, "digest", "left").withColumn("response", F.col("again").isNull() | F.col("first").eqNullSafe(F.col("page_id")))
+    # slices of a payload follow each other in its row's task; a revisit has none but the first, empty
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(chunk_bytes).cast("long"))
+    parts = F.when(F.col("response"), F.transform(at, lambda a: F.substring(F.col("body"), (a + 1).cast("int"), F.lit(chunk_bytes)))).otherwise(F.array(F.lit(b"")))
+    sliced = marked.select("page_id", "url", "size", "digest", "first", "response", F.posexplode(parts).alias("at", "part"))
+    written = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        archive = context.partitionId() if context else 0
-        nth, out = 0, []
+        archive = f"{written}-{context.partitionId() if context else 0:06d}"
+        nth, out, writer = -1, [], None
 
         def batch_of(rows_):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["archive", "record", "chunk_no", "data", "block_sha1"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["archive", "record", "chunk_no", "data", "block_sha1"])
+
+        def put(chunks):
+            for no, data, sha in chunks:
+                out.append((archive, nth, no, data, sha))
 
         for batch in batches:
-            raw, at = K.string_buffers(K.columns(batch, "html"))
+            raw, edge = K.string_buffers(K.columns(batch, "part"))
             view = memoryview(raw)
-            ids, urls, digests, firsts_, responses = (K.columns(batch, c).to_pylist() for c in ("page_id", "url", "payload_digest", "first", "response"))
+            ids, urls, sizes, digests, firsts, responses, ats = (K.columns(batch, c).to_pylist() for c in ("page_id", "url", "size", "digest", "first", "response", "at"))
             for i in range(batch.num_rows):
-                sha = hashlib.sha1()
-                for no, data in enumerate(chunks(record_parts(ids[i], urls[i], view[at[i] : at[i + 1]], digests[i], firsts_[i], responses[i]), chunk_bytes)):
-                    sha.update(data)
-                    out.append((archive, (archive << 40) + nth, no, data, sha.copy().digest()))
-                    if len(out) >= BATCH_ROWS:
-                        yield batch_of(out)
-                        out = []
-                nth += 1
+                if ats[i] == 0:
+                    if writer is not None:
+                        put(writer.close())
+                    nth, writer = nth + 1, RecordWriter(chunk_bytes)
+                    put(writer.feed(record_head(ids[i], urls[i], sizes[i], base32_of(digests[i]), firsts[i], responses[i])))
+                put(writer.feed(view[edge[i] : edge[i + 1]]))
+                if len(out) >= BATCH_ROWS:
+                    yield batch_of(out)
+                    out.clear()
+        if writer is not None:
+            put(writer.close())
         if out:
             yield batch_of(out)
 
-    marked.select("page_id", "url", "html", "payload_digest", "first", "response").mapInArrow(write, TABLE).write.mode("append").parquet(path)
+    sliced.mapInArrow(write, TABLE).write.mode("append").parquet(path)
 
 
 class RecordReader:
@@ -186,7 +197,7 @@ class RecordReader:
         length = next((int(x.partition(b":")[2]) for x in bytes(self.http).split(b"\r\n") if x.lower().startswith(b"content-length:")), -1)
         whole = self.intact and self.fields is not None and self.left == 0 and bytes(self.tail) == b"\r\n\r\n"
         if kind == "response":
-            digest = base64.b32encode(self.sha.digest()).decode()
+            digest = base32_of(self.sha.digest())
             whole &= digest == said and self.payload == length
         else:
             digest = said
@@ -205,8 +216,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_), kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
 
         for batch in batches:
-            for record, no, data, digest in zip(*(K.columns(batch, c) for c in ("record", "chunk_no", "data", "block_sha1")), strict=True):
-                if (r := record.as_py()) != now:
+            for archive, record, no, data, digest in zip(*(K.columns(batch, c) for c in ("archive", "record", "chunk_no", "data", "block_sha1")), strict=True):
+                if (r := (archive.as_py(), record.as_py())) != now:
                     if reader is not None:
                         out.append(reader.row())
                     now, reader = r, RecordReader()
@@ -220,7 +231,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of(out)
 
     table = spark.read.schema(TABLE).parquet(path)
-    return table.repartition("record").sortWithinPartitions("record", "chunk_no").select("record", "chunk_no", "data", "block_sha1").mapInArrow(read, ROWS)
+    return table.repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk_no").mapInArrow(read, ROWS)
 
 
 def export_warc(spark: SparkSession, path: str, folder: str) -> list[str]:
@@ -231,7 +242,7 @@ def export_warc(spark: SparkSession, path: str, folder: str) -> list[str]:
         if archive != now:
             if stream is not None:
                 stream.close()
-            now, name = archive, f"{folder.rstrip('/')}/part-{archive:06d}.warc"
+            now, name = archive, f"{folder.rstrip('/')}/{archive}.warc"
             p = hadoop.Path(name)
             stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
             out.append(name)

@@ -38,6 +38,19 @@ def test_round_trip(spark, tmp_path):
     assert data.count(b"WARC/1.1\r\nWARC-Type: ") == len(PAGES) and data.count("ü".encode() * 5000) == 1
 
 
+def test_appends_and_long_payloads(spark, tmp_path):
+    frame = lambda pages: spark.createDataFrame(pages, "page_id long, url string, html string")
+    long_ = [(50, "u", "é" * 700_000 + "end"), (51, "u", "y" * 300_000)]
+    path = str(tmp_path / "t")
+    warc.write_archive(frame(PAGES[:3]).coalesce(1), path)
+    warc.write_archive(frame(PAGES[5:8]).coalesce(1), path)
+    warc.write_archive(frame(long_).coalesce(1), path, chunk_bytes=100_001)
+    got = rows(warc.read_archive(spark, path).drop("url"))
+    assert got == sorted(brute(PAGES[:3]) + brute(PAGES[5:8]) + brute(long_), key=str)
+    files = warc.export_warc(spark, path, str(tmp_path / "files"))
+    assert len(files) == 3 and b"".join(open(f, "rb").read() for f in files).count("é".encode() * 700_000 + b"end\r\n\r\n") == 1
+
+
 def test_damage_is_seen(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:1] + PAGES[5:6], "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path / "t"), chunk_bytes=1000)
