@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from noticeflow.llm.shared import cut
+from noticeflow.llm.shared import aside, cut, only
 
 #: Boilerplate lines up to which all of them are sent to every executor (a few tens of bytes each).
 BROADCAST_LINES = 50_000
@@ -51,33 +52,46 @@ def boilerplate(pages: DataFrame, *, site: str = "source", text: str = "text", m
     return often.join(totals, often["site"].eqNullSafe(totals["site"])).where(F.col("pages") * 100 > F.col("site_pages") * most_percent).select(often["site"], "line", "pages", "site_pages")
 
 
+def _buckets(found: DataFrame) -> DataFrame:
+    """Per site its boilerplate lines as an array of buckets by hash, a few lines each: a page's line is looked up in one."""
+    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("site")) / 8)).cast("int")
+    dealt = found.select("site", "line", n.alias("n")).withColumn("bucket", F.pmod("line.a", "n").cast("int"))
+    lists = dealt.groupBy("site", "n", "bucket").agg(F.collect_list("line").alias("lines"))
+    maps = lists.groupBy("site", "n").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "lines"))).alias("m"))
+    empty = F.array().cast(lists.schema["lines"].dataType)
+    return maps.select("site", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.col("m")[i], empty)).alias("gone"))
+
+
 def drop_boilerplate(pages: DataFrame, *, site: str = "source", text: str = "text", key: str = "doc_id", broadcast_lines: int = BROADCAST_LINES, **options) -> DataFrame:
     """The pages with boilerplate lines removed from `text`, and n_lines, n_dropped (long)."""
     columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     found = cut(boilerplate(pages, site=site, text=text, **options))
-    if found.count() <= broadcast_lines:
-        gone = found.groupBy("site").agg(F.collect_list("line").alias("gone"))
+    few = found.count() <= broadcast_lines
+    if few:
+        gone = _buckets(found)
         on = F.col(f"p.`{site}`").eqNullSafe(F.col("g.site"))
         both = pages.alias("p").join(F.broadcast(gone).alias("g"), on, "left")
     else:
         own = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{key}`").alias("key"), F.explode(_digests(F.col(f"`{text}`"))).alias("line")).alias("o")
         hits = own.join(found.alias("f"), F.col("o.site").eqNullSafe(F.col("f.site")) & (F.col("o.line") == F.col("f.line")))
         # rows of one key and site share what is dropped: a line is boilerplate for the whole site
-        gone = hits.groupBy("o.site", "o.key").agg(F.collect_set("o.line").alias("gone"))
+        gone = hits.groupBy("o.site", "o.key").agg(F.array(F.collect_set("o.line")).alias("gone"))
         on = F.col(f"p.`{site}`").eqNullSafe(F.col("g.site")) & F.col(f"p.`{key}`").eqNullSafe(F.col("g.key"))
         both = pages.alias("p").join(gone.alias("g"), on, "left")
     lines = F.split(F.col(f"p.`{text}`"), "\n")
-    left = F.when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("g.gone"), _digest(x))))
+    left = F.when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.get(F.col("g.gone"), F.pmod(F.xxhash64(x), F.size("g.gone")).cast("int")), _digest(x))))
     out = both.select(*(F.col(f"p.`{c}`") for c in columns if c != text), lines.alias("_nf_lines"), left.alias("_nf_left"))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     made = {text: F.array_join("_nf_left", "\n"), "n_lines": size("_nf_lines"), "n_dropped": size("_nf_lines") - size("_nf_left")}
     return out.select(*(made[c].alias(c) if c == text else F.col(f"`{c}`") for c in columns), made["n_lines"].alias("n_lines"), made["n_dropped"].alias("n_dropped"))
 
 
-def cleaned(pages: DataFrame, **options) -> DataFrame:
+def cleaned(pages: DataFrame, *, site: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The pages without their boilerplate lines, in the columns they had; n_chars, if there, follows the text."""
-    out = drop_boilerplate(pages, **options)
-    return out.select(*((F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in pages.columns))
+    counted = ["n_chars"] if "n_chars" in pages.columns else []
+    rows, back = aside(pages, site, text, key, *counted)
+    out = drop_boilerplate(rows, site=site, text=text, key=key, **options)
+    return back(out.withColumns({c: F.length(F.col(f"`{text}`")).cast("long") for c in counted}))
 
 
 #: The same in DuckDB, for documents with source as the site and the default thresholds.
@@ -95,6 +109,4 @@ SELECT p.doc_id, p.source, m.text, coalesce(m.n_lines, 0) AS n_lines, coalesce(m
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, the cleaned text, n_lines and n_dropped per document."""
-    from noticeflow.llm.shared import only
-
     return drop_boilerplate(only(docs, "doc_id", "source", "text"), **options)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import only
+from noticeflow.llm.shared import aside, only
 
 #: Fixed values of the base rule: fewest words, and the percentage of words in repeated 8-word windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -217,5 +217,5 @@ def report(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, **options)
 def accepted(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, **options) -> DataFrame:
     """The documents that neither the base rule nor the learned list rejects, with the columns they had."""
     rules = learn(labelled_rows(docs, labels, sample), **options)
-    inner = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc"), docs["`text`"].alias("text"))
-    return apply_rules(inner, rules).where("kept").select("_doc.*")
+    rows, back = aside(docs, "text")
+    return back(apply_rules(rows, rules).where("kept"))

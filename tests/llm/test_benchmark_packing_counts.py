@@ -142,7 +142,7 @@ def test_best_fit_is_tight_and_equals_a_list_search():
     assert n == len(rooms) and sorted(64 - np.bincount(w, lengths)) == sorted(rooms)
 
 
-def test_token_counts(spark, tmp_path):
+def test_token_counts(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.tokenizer_file(queries.BYTE_BPE))
@@ -150,10 +150,68 @@ def test_token_counts(spark, tmp_path):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as digest").repartition(3)
     want = sorted([(d, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False)), n > 1024) for d, t in docs], key=str)
     cache, path = str(tmp_path / "cache"), queries.tokenizer_file(queries.BYTE_BPE)
-    assert rows(tokencount.token_counts(df.where("doc_id < 5"), path, cache=cache)) == [r for r in want if r[0] is not None and r[0] < 5]
+    counts = lambda df, **options: (lambda out: (sorted((tuple(r)[:4] for r in out), key=str), sum(r.cached for r in out)))(tokencount.token_counts(df, path, **options).collect())
+    some = [r for r in want if r[0] is not None and r[0] < 5]
+    assert counts(df.where("doc_id < 5"), cache=cache)[0] == some
     first = spark.read.parquet(cache).count()
-    assert rows(tokencount.token_counts(df, path, cache=cache)) == want
+    monkeypatch.setattr(tokencount, "FILTER_DIGESTS", 3)  # the way of many misses
+    assert counts(df, cache=cache) == (want, len([d for d, t in docs if (t or "") in {u or "" for e, u in docs if e is not None and e < 5}]))
     stored = spark.read.parquet(cache)
     assert first < stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t in docs})
-    assert rows(tokencount.token_counts(df, path, cache=cache)) == want and stored.count() == spark.read.parquet(cache).count()
-    assert tokencount.token_counts(df.limit(0), path).count() == 0
+    # a warm cache: every row is a hit, nothing is encoded and nothing appended
+    monkeypatch.setattr(tokencount, "encoder", None)
+    assert counts(df, cache=cache) == (want, len(want)) and stored.count() == spark.read.parquet(cache).count()
+    monkeypatch.undo()
+    assert counts(df)[0] == counts(df)[0] == want  # the cache in the shared folder
+    assert tokencount.token_counts(df.limit(0), path, cache=str(tmp_path / "new")).count() == 0
+
+
+def test_keyed_join_splits_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from noticeflow.llm.shared import keyed_join
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(300)], "id long, k string")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m")).where("k <> 'k3'")
+    want = sorted(map(tuple, rows.join(side.drop("c"), "k").collect()))
+    assert sorted(map(tuple, keyed_join(rows, side, ["k"], "c", parts=5, least=10).collect())) == want
+    assert sorted(map(tuple, keyed_join(rows, side, ["k"], "c").collect())) == want
+
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_crafted_words(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart, whatever its base."""
+    from tokenizers import Tokenizer
+
+    from noticeflow.llm import jaccard
+
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    ten = " ".join(f"w{i}" for i in range(9))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{ten} {one}"), (4, f"{ten} {two}")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, one), (2, f"{ten} {one}")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.report(docs, items).collect()} == {1: 1, 2: 0, 3: 10, 4: 0}
+    assert {r.doc_id: r.component_id for r in jaccard.report(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    library = Tokenizer.from_file(queries.tokenizer_file(queries.WORD_BPE))
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in docs.collect()}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, queries.tokenizer_file(queries.WORD_BPE), fold=True).collect()}
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids.items()}
+    library = Tokenizer.from_file(queries.tokenizer_file(queries.BYTE_BPE))
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, queries.tokenizer_file(queries.BYTE_BPE)).collect()} == {d: len(library.encode(t, add_special_tokens=False)) for d, t in docs.collect()}
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from noticeflow.llm import jaccard, linededup, repeats, rules, secrets
+
+    names = ["doc_id", "text", "TEXT", "items", "spans", "n_words", "N_HIT", "N_LINES", "n_lines", "n_dropped", "gone", "source", "Source", "rule", "kept", "_k0"]
+    rows = [[i, " ".join(f"x{i}y{j}" for j in range(40)) + ".", *(f"{n}{i}" for n in names[2:])] for i in range(4)]
+    df = spark.createDataFrame([tuple(map(str, r)) for r in rows], ", ".join(f"c{i} string" for i in range(len(names)))).toDF(*names)
+    want = sorted(tuple(map(str, r)) for r in rows)
+    items, labels = spark.createDataFrame([("1", "none of these")], "item_id string, text string"), spark.createDataFrame([], "doc_id string, quality long")
+    for out in (decontam.clean(df, items), linededup.cleaned(df), rules.accepted(df, labels), jaccard.keep_one(df)):
+        assert out.columns == names and sorted(map(tuple, out.collect())) == want
+    numbered = df.toDF("no", *names[1:]).selectExpr("cast(no as long) as doc_id", *(f"'{n}' as `{n}`" for n in names[1:]))
+    for out in (packing.pack(numbered, queries.tokenizer_file(queries.WORD_BPE)), secrets.report(numbered), repeats.report(numbered), decontam.report(numbered, items)):
+        assert out.count() == 4

@@ -53,6 +53,32 @@ def test_statistics_on_documents_and_learned_list(spark):
     assert rules.case_sql(learned).startswith("CASE WHEN ") and len(learned) <= 12
 
 
+def test_learned_list_on_held_out_labels(spark):
+    """Learned from two thirds of the labels (by the id's hash), measured on the third."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    learned = rules.learn(rules.labelled_rows(docs, labels.where(~out), 6000))
+    held = rules.apply_rules(docs.join(labels.where(out), "doc_id").select("doc_id", "text", "quality"), learned).where("not base_failed")
+    low, low_gone, good, good_gone = held.selectExpr("count_if(quality = 0)", "count_if(quality = 0 and not kept)", "count_if(quality = 1)", "count_if(quality = 1 and not kept)").first()
+    print("held out: low", low, "rejected", low_gone, "good", good, "rejected", good_gone, rules.case_sql(learned))
+    assert low > 100 and low_gone >= 0.9 * low and good_gone <= 0.01 * good
+
+
+def test_many_boilerplate_lines_of_a_site(spark):
+    """Buckets, and the way by join, do what a plain count does."""
+    pages = [(i, "s" if i % 4 else None, "\n".join([f"line {j}" for j in range(i % 3, 300, 3)] + [f"own {i}"])) for i in range(40)]
+    df = spark.createDataFrame(pages, "doc_id long, source string, text string")
+    count, total = Counter(), Counter(s for _, s, _ in pages)
+    for _, s, t in pages:
+        count.update((s, x) for x in set(t.split("\n")))
+    want = sorted((d, "\n".join(x for x in t.split("\n") if not (count[s, x] >= 5 and count[s, x] * 100 > 2 * total[s]))) for d, s, t in pages)
+    for options in ({}, {"broadcast_lines": 10}):
+        assert sorted(map(tuple, linededup.drop_boilerplate(df, **options).select("doc_id", "text").collect())) == want
+
+
 def test_sequential_covering_finds_planted_conjunctions():
     import random
 
