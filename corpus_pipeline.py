@@ -1,6 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, benchmark decontamination, packing.
 
 Each stage is one operator of noticeflow.llm over all that its predecessor kept. Run it with run(spark, sf_dir).
+
+What all stages define alike: an empty table gives no rows; repeated rows are rows of their own, unless a stage says
+otherwise; columns that a stage doesn't read, whatever their names, keep their values.
 """
 
 from __future__ import annotations
@@ -13,27 +16,39 @@ from noticeflow.llm.shared import table_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the learned decision list rejects."""
+    """Documents that neither the base rule nor the learned decision list rejects.
+
+    Null and empty texts have no words and go; a null doc_id has no label and is judged like any other row.
+    """
     return rules.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without the lines that are boilerplate on their site; copies count as one page of it."""
+    """The same documents without the lines that are boilerplate on their site; copies count as one page of it.
+
+    A null source is a site; null texts stay null, and every row stays, if it loses all its lines, too.
+    """
     return linededup.cleaned(docs, alike=jaccard.alike(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by five-word shingles at 0.75."""
+    """One document of each group that links by five-word shingles at 0.75: that of the smallest doc_id.
+
+    Texts without words link with nothing and stay, as do rows without a doc_id; rows of the smallest doc_id stay together.
+    """
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with the benchmark."""
+    """Documents that share no window of ten words with the benchmark (of an item with fewer: no whole item).
+
+    Null and empty texts have no words and stay; items without words, and null ones, match nothing.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece of a document."""
+    """Training sequences: one row per piece of a document; null and empty texts are a document of the end id alone."""
     return packing.pack(docs, tokenizer_file(WORD_BPE), fold=True)
 
 
