@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from noticeflow.llm import decontam, jaccard, linededup, packing, quality_model, repeats, rules, secrets, tokencount, warc
+from noticeflow.llm.shared import table_path
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -51,7 +52,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
+    """With a cache of its own, empty at first: with a kept one, a second run would count nothing and its figures tell nothing."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), cache=table_path(spark, "token-cache")).drop("cached")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
