@@ -35,8 +35,9 @@ WORDS = 8  #: least 64-bit words of a token bitmap, and those of a tree's inner
 LEAF = 8  #: members of a tree's leaf, and children of a node
 #: Sets whose ids are sent to all tasks to filter what the second scan emits; beyond that the join alone filters.
 FILTER_IDS = 2_000_000
-#: Shared shingles that are compared at a time when the links inside a class are counted.
-BLOCK = 4096
+#: Shared shingles that are compared at a time when the links inside a class are counted, and by how much a cell of
+#: their product is cheaper than a pair that is counted by itself.
+BLOCK, DENSE = 1024, 64
 #: Most frequent shingles that are ordered last (8 bytes each, sent to all tasks).
 LAST = 500_000
 
@@ -334,16 +335,16 @@ class SignatureTree:
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of nodes that trees over the groups (by hub, ci, cj) can't rule out.
+    """Distinct pairs a < b of nodes that trees over the groups (by hub, ci, cj) can't rule out, with one task (a number) that found each.
 
     members: hub, ci, cj, side, node, n, bits, label; where ci <> cj only pairs of different `side` count.
     """
 
     keys = ["hub", "ci", "cj"]
 
-    def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+    def emit(a: np.ndarray, b: np.ndarray, task: np.ndarray) -> pa.RecordBatch:
+        pair, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(task[at]), pa.array(pair[0]), pa.array(pair[1])], names=["task", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.RecordBatch] = []
@@ -351,12 +352,13 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
         def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: table.column(c).to_numpy()
             g = np.stack([col(c) for c in keys])
+            task = K.mix(g[0].astype(np.int64).view(K.U64) ^ K.mix((g[1].astype(np.int64) << 32 | g[2].astype(np.int64)).view(K.U64))).view(np.int64)
             start = np.flatnonzero(np.concatenate([[True], (g[:, 1:] != g[:, :-1]).any(0)]))
             size = np.diff(np.append(start, table.num_rows))
             node, n, label, side = col("node"), col("n"), col("label"), col("side")
             bits = Bitmaps(table.column("bits").to_pylist())
             cross = g[1] != g[2]
-            ones, twos = [], []
+            ones, twos, tasks = [], [], []
             for m in np.unique(size[size <= 2 * LEAF]).tolist():
                 if m < 2:
                     continue
@@ -368,14 +370,16 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
                     ok = _may_link(bits, n, label, p, q, percent) & (~cross[p] | (side[p] != side[q]))
                     ones.append(node[p[ok]])
                     twos.append(node[q[ok]])
+                    tasks.append(task[p[ok]])
             for a, m in zip(start.tolist(), size.tolist(), strict=True):
                 if m > 2 * LEAF:
                     i, j = SignatureTree(bits, np.arange(a, a + m), n, label).pairs(percent)
                     ok = ~cross[a] | (side[i] != side[j])
                     ones.append(node[i[ok]])
                     twos.append(node[j[ok]])
+                    tasks.append(task[i[ok]])
             if ones:
-                yield emit(np.concatenate(ones), np.concatenate(twos))
+                yield emit(np.concatenate(ones), np.concatenate(twos), np.concatenate(tasks))
 
         held = 0
         for batch in batches:
@@ -393,11 +397,11 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from search(pa.Table.from_batches(left))
 
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "task long, a long, b long").groupBy("a", "b").agg(F.min("task").alias("task"))
 
 
 def _pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that sizes and bitmaps don't rule out."""
+    """Of the pairs (task, a, b), those that sizes and bitmaps don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,11 +409,11 @@ def _pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
             bits = Bitmaps(K.columns(batch, "bits_a").to_pylist() + K.columns(batch, "bits_b").to_pylist())
             n = np.concatenate([K.columns(batch, "n_a").to_numpy(), K.columns(batch, "n_b").to_numpy()])
             ok = _may_link(bits, n, np.arange(2 * m), np.arange(m), np.arange(m, 2 * m), percent)
-            yield pa.RecordBatch.from_arrays([K.columns(batch, c).filter(pa.array(ok)) for c in "ab"], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([K.columns(batch, c).filter(pa.array(ok)) for c in ("task", "a", "b")], names=["task", "a", "b"])
 
     for x in "ab":
         pairs = pairs.join(kinds.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return pairs.select("task", "a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "task long, a long, b long")
 
 
 def _elements(needed: DataFrame, docs: DataFrame, k: int, none) -> DataFrame:
@@ -436,19 +440,10 @@ def _elements(needed: DataFrame, docs: DataFrame, k: int, none) -> DataFrame:
     return docs.mapInArrow(sets, "s1 long, s2 long, elements binary")
 
 
-def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that link, by their whole sets."""
-    parts = cut(connected(pairs))
-
-    # a task: the pairs between two chunks of a candidate component; each set goes to the tasks that need it
-    sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
-    ids = kinds.select("node", "s1", "s2")
-    place = cut(parts.join(sizes, "root").join(ids, "node").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c"), "s1", "s2"))
-    one, two = (place.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    tasks = pairs.join(one, "a").join(two, "b").select(F.xxhash64("ra", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("task"), "a", "b")
-    tasks = cut(tasks)
-    places = tasks.select("task", F.col("a").alias("node")).unionAll(tasks.select("task", F.col("b").alias("node"))).distinct().join(place.select("node", "s1", "s2"), "node")
-    found = _elements(place.select("s1", "s2"), docs, k, none)
+def _verified(tasks: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none) -> DataFrame:
+    """Of the candidate pairs (task, a, b), those that link, by their whole sets; each set goes once to each task that needs it."""
+    places = cut(tasks.select("task", F.explode(F.array("a", "b")).alias("node")).distinct().join(kinds.select("node", "s1", "s2"), "node"))
+    found = _elements(places.select("s1", "s2"), docs, k, none)
     carried = places.join(found, ["s1", "s2"]).select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "elements")
     both = carried.unionAll(tasks.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements")))
 
@@ -478,33 +473,54 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, perce
 
 
 def common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """How many elements each set of `one` shares with each of `two` (places in `sets`), by products of 0/1 blocks."""
+    """How many elements each set of `one` shares with each of `two` (places in `sets`).
+
+    Elements that few sets hold are counted pair by pair, others by products of 0/1 blocks: what is cheaper.
+    """
     who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     kinds, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(times > 1) - 1  # an element of one set only is shared with none
-    keep = times[column] > 1
-    who, column = who[keep], shared[column[keep]]
+    keep = times[column] > 1  # an element of one set only is shared with none
+    who, column = who[keep], column[keep]
     order = np.argsort(column, kind="stable")
     who, column = who[order], column[order]
-    out = np.zeros((len(one), len(two)), np.int64)
-    for c in range(0, int(shared[-1]) + 1 if len(kinds) else 0, BLOCK):
+    out = np.zeros((len(one), len(two)), np.int32)
+    row_one, row_two = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_one[one], row_two[two] = np.arange(len(one)), np.arange(len(two))
+    start = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(column)))
+    sparse = size * size * DENSE <= len(one) * len(two)
+    flat = out.reshape(-1)
+    for m in np.unique(size[sparse]).tolist():
+        at = start[sparse & (size == m)]
+        x, y = (g.ravel() for g in np.meshgrid(np.arange(m), np.arange(m), indexing="ij"))
+        step = max(1, 1_000_000 // len(x))
+        for c in range(0, len(at), step):
+            i, j = row_one[who[(at[c : c + step, None] + x).ravel()]], row_two[who[(at[c : c + step, None] + y).ravel()]]
+            ok = (i >= 0) & (j >= 0)
+            np.add.at(flat, i[ok] * len(two) + j[ok], 1)
+    dense = np.repeat(~sparse, size)
+    who, column = who[dense], np.repeat(np.cumsum(~sparse) - 1, size)[dense]
+    n = int((~sparse).sum())
+    for c in range(0, n, BLOCK):
         a, b = np.searchsorted(column, (c, c + BLOCK))
-        block = np.zeros((len(sets), min(BLOCK, int(shared[-1]) + 1 - c)), np.float32)
+        block = np.zeros((len(sets), min(BLOCK, n - c)), np.float32)
         block[who[a:b], column[a:b] - c] = 1
-        out += (block[one] @ block[two].T).astype(np.int64)
+        out += (block[one] @ block[two].T).astype(np.int32)
     return out
 
 
-def _class_links(classes: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int) -> DataFrame:
+def _class_links(classes: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, percent: int, none, chunk: int, elements: int) -> DataFrame:
     """node, links: per member of a class (node, root), part by part, how many others of the class link with it.
 
-    A task compares two chunks of a class and returns a row for each of their members, never the pairs.
+    A task compares two chunks of a class, of about `chunk` sets or `elements` elements each, and returns a row for each of
+    their members, never the pairs. A set travels once for each chunk of its class.
     """
     keys = ["root", "ci", "cj"]
-    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    classes = classes.join(kinds.select("node", "s1", "s2", "n"), "node")
+    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     sized = cut(classes.join(sizes, "root"))
     twos = sized.where("m = 2").select("node", F.lit(1).cast("long").alias("links"))
-    many = sized.where("m > 2").join(kinds.select("node", "s1", "s2"), "node").withColumn("chunks", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
+    many = sized.where("m > 2").withColumn("chunks", F.greatest(F.ceil(F.col("m") / F.lit(chunk)), F.ceil(F.col("total") / F.lit(elements))).cast("int"))
     placed = many.withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = placed.select("root", "side", "node", "s1", "s2", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     members = spread.select("root", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", F.col("node").alias("s"), "s1", "s2")
@@ -557,22 +573,26 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16
     rated = groups.join(kinds.select("node", "usual"), "node")
     hubs = rated.groupBy("g1", "g2").agg(F.max(F.struct("usual", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("size"))
     near = cut(groups.join(hubs, ["g1", "g2"]).groupBy("hub", "node").agg(F.max("size").alias("size")))
-    stars = near.where((F.col("size") > star) & (F.col("hub") != F.col("node"))).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    first = cut(_verified(cut(_pruned(stars, kinds, percent)), kinds, texts, k, percent, none, chunk))
+    # a star is cut into tasks of about `chunk` members, each with the hub's own set
+    arms = near.where((F.col("size") > star) & (F.col("hub") != F.col("node")))
+    arms = arms.join(arms.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks")), "hub")
+    stars = arms.select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("task"), F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = _verified(cut(_pruned(stars, kinds, percent)), kinds, texts, k, percent, none)
+    first = cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     classes = cut(connected(first))
     named = near.join(classes, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label"))
     live = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(max(2, dense // 4))).cast("int").alias("parts")).where("lo <> hi").select("hub", "parts")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     spread = named.join(live, "hub").withColumn("side", own).select("hub", "node", "label", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     members = spread.join(kinds.select("node", "n", "bits"), "node").select("hub", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "node", "n", "bits", "label")
-    second = cut(_verified(cut(_candidates(members, percent)), kinds, texts, k, percent, none, chunk))
+    second = cut(_verified(cut(_candidates(members, percent)), kinds, texts, k, percent, none))
 
     links = cut(first.unionAll(second).distinct())
     known = connected(links)
     if counted:
         # links of the second search join different classes; those inside a class are counted there
         across = second.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
-        inside = cut(_class_links(classes, kinds, texts, k, percent, none, 2 * chunk))
+        inside = _class_links(classes, kinds, texts, k, percent, none, 16 * chunk, 2_000_000)
         known = known.join(across.unionAll(inside).groupBy("node").agg(F.sum("links").alias("links")), "node")
     else:
         known = known.withColumn("links", F.lit(None).cast("long"))
