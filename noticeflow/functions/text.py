@@ -8,9 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What case folding changes in lower-case text, from Python's own rule: final sigma, long s, ligatures and the like.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold() and not 0xD800 <= ord(c) < 0xE000}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: lower case, and for texts beyond ASCII what lower case leaves apart."""
+    low = F.lower(c)
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _MORE.items()))
+    plain = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    full = F.when(plain.rlike("[" + "".join(_MORE) + "]"), F.reduce(pairs, plain, lambda t, p: F.replace(t, p["k"], p["v"]))).otherwise(plain)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(full)
+
+
 def norm(c: Column) -> Column:
-    """case-folded text with white space collapsed and trimmed; sharp s folds to ss. Null stays null."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+    """case-folded text with white space collapsed and trimmed. Null stays null."""
+    return F.trim(F.regexp_replace(casefold(c), r"(?U)\s+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -36,7 +51,7 @@ def zoned_instant(c: Column) -> Column:
 
 def has_keyword(text: Column, keyword: str) -> Column:
     """whether normalised text holds the keyword between word borders."""
-    needle = re.sub(r"\s+", " ", keyword.lower().replace("ß", "ss")).strip()
+    needle = re.sub(r"\s+", " ", keyword.casefold()).strip()
     return norm(text).rlike(rf"(?U)(?<!\w)\Q{needle}\E(?!\w)")
 
 
@@ -57,9 +72,9 @@ def page_signals(text: Column) -> dict[str, Column]:
     """character counts, ratios, reasons and status of a page's text."""
     t = F.coalesce(text, F.lit(""))
     chars = F.length(t)
-    dark = F.length(F.regexp_replace(t, r"(?U)\s", ""))
-    alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    printable = chars - F.length(F.regexp_replace(F.regexp_replace(t, r"(?U)\s", ""), r"[^\p{C}]", ""))
+    dark = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
+    printable = chars - F.length(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", ""), r"[^\p{C}]+", ""))
     p_ratio = F.when(chars > 0, printable / chars).otherwise(F.lit(0.0))
     a_ratio = F.when(dark > 0, alnum / dark).otherwise(F.lit(0.0))
     reasons = F.array_compact(

@@ -42,10 +42,12 @@ def eligibility(pairs: DataFrame, *, texts: tuple[str, ...] = ("title",), empty_
     # one reason for each excluded keyword, whatever number of fields match
 
     def hit(keyword: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), norm(keyword), F.lit(r"\E(?!\w)"))
+        word = norm(keyword)
+        pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)"))
         found = F.lit(False)
         for values in lists:
-            found = found | F.exists(values, lambda x: F.regexp_like(x, pattern))
+            # the pattern is compiled for texts that hold the keyword at all
+            found = found | F.exists(values, lambda x: F.contains(x, word) & F.regexp_like(x, pattern))
         return found
 
     excluded = F.transform(F.filter(F.coalesce(col("p.excluded_keywords"), F.array().cast("array<string>")), hit), lambda _: F.lit("explicit_exclusion"))

@@ -1,22 +1,18 @@
-"""Documents (S10-S12, F15-F20, D18, D20, D21, W3, W9, F33): page text, quality and labelled claims."""
+"""Documents (S10-S12, F19, F20, F33, D7, D20, D21, J3, U5, W3): page text, quality, bundles and readiness."""
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeflow.functions.text import page_signals
 
-#: Elements whose text is not visible, and the labels of each field.
+#: Elements whose text is not visible.
 HIDDEN = {"script", "style", "noscript"}
-LABELS = {"title": ("title", "공고명", "사업명"), "buyer_name": ("buyer", "agency", "발주기관", "수요기관"), "budget": ("budget", "estimated amount", "사업예산", "추정가격"), "closes_at": ("deadline", "closes at", "마감일시", "입찰마감"), "regions": ("regions", "region", "지역제한"), "required_certifications": ("certifications", "required certifications", "필요인증"), "contract_period": ("contract period", "계약기간")}
 
 
 class _Visible(HTMLParser):
@@ -70,47 +66,20 @@ def trusted_parses(parses: DataFrame, attachment: str = "attachment_id") -> Data
     return parses.where("status = 'trusted'").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-_LINE = re.compile(r"^\s*(?:[-*•·○■]|\d+[.)])?\s*([^:：]{1,40}?)\s*[:：]\s*(.*?)\s*$")
-_FIELD = {re.sub(r"\s+", "", label).lower(): field for field, labels in LABELS.items() for label in labels}
-
-
-def labelled_claims(text: str | None) -> list[tuple[str, str, int]]:
-    """(field, value, line) of labelled lines; an empty label takes the next line."""
-    out, waiting = [], None
-    for no, line in enumerate((text or "").split("\n"), 1):
-        m = _LINE.match(line)
-        field = _FIELD.get(re.sub(r"\s+", "", m[1]).lower()) if m else None
-        if field and m[2]:
-            out.append((field, html.unescape(m[2]), no))
-            waiting = None
-        elif field:
-            waiting = field
-        elif waiting and line.strip():
-            out.append((waiting, line.strip(), no))
-            waiting = None
-    return out
-
-
-def extract_claims(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """A row per labelled claim (doc, field, value, line), in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, *c) for d, t in zip(b[doc], b["text"]) for c in labelled_claims(t)]
-            yield pd.DataFrame(rows, columns=[doc, "field", "value", "line"])
-
-    return docs.select(doc, "text").mapInPandas(run, f"{doc} {dict(docs.dtypes)[doc]}, field string, value string, line long")
-
-
-def first_claims(claims: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The first value of each field and the number of its quotes."""
-    return claims.groupBy(doc, "field").agg(F.min_by("value", "line").alias("value"), F.count(F.lit(1)).alias("quotes"))
+def same_claim(field: Column, a: Column, b: Column) -> Column:
+    """whether two claims of a field say the same: numbers as decimals, instants as instants, lists as sets, text as it is."""
+    items = lambda c: F.array_sort(F.array_distinct(F.from_json(c, "array<string>")))
+    number = F.coalesce(a.try_cast("decimal(38,6)") == b.try_cast("decimal(38,6)"), a == b)
+    instant = F.coalesce(F.try_to_timestamp(a) == F.try_to_timestamp(b), a == b)
+    as_list = F.coalesce(items(a) == items(b), a == b)
+    lists = ("regions", "required_certifications", "required_capabilities", "participation_constraints")
+    return F.when(field == "estimated_amount", number).when(field.isin("published_at", "closes_at"), instant).when(field.isin(*lists), as_list).otherwise(a == b)
 
 
 def withhold_conflicts(upstream: DataFrame, attachment: DataFrame, keys: list[str]) -> DataFrame:
-    """Attachment claims with conflict flags against upstream ones; amount and currency are withheld together."""
+    """Attachment claims with conflict flags against upstream ones; amount and currency are withheld together."""
     both = attachment.join(upstream.select(*keys, "field", F.col("value").alias("upstream_value")), [*keys, "field"], "left")
-    differ = F.coalesce(F.col("value") != F.col("upstream_value"), F.lit(False))
+    differ = F.coalesce(~same_claim(F.col("field"), F.col("value"), F.col("upstream_value")), F.lit(False))
     pair = F.when(F.col("field").isin("estimated_amount", "currency"), "budget").otherwise(F.col("field"))
     return both.withColumn("conflict", F.max(differ).over(W.partitionBy(*keys, pair)))
 
@@ -129,15 +98,3 @@ def readiness(versions: DataFrame, attachments: DataFrame) -> DataFrame:
     open_ = attachments.where(~F.col("status").isin("parsed", "unsupported", "parse_failed")).groupBy("version_id").agg(F.count(F.lit(1)).alias("open"))
     gaps = F.array_compact(F.array(F.when(~F.col("documents_complete"), "documents_incomplete"), F.when(F.col("open") > 0, "attachments_pending"), F.when(~F.coalesce(F.col("extraction_status").isin("done", "dead_lettered"), F.lit(False)), "extraction_missing")))
     return versions.join(open_, "version_id", "left").select("version_id", gaps.alias("gaps"), (F.size(gaps) == 0).alias("ready"))
-
-
-def validate_claims(claims: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Per document the grounding issues of its claims: quotes that are not on the page they name, fields
-    claimed with two values, required fields that are missing. claims: doc, field, value, page_number, quote."""
-    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    on = claims.join(pages.select(doc, "page_number", "text"), [doc, "page_number"], "left")
-    missing_quote = ~F.coalesce(F.contains(flat(F.col("text")), flat(F.col("quote"))), F.lit(False))
-    by = on.groupBy(doc, "field").agg(F.max(missing_quote).alias("ungrounded"), (F.count_distinct("value") > 1).alias("contradicted"))
-    issues = by.groupBy(doc).agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(F.when(F.col("ungrounded"), F.concat("field", F.lit(":quote_not_found"))), F.when(F.col("contradicted"), F.concat("field", F.lit(":contradiction")))))))).alias("issues"), F.collect_set("field").alias("fields"))
-    absent = F.transform(F.array_except(F.array(F.lit("title"), F.lit("buyer_name")), "fields"), lambda f: F.concat(f, F.lit(":missing")))
-    return issues.select(doc, F.array_sort(F.concat("issues", absent)).alias("issues")).withColumn("valid", F.size("issues") == 0)

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from noticeflow.functions.text import norm
+from noticeflow.functions.text import casefold, norm
 
-#: Stages in order, and the confidence of each way of linking.
+#: Stages in order, and the confidence of each way of linking; the reasons in `links` are fixed, too.
 STAGES = ("pre-specification", "tender", "amendment", "award", "contract")
-CONFIDENCE = {"official": "1.0", "identifier": "0.99", "fingerprint": "0.85"}
+CONFIDENCE = {"official_reference": "1.0", "normalized_identifier": "0.99", "fingerprint": "0.85"}
 NEAR_DAYS, LEAST_RATIO = 30, 0.90
 
 
@@ -37,40 +37,42 @@ def links(nodes: DataFrame, *, fuzzy: bool = True) -> DataFrame:
     """Child, parent, method, confidence, unresolved (a reason, where there is no parent).
 
     nodes: id, source_id, record_id, stage, title, buyer, amount, published_at, references array<struct<source_id,
-    record_id, stage>>, identifiers array<struct<scheme, value>>. The strongest method with any match decides and
-    ambiguity doesn't fall through; a node with references never falls through. Every candidate set comes from an
-    equi-join, so nothing is quadratic but records of one buyer and amount within the same 30 days.
+    record_id, stage>>, identifiers array<struct<scheme, value>>. The strongest method that any other node matches
+    decides, whatever the stages: if none of its matches is of an earlier stage, or several are, there is no link and no
+    weaker method is asked. A node with references never falls through. Every candidate set comes from an equi-join, so
+    nothing is quadratic but records of one identifier, or of one buyer and amount within the same 30 days.
     """
     n = nodes.withColumn("rank", stage_rank(F.col("stage")))
     p = n.select(*(F.col(c).alias(f"p_{c}") for c in n.columns))
-    forward = (F.col("p_rank") < F.col("rank")) & (F.col("p_id") != F.col("id"))
+    forward = F.coalesce(F.col("p_rank") < F.col("rank"), F.lit(False))
+    other = F.col("p_id") != F.col("id")
     refs = n.select("id", "source_id", "rank", F.explode("references").alias("r"))
-    official = refs.join(p, (F.col("p_source_id") == F.coalesce("r.source_id", "source_id")) & (F.col("p_record_id") == F.col("r.record_id")) & (F.col("p_stage") == F.col("r.stage"))).select("id", F.col("p_id").alias("parent"), forward.alias("ok"))
+    official = refs.join(p, (F.col("p_source_id") == F.coalesce("r.source_id", "source_id")) & (F.col("p_record_id") == F.col("r.record_id")) & (F.col("p_stage") == F.col("r.stage"))).where(other).select("id", F.col("p_id").alias("parent"), forward.alias("ok"))
     counted = n.select("id", F.coalesce(F.size("references"), F.lit(0)).alias("refs"))
     by_ref = counted.where("refs > 0").join(official, "id", "left").groupBy("id", "refs").agg(F.count("parent").alias("found"), F.max("parent").alias("parent"), F.max("ok").alias("ok"))
-    by_ref = by_ref.select("id", F.lit(1).alias("step"), F.lit("official").alias("method"), F.when((F.col("refs") == 1) & (F.col("found") == 1) & F.col("ok"), F.col("parent")).alias("parent"), F.when((F.col("refs") > 1) | (F.col("found") > 1), "official_ambiguous").when(F.col("found") == 0, "official_missing").when(~F.col("ok"), "official_not_forward").alias("unresolved"))
+    by_ref = by_ref.select("id", F.lit(1).alias("step"), F.lit("official_reference").alias("method"), F.when((F.col("refs") == 1) & (F.col("found") == 1) & F.col("ok"), F.col("parent")).alias("parent"), F.when((F.col("refs") > 1) | (F.col("found") > 1), "ambiguous_official_reference").when(F.col("found") == 0, "official_reference_not_found").when(~F.col("ok"), "incompatible_stage").alias("unresolved"))
 
-    key = lambda df, pre: df.select(F.col(f"{pre}id"), F.col(f"{pre}source_id").alias("s"), F.col(f"{pre}rank"), F.explode(f"{pre}identifiers").alias("i")).select(f"{pre}id", "s", f"{pre}rank", F.lower("i.scheme").alias("scheme"), F.lower("i.value").alias("value"))
-    identifier = key(n, "").join(key(p, "p_"), ["s", "scheme", "value"]).where(forward).select("id", F.col("p_id").alias("parent")).distinct()
+    key = lambda df, pre: df.select(F.col(f"{pre}id"), F.col(f"{pre}source_id").alias("s"), F.col(f"{pre}rank"), F.explode(f"{pre}identifiers").alias("i")).select(f"{pre}id", "s", f"{pre}rank", casefold(F.col("i.scheme")).alias("scheme"), casefold(F.col("i.value")).alias("value"))
+    identifier = key(n, "").join(key(p, "p_"), ["s", "scheme", "value"]).where(other).select("id", F.col("p_id").alias("parent"), forward.alias("ok")).distinct()
 
     near = F.abs(F.timestamp_diff("SECOND", F.col("p_published_at"), F.col("published_at"))) <= NEAR_DAYS * 86400
     bucket = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("published_at").cast("timestamp_ntz")) / (NEAR_DAYS * 86400)).cast("long")
     left = n.where("amount is not null and published_at is not null").withColumn("b", norm(F.col("buyer"))).withColumn("k", bucket)
     right = left.select(*(F.col(c).alias(f"p_{c}") for c in n.columns), "b", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
-    same = left.join(right, (F.col("source_id") == F.col("p_source_id")) & (left["b"] == right["b"]) & (F.col("amount") == F.col("p_amount")) & (left["k"] == right["k"])).where(forward & near)
+    same = left.join(right, (F.col("source_id") == F.col("p_source_id")) & (left["b"] == right["b"]) & (F.col("amount") == F.col("p_amount")) & (left["k"] == right["k"])).where(other & near)
     ratio = title_ratio(norm(F.col("p_title")), norm(F.col("title"))) >= LEAST_RATIO if fuzzy else norm(F.col("p_title")) == norm(F.col("title"))
-    fingerprint = same.where(ratio).select("id", F.col("p_id").alias("parent")).distinct()
+    fingerprint = same.where(ratio).select("id", F.col("p_id").alias("parent"), forward.alias("ok")).distinct()
 
     def unique(pairs: DataFrame, step: int, method: str) -> DataFrame:
-        one = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.min("parent").alias("parent"))
-        return one.select("id", F.lit(step).alias("step"), F.lit(method).alias("method"), F.when(F.col("found") == 1, F.col("parent")).alias("parent"), F.when(F.col("found") > 1, f"{method}_ambiguous").alias("unresolved"))
+        one = pairs.groupBy("id").agg(F.count_if("ok").alias("found"), F.min(F.when(F.col("ok"), F.col("parent"))).alias("parent"))
+        return one.select("id", F.lit(step).alias("step"), F.lit(method).alias("method"), F.when(F.col("found") == 1, F.col("parent")).alias("parent"), F.when(F.col("found") > 1, f"ambiguous_{method}").when(F.col("found") == 0, "incompatible_stage").alias("unresolved"))
 
-    every = by_ref.unionByName(unique(identifier, 2, "identifier")).unionByName(unique(fingerprint, 3, "fingerprint"))
+    every = by_ref.unionByName(unique(identifier, 2, "normalized_identifier")).unionByName(unique(fingerprint, 3, "fingerprint"))
     first = every.groupBy("id").agg(F.min(F.struct("step", "method", "parent", "unresolved")).alias("x"))
     confidence = F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v).cast("decimal(5,4)"))])
     out = n.select(F.col("id").alias("child")).join(first.withColumnRenamed("id", "child"), "child", "left")
     linked = F.col("x.parent").isNotNull()
-    return out.select("child", "x.parent", F.when(linked, F.col("x.method")).alias("method"), F.when(linked, confidence[F.col("x.method")]).alias("confidence"), F.when(linked, None).otherwise(F.coalesce("x.unresolved", F.lit("no_candidate"))).alias("unresolved"))
+    return out.select("child", "x.parent", F.when(linked, F.col("x.method")).alias("method"), F.when(linked, confidence[F.col("x.method")]).alias("confidence"), F.when(linked, None).otherwise(F.coalesce("x.unresolved", F.lit("no_conservative_match"))).alias("unresolved"))
 
 
 def link_history(decisions: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,22 +15,83 @@ DEFAULT_CHANNELS = ("local",)
 TRIGGERS = ("material_change", "deadline_changed", "eligibility_changed", "new_high_relevance", "outcome_published")
 
 
-def ledger(ops: DataFrame, account: str = "account", seq: str = "seq", key: str = "idempotency_key") -> DataFrame:
-    """Ops with repeat (idempotency key seen before), available and reserved after each.
-
-    grant adds, reserve moves available to reserved, commit spends reserved, refund moves it back; a repeat changes nothing.
+#: Fixed value: the largest balance and amount.
+MOST_CREDITS = 2_147_483_647
+
+
+class _Account:
+    """One account's balances, reservations and the input of each idempotency key."""
+
+    def __init__(self):
+        self.available = self.reserved = 0
+        self.inputs: dict[str, tuple] = {}
+        self.reservations: dict[str, list] = {}
+
+    def apply(self, operation: str, amount: int | None, key: str, reservation: str | None, reference: tuple) -> tuple[str, str | None]:
+        """(applied, None), (repeat, None) or (rejected, why); only an applied operation changes anything."""
+        settles = operation in ("commit", "refund")
+        held = self.reservations.get(reservation)
+        if settles:
+            if held is None:
+                return "rejected", "reservation_not_found"
+            amount, reference = held[0], held[1]
+        elif amount is None or not 1 <= amount <= MOST_CREDITS:
+            return "rejected", "invalid_amount"
+        asked = (operation, amount, *reference)
+        if key in self.inputs:
+            return ("repeat", None) if self.inputs[key] == asked else ("rejected", "idempotency_conflict")
+        if operation == "grant":
+            if self.available > MOST_CREDITS - amount:
+                return "rejected", "balance_overflow"
+            self.available += amount
+        elif operation == "reserve":
+            if held is not None:
+                return "rejected", "reservation_exists"
+            if self.available < amount:
+                return "rejected", "insufficient_credits"
+            self.available -= amount
+            self.reserved += amount
+            self.reservations[reservation] = [amount, reference, "reserved"]
+        else:
+            if held[2] != "reserved":
+                return "rejected", "reservation_terminal"
+            self.reserved -= amount
+            if operation == "refund":
+                self.available += amount
+            held[2] = "settled"
+        self.inputs[key] = asked
+        return "applied", None
+
+
+def ledger(ops: DataFrame) -> DataFrame:
+    """Account, seq, operation, outcome (applied, repeat or rejected), reason, available and reserved after each.
+
+    ops: account, seq, operation (grant, reserve, commit, refund), amount, idempotency_key, reservation_key,
+    reference_type, reference_key. What an operation does depends on all before it, so the fold walks each account in
+    order of seq; rows stream through, and a task holds one account's keys and reservations at a time. commit and
+    refund take amount and reference of their reservation. No balance ever falls below zero.
     """
-    w = W.partitionBy(account).orderBy(seq)
-    repeat = F.row_number().over(W.partitionBy(account, key).orderBy(seq)) > 1
-    df = ops.withColumn("repeat", repeat)
-    signed = lambda plus, minus: F.when(F.col("repeat"), 0).when(F.col("operation").isin(*plus), F.col("amount")).when(F.col("operation").isin(*minus), -F.col("amount")).otherwise(0)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("available", F.sum(signed(("grant", "refund"), ("reserve",))).over(upto)).withColumn("reserved", F.sum(signed(("reserve",), ("commit", "refund"))).over(upto))
+    names = ["account", "seq", "operation", "amount", "idempotency_key", "reservation_key", "reference_type", "reference_key"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, _Account()
+        for b in batches:
+            out = []
+            for account, seq, operation, amount, key, reservation, *reference in zip(*(b[n].tolist() for n in names)):
+                if account != now:
+                    now, state = account, _Account()
+                outcome, reason = state.apply(operation, None if pd.isna(amount) else int(amount), key, reservation, tuple(reference))
+                out.append((account, seq, operation, outcome, reason, state.available, state.reserved))
+            yield pd.DataFrame(out, columns=["account", "seq", "operation", "outcome", "reason", "available", "reserved"])
+
+    kinds = dict(ops.dtypes)
+    ordered = ops.select(*names).repartition("account").sortWithinPartitions("account", "seq")
+    return ordered.mapInPandas(fold, f"account {kinds['account']}, seq {kinds['seq']}, operation string, outcome string, reason string, available long, reserved long")
 
 
-def ledger_violations(balances: DataFrame, account: str = "account") -> DataFrame:
-    """Accounts whose balances ever fall below zero, with the first such seq."""
-    return balances.where("available < 0 or reserved < 0").groupBy(account).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("violations"))
+def ledger_rejections(entries: DataFrame) -> DataFrame:
+    """Rejected operations per account and reason, with the first such seq."""
+    return entries.where("outcome = 'rejected'").groupBy("account", "reason").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
 
 
 def failure_state(attempts: DataFrame, key: str = "job", seq: str = "seq", failed: str = "failed") -> DataFrame:
@@ -76,21 +140,28 @@ def deliverable(events: DataFrame, watches: DataFrame) -> DataFrame:
 
 
 def billing_outcomes(events: DataFrame, mappings: DataFrame, policies: DataFrame) -> DataFrame:
-    """Outcome and review_reason per first event: applied once per invoice, duplicate after, review by the first reason.
+    """Outcome, review_reason and credit_units per event row.
 
-    events: event_id, seq, invoice_id (null: only observed), customer_id, price_id, currency, amount.
+    events: event_id, seq, invoice_id (null: only observed), customer_id, price_id, currency, amount. An event id that
+    comes again is a repeat, or a conflict if it says something else. An invoice is applied once, by the first event that
+    has a mapped customer and a price of that currency and amount; events before that are for review by the first reason,
+    later ones duplicates, or conflicts if the invoice says something else.
     """
-    first = F.row_number().over(W.partitionBy("event_id").orderBy("seq")) == 1
-    e = events.withColumn("_first", first).where("_first").drop("_first")
-    e = e.join(mappings.select("customer_id", F.lit(True).alias("_mapped")), "customer_id", "left")
+    facts = F.struct("invoice_id", "customer_id", "price_id", "currency", "amount")
+    by_event = W.partitionBy("event_id").orderBy("seq")
+    e = events.withColumn("_facts", facts).withColumn("_n", F.row_number().over(by_event)).withColumn("_same", F.col("_facts").eqNullSafe(F.first("_facts").over(by_event)))
+    again = e.where("_n > 1").select("event_id", "seq", "invoice_id", F.when(F.col("_same"), "repeat").otherwise("conflict").alias("outcome"), F.lit(None).cast("string").alias("review_reason"), F.lit(None).cast(dict(policies.dtypes)["credit_units"]).alias("credit_units"))
+    e = e.where("_n = 1").join(mappings.select("customer_id", F.lit(True).alias("_mapped")), "customer_id", "left")
     e = e.join(policies.select("price_id", F.col("currency").alias("_cur"), F.col("amount").alias("_amt"), "credit_units"), "price_id", "left")
-    why = F.when(F.col("invoice_id").isNull(), None).when(F.col("_mapped").isNull(), "unmapped_customer").when(F.col("_amt").isNull(), "unmapped_price").when((F.col("_cur") != F.col("currency")) | (F.col("_amt") != F.col("amount")), "price_policy_mismatch")
+    why = F.when(F.col("_mapped").isNull(), "unmapped_customer").when(F.col("_amt").isNull(), "unmapped_price").when((F.col("_cur") != F.col("currency")) | (F.col("_amt") != F.col("amount")), "price_policy_mismatch")
     e = e.withColumn("review_reason", why)
-    good = F.col("invoice_id").isNotNull() & F.col("review_reason").isNull()
-    before = F.sum(good.cast("int")).over(W.partitionBy("invoice_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    done = F.coalesce(before, F.lit(0)) > 0
-    outcome = F.when(F.col("invoice_id").isNull(), "observed").when(done, "duplicate").when(F.col("review_reason").isNotNull(), "review").otherwise("applied")
-    return e.withColumn("outcome", outcome).select("event_id", "seq", "invoice_id", "outcome", F.when(F.col("outcome") == "review", F.col("review_reason")).alias("review_reason"), F.when(F.col("outcome") == "applied", F.col("credit_units")).alias("credit_units"))
+    # events without an invoice have no order to keep and meet nowhere
+    plain = e.where("invoice_id is null").select("event_id", "seq", "invoice_id", F.lit("observed").alias("outcome"), F.lit(None).cast("string").alias("review_reason"), F.lit(None).cast(dict(policies.dtypes)["credit_units"]).alias("credit_units"))
+    before = W.partitionBy("invoice_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    e = e.where("invoice_id is not null").withColumn("_applied", F.first(F.when(F.col("review_reason").isNull(), F.col("_facts")), ignorenulls=True).over(before))
+    outcome = F.when(F.col("_applied").isNotNull(), F.when(F.col("_applied") == F.col("_facts"), "duplicate").otherwise("conflict")).when(F.col("review_reason").isNotNull(), "review").otherwise("applied")
+    e = e.withColumn("outcome", outcome).select("event_id", "seq", "invoice_id", "outcome", F.when(F.col("outcome") == "review", F.col("review_reason")).alias("review_reason"), F.when(F.col("outcome") == "applied", F.col("credit_units")).alias("credit_units"))
+    return e.unionByName(plain).unionByName(again)
 
 
 def delivery_state(attempts: DataFrame, event: str = "event_id", seq: str = "seq") -> DataFrame:

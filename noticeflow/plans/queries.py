@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeflow.functions import text as T
-from noticeflow.operators import decisions, delta, documents, linking, metrics, replay, state, versions, views
+from noticeflow.operators import decisions, delta, documents, extraction, linking, metrics, replay, state, versions, views
 from noticeflow.plans import adapters as A
 from noticeflow.plans.adapters import table
 from noticeflow.sources import synthetic
@@ -254,13 +254,15 @@ def _nodes(spark, sf):
 
 LINKS = """WITH n AS (SELECT o_orderkey AS id, o_orderkey % 3 AS s, o_orderkey % 5 AS rank, 'notice ' || (o_orderkey % 4) AS title, o_custkey % 40 AS buyer, floor(o_totalprice / 20000) AS amount, CAST(o_orderdate AS TIMESTAMP) AS at,
   CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey - 3 END AS ref, CASE WHEN o_orderkey % 10 < 2 THEN o_orderkey // 20 END AS idn FROM orders),
-st1 AS (SELECT n.id, 1 AS step, 'official' AS method, CASE WHEN p.rank < n.rank THEN p.id END AS parent, CASE WHEN p.id IS NULL THEN 'official_missing' WHEN p.rank >= n.rank THEN 'official_not_forward' END AS unresolved FROM n LEFT JOIN n p ON p.id = n.ref AND p.s = n.s WHERE n.ref IS NOT NULL),
-pr2 AS (SELECT n.id, p.id AS parent FROM n JOIN n p ON p.s = n.s AND p.idn = n.idn WHERE p.rank < n.rank AND p.id <> n.id),
-st2 AS (SELECT id, 2 AS step, 'identifier' AS method, CASE WHEN count(*) = 1 THEN min(parent) END AS parent, CASE WHEN count(*) > 1 THEN 'identifier_ambiguous' END AS unresolved FROM pr2 GROUP BY id),
-pr3 AS (SELECT n.id, p.id AS parent FROM n JOIN n p ON p.s = n.s AND p.buyer = n.buyer AND p.amount = n.amount AND p.title = n.title WHERE p.rank < n.rank AND p.id <> n.id AND abs(date_diff('second', p.at, n.at)) <= 30 * 86400),
-st3 AS (SELECT id, 3 AS step, 'fingerprint' AS method, CASE WHEN count(*) = 1 THEN min(parent) END AS parent, CASE WHEN count(*) > 1 THEN 'fingerprint_ambiguous' END AS unresolved FROM pr3 GROUP BY id),
-one AS (SELECT * FROM (SELECT * FROM st1 UNION ALL SELECT * FROM st2 UNION ALL SELECT * FROM st3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1),
-links AS (SELECT n.id AS child, o.parent, CASE WHEN o.parent IS NOT NULL THEN o.method END AS method, CASE WHEN o.parent IS NOT NULL THEN CAST(CASE o.method WHEN 'official' THEN 1.0 WHEN 'identifier' THEN 0.99 ELSE 0.85 END AS DECIMAL(5,4)) END AS confidence, CASE WHEN o.parent IS NULL THEN coalesce(o.unresolved, 'no_candidate') END AS unresolved FROM n LEFT JOIN one o USING (id))"""
+m AS (SELECT n.id, 1 AS step, p.id AS parent, p.rank < n.rank AS ok FROM n JOIN n p ON p.id = n.ref AND p.s = n.s AND p.id <> n.id WHERE n.ref IS NOT NULL
+  UNION ALL SELECT n.id, 2, p.id, p.rank < n.rank FROM n JOIN n p ON p.s = n.s AND p.idn = n.idn AND p.id <> n.id WHERE n.ref IS NULL
+  UNION ALL SELECT n.id, 3, p.id, p.rank < n.rank FROM n JOIN n p ON p.s = n.s AND p.buyer = n.buyer AND p.amount = n.amount AND p.title = n.title AND p.id <> n.id AND abs(date_diff('second', p.at, n.at)) <= 30 * 86400 WHERE n.ref IS NULL),
+strongest AS (SELECT id, min(step) AS step FROM m GROUP BY id),
+one AS (SELECT id, step, count(*) FILTER (WHERE ok) AS fit, min(parent) FILTER (WHERE ok) AS parent FROM m JOIN strongest USING (id, step) GROUP BY id, step),
+links AS (SELECT n.id AS child, CASE WHEN fit = 1 THEN one.parent END AS parent, CASE WHEN fit = 1 THEN (CASE step WHEN 1 THEN 'official_reference' WHEN 2 THEN 'normalized_identifier' ELSE 'fingerprint' END) END AS method,
+  CASE WHEN fit = 1 THEN CAST(CASE step WHEN 1 THEN 1.0 WHEN 2 THEN 0.99 ELSE 0.85 END AS DECIMAL(5,4)) END AS confidence,
+  CASE WHEN fit = 1 THEN NULL WHEN fit = 0 THEN 'incompatible_stage' WHEN fit > 1 THEN 'ambiguous_' || (CASE step WHEN 1 THEN 'official_reference' WHEN 2 THEN 'normalized_identifier' ELSE 'fingerprint' END) WHEN n.ref IS NOT NULL THEN 'official_reference_not_found' ELSE 'no_conservative_match' END AS unresolved
+  FROM n LEFT JOIN one USING (id))"""
 
 
 @query(LINKS + " SELECT * FROM links")
@@ -293,25 +295,37 @@ def w11_link_history(spark, sf):
 # --- state folds -------------------------------------------------------------------------------------------------------
 
 _OPS = {"signup": "grant", "purchase": "reserve", "error": "refund", "click": "commit"}
-LEDGER = """WITH o AS (SELECT user_id AS account, event_id AS seq, CASE event_type WHEN 'signup' THEN 'grant' WHEN 'purchase' THEN 'reserve' WHEN 'error' THEN 'refund' WHEN 'click' THEN 'commit' ELSE 'grant' END AS operation, CAST(floor(value) AS BIGINT) % 50 AS amount, props AS k FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY account, k ORDER BY seq) > 1 AS repeat FROM o),
-b AS (SELECT account, seq, operation, repeat, CAST(sum(CASE WHEN repeat THEN 0 WHEN operation IN ('grant', 'refund') THEN amount WHEN operation = 'reserve' THEN -amount ELSE 0 END) OVER w AS BIGINT) AS available, CAST(sum(CASE WHEN repeat THEN 0 WHEN operation = 'reserve' THEN amount WHEN operation IN ('commit', 'refund') THEN -amount ELSE 0 END) OVER w AS BIGINT) AS reserved FROM r WINDOW w AS (PARTITION BY account ORDER BY seq))"""
+LEDGER = """WITH RECURSIVE o AS (SELECT user_id AS account, event_id AS seq, CASE event_type WHEN 'signup' THEN 'grant' WHEN 'purchase' THEN 'reserve' WHEN 'error' THEN 'refund' WHEN 'click' THEN 'commit' ELSE 'grant' END AS op, CAST(floor(value) AS BIGINT) % 50 AS amount, CAST(event_id % 60 AS VARCHAR) AS k, event_id // 400 AS r, event_type AS ref,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT account, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS op, CAST(0 AS BIGINT) AS available, CAST(0 AS BIGINT) AS reserved, CAST([] AS VARCHAR[]) AS ks, CAST([] AS VARCHAR[]) AS ins, CAST([] AS BIGINT[]) AS rs, CAST([] AS BIGINT[]) AS ra, CAST([] AS VARCHAR[]) AS rr, CAST([] AS BIGINT[]) AS done, 'applied' AS verdict FROM (SELECT DISTINCT account FROM o)
+UNION ALL SELECT account, n, seq, op, available + CASE WHEN verdict <> 'applied' THEN 0 WHEN op IN ('grant', 'refund') THEN amt WHEN op = 'reserve' THEN -amt ELSE 0 END, reserved + CASE WHEN verdict <> 'applied' THEN 0 WHEN op = 'reserve' THEN amt WHEN op IN ('commit', 'refund') THEN -amt ELSE 0 END,
+  CASE WHEN verdict = 'applied' THEN list_append(ks, k) ELSE ks END, CASE WHEN verdict = 'applied' THEN list_append(ins, asked) ELSE ins END, CASE WHEN verdict = 'applied' AND op = 'reserve' THEN list_append(rs, r) ELSE rs END, CASE WHEN verdict = 'applied' AND op = 'reserve' THEN list_append(ra, amt) ELSE ra END,
+  CASE WHEN verdict = 'applied' AND op = 'reserve' THEN list_append(rr, ref) ELSE rr END, CASE WHEN verdict = 'applied' AND op IN ('commit', 'refund') THEN list_append(done, r) ELSE done END, verdict
+  FROM (SELECT *, CASE WHEN settles AND p IS NULL THEN 'reservation_not_found' WHEN NOT settles AND amt < 1 THEN 'invalid_amount' WHEN list_contains(ks, k) THEN (CASE WHEN ins[list_position(ks, k)] = asked THEN 'repeat' ELSE 'idempotency_conflict' END)
+      WHEN op = 'reserve' AND p IS NOT NULL THEN 'reservation_exists' WHEN op = 'reserve' AND available < amt THEN 'insufficient_credits' WHEN settles AND list_contains(done, r) THEN 'reservation_terminal' ELSE 'applied' END AS verdict
+    FROM (SELECT *, op || '/' || amt || '/' || CASE WHEN settles THEN rr[p] ELSE ref END AS asked FROM (SELECT *, CASE WHEN settles THEN ra[p] ELSE amount END AS amt
+      FROM (SELECT f.account, o.n, o.seq, o.op, o.amount, o.k, o.r, o.ref, f.available, f.reserved, f.ks, f.ins, f.rs, f.ra, f.rr, f.done, o.op IN ('commit', 'refund') AS settles, nullif(coalesce(list_position(f.rs, o.r), 0), 0) AS p FROM f JOIN o ON o.account = f.account AND o.n = f.n + 1))))),
+b AS (SELECT account, seq, op AS operation, CASE WHEN verdict IN ('applied', 'repeat') THEN verdict ELSE 'rejected' END AS outcome, CASE WHEN verdict NOT IN ('applied', 'repeat') THEN verdict END AS reason, available, reserved FROM f WHERE n > 0)"""
 
 
 def _ledger(spark, sf):
-    ops = table(spark, sf, "events").select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.coalesce(F.create_map(*[F.lit(x) for kv in _OPS.items() for x in kv])[F.col("event_type")], F.lit("grant")).alias("operation"), (F.floor("value") % 50).alias("amount"), F.col("props").alias("idempotency_key"))
-    return state.ledger(ops).select("account", "seq", "operation", "repeat", "available", "reserved")
+    k = F.col("event_id")
+    ops = table(spark, sf, "events").select(
+        F.col("user_id").alias("account"), k.alias("seq"), F.coalesce(F.create_map(*[F.lit(x) for kv in _OPS.items() for x in kv])[F.col("event_type")], F.lit("grant")).alias("operation"), (F.floor("value") % 50).alias("amount"),
+        (k % 60).cast("string").alias("idempotency_key"), F.floor(k / 400).cast("string").alias("reservation_key"), F.lit("event").alias("reference_type"), F.col("event_type").alias("reference_key"),
+    )
+    return state.ledger(ops)
 
 
 @query(LEDGER + " SELECT * FROM b")
 def d29_ledger(spark, sf):
-    """Running balances."""
+    """Balances, repeats and rejections; the oracle folds operation by operation."""
     return _ledger(spark, sf)
 
 
-@query(LEDGER + " SELECT account, min(seq) AS first_seq, count(*) AS violations FROM b WHERE available < 0 OR reserved < 0 GROUP BY account")
-def d29_ledger_violations(spark, sf):
-    return state.ledger_violations(_ledger(spark, sf))
+@query(LEDGER + " SELECT account, reason, min(seq) AS first_seq, count(*) AS n FROM b WHERE outcome = 'rejected' GROUP BY account, reason")
+def d29_ledger_rejections(spark, sf):
+    return state.ledger_rejections(_ledger(spark, sf))
 
 
 @query("""WITH a AS (SELECT user_id AS job, event_id AS seq, event_type IN ('error', 'view') AS failed, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events),
@@ -350,16 +364,17 @@ def j26_deliverable(spark, sf):
     return state.deliverable(_outbox(spark, sf), w).select("user_id", "opportunity_id", "channel", "trigger", "seq")
 
 
-@query("""WITH e AS (SELECT event_id % 3000 AS event_id, event_id AS seq, CASE WHEN event_type <> 'view' THEN event_id % 400 END AS invoice_id, user_id AS customer_id, event_id % 6 AS price_id, CASE WHEN event_id % 9 = 0 THEN 'EUR' ELSE 'USD' END AS currency, (event_id % 6) * 100 AS amount FROM events),
-f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1), m AS (SELECT DISTINCT c_custkey AS customer_id FROM customer WHERE c_custkey % 4 <> 0),
-r AS (SELECT f.*, CASE WHEN invoice_id IS NULL THEN NULL WHEN m.customer_id IS NULL THEN 'unmapped_customer' WHEN price_id = 5 THEN 'unmapped_price' WHEN currency <> 'USD' THEN 'price_policy_mismatch' END AS why FROM f LEFT JOIN m USING (customer_id)),
-s AS (SELECT *, coalesce(sum(CASE WHEN invoice_id IS NOT NULL AND why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY invoice_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS done FROM r),
-o AS (SELECT *, CASE WHEN invoice_id IS NULL THEN 'observed' WHEN done THEN 'duplicate' WHEN why IS NOT NULL THEN 'review' ELSE 'applied' END AS outcome FROM s)
-SELECT event_id, seq, invoice_id, outcome, CASE WHEN outcome = 'review' THEN why END AS review_reason, CASE WHEN outcome = 'applied' THEN price_id * 10 END AS credit_units FROM o""")
+@query("""WITH e AS (SELECT event_id // 2 AS event_id, event_id AS seq, CASE WHEN event_type <> 'view' THEN event_id % 800 // 2 END AS invoice_id, event_id % 12 // 2 * 50 AS customer_id, event_id % 12 // 2 AS price_id, CASE WHEN event_id % 18 < 2 THEN 'EUR' ELSE 'USD' END AS currency, (event_id % 12 // 2) * 100 AS amount FROM events),
+g AS (SELECT *, (invoice_id, customer_id, price_id, currency, amount) AS facts, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS n, first_value((invoice_id, customer_id, price_id, currency, amount)) OVER (PARTITION BY event_id ORDER BY seq) AS f0 FROM e), m AS (SELECT DISTINCT c_custkey AS customer_id FROM customer WHERE c_custkey % 4 <> 0),
+r AS (SELECT g.*, CASE WHEN m.customer_id IS NULL THEN 'unmapped_customer' WHEN price_id = 5 THEN 'unmapped_price' WHEN currency <> 'USD' THEN 'price_policy_mismatch' END AS why FROM g LEFT JOIN m USING (customer_id) WHERE n = 1),
+s AS (SELECT r.*, (SELECT arg_min(x.facts, x.seq) FROM r x WHERE x.invoice_id = r.invoice_id AND x.why IS NULL AND x.seq < r.seq) AS applied FROM r),
+o AS (SELECT *, CASE WHEN invoice_id IS NULL THEN 'observed' WHEN applied = facts THEN 'duplicate' WHEN applied IS NOT NULL THEN 'conflict' WHEN why IS NOT NULL THEN 'review' ELSE 'applied' END AS outcome FROM s)
+SELECT event_id, seq, invoice_id, outcome, CASE WHEN outcome = 'review' THEN why END AS review_reason, CASE WHEN outcome = 'applied' THEN price_id * 10 END AS credit_units FROM o
+UNION ALL SELECT event_id, seq, invoice_id, CASE WHEN facts IS NOT DISTINCT FROM f0 THEN 'repeat' ELSE 'conflict' END, NULL, NULL FROM g WHERE n > 1""")
 def d31_billing(spark, sf):
-    """Applied once, duplicates, reviews by the first reason."""
-    k = F.col("event_id")
-    e = table(spark, sf, "events").select((k % 3000).alias("event_id"), k.alias("seq"), F.when(F.col("event_type") != "view", k % 400).alias("invoice_id"), F.col("user_id").alias("customer_id"), (k % 6).alias("price_id"), F.when(k % 9 == 0, "EUR").otherwise("USD").alias("currency"), (k % 6 * 100).alias("amount"))
+    """Applied once, duplicates, repeats, conflicts, reviews by the first reason."""
+    k, pair = F.col("event_id"), lambda n: F.floor(F.col("event_id") % n / 2)
+    e = table(spark, sf, "events").select(F.floor(k / 2).alias("event_id"), k.alias("seq"), F.when(F.col("event_type") != "view", pair(800)).alias("invoice_id"), (pair(12) * 50).alias("customer_id"), pair(12).alias("price_id"), F.when(k % 18 < 2, "EUR").otherwise("USD").alias("currency"), (pair(12) * 100).alias("amount"))
     m = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("customer_id"))
     p = spark.range(5).select(F.col("id").alias("price_id"), F.lit("USD").alias("currency"), (F.col("id") * 100).alias("amount"), (F.col("id") * 10).alias("credit_units"))
     return state.billing_outcomes(e, m, p)
@@ -511,12 +526,21 @@ def s10_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", documents.visible_text()("html").alias("text"))
 
 
+def _notices(spark, sf):
+    """Opportunities as two-page notices: labels in two languages, wrapped values, reservations and impossible dates."""
+    o, k = A.opportunities(spark, sf), F.col("id")
+    one = F.concat_ws("\n", F.when(k % 3 == 0, "용역 입찰 공고"), F.concat(F.when(k % 2 == 0, "Title: ").when(k % 5 == 0, "1. 사 업 명 :\n").otherwise("· 공고명： "), "title"), F.concat(F.lit("Buyer: "), "buyer"), F.when(k % 3 != 0, "Category: IT services"))
+    two = F.concat_ws(
+        "\n", F.concat(F.lit("Budget: KRW "), F.col("estimated_amount").cast("string")), F.concat(F.lit("Region: "), F.array_join("regions", "; ")), F.when(k % 7 == 0, "Certifications: ISO 27001 optional").otherwise("Certifications: ISO 9001; ISO 27001"),
+        F.when(k % 11 == 0, "Deadline: 2026-02-30T09:00:00Z").when(k % 4 == 0, "마감일: 2026-09-30 18:00 KST").otherwise("Deadline: 2026-09-30"), F.when(k % 13 == 0, "Title: another"),
+    )
+    return o.select(k.alias("doc_id"), F.posexplode(F.array(one, two)).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_number"), "text")
+
+
 @query()
 def d18_labelled_claims(spark, sf):
-    """Labelled claims of generated notices (tests hold them against golden cases)."""
-    o = A.opportunities(spark, sf)
-    made = o.select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("- Buyer : "), "buyer"), F.concat(F.lit("Budget: KRW "), F.col("estimated_amount").cast("string")), F.lit("Regions："), F.array_join("regions", ", ")).alias("text"))
-    return documents.first_claims(documents.extract_claims(made))
+    """Typed claims of two-page notices (tests hold them against a plain reading, line by line)."""
+    return extraction.extract_claims(_notices(spark, sf))
 
 
 @query("SELECT i, 'synthetic-' || i AS record_id, 'Synthetic Agency ' || (i % 71) AS buyer_name, 50000000 + (i * 7919) % 300000000 AS estimated_amount, strftime(TIMESTAMP '2026-09-01' + to_minutes(i % 14400), '%Y-%m-%d %H:%M:%S') AS published_at, CASE WHEN i % 3 <> 0 THEN 'Seoul' ELSE 'Busan' END AS region FROM range(50000) t(i)")
@@ -597,9 +621,7 @@ def d24_outcome_watchers(spark, sf):
 
 @query()
 def d19_claim_validation(spark, sf):
-    """Claims whose quotes are on their page (collections have no value hash; tests hold golden cases)."""
-    o = A.opportunities(spark, sf)
-    pages = o.select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.concat(F.lit("Title: "), "title", F.lit("\nBuyer: "), "buyer").alias("text"))
-    quote = F.when(F.col("id") % 5 == 0, F.lit("Buyer: nobody")).otherwise(F.concat(F.lit("Buyer: "), "buyer"))
-    claims = o.select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value"), F.concat(F.lit("Title: "), "title").alias("quote")), F.struct(F.lit("buyer_name").alias("field"), F.col("buyer").alias("value"), quote.alias("quote")))))
-    return documents.validate_claims(claims, pages).select("doc_id", F.array_join("issues", ",").alias("issues"), "valid")
+    """The extracted claims of each notice, some with another quote or value, against its pages."""
+    pages, k = _notices(spark, sf), F.col("doc_id")
+    claims = extraction.extract_claims(pages).withColumn("quote", F.when((k % 17 == 0) & (F.col("field") == "title"), "Title: nobody said so").otherwise(F.col("quote"))).withColumn("value", F.when((k % 19 == 0) & (F.col("field") == "buyer_name"), "somebody").otherwise(F.col("value")))
+    return extraction.validate_claims(claims, pages).select("doc_id", F.array_join("issues", ",").alias("issues"), "valid")
