@@ -52,7 +52,7 @@ def _sorted_sets(data: np.ndarray, offsets: np.ndarray, k: int, last: np.ndarray
     short = np.flatnonzero((sizes > 0) & (sizes < k))
     few = np.array([K.shingles(W.hash[W.first[r] : W.first[r + 1]], int(sizes[r]))[0] ^ K.U64(sizes[r]) for r in short], K.U64)
     h, r = np.concatenate([grams[whole], few]), np.concatenate([rows[whole], short])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, r = h[order], r[order]
     if len(last):
         place = np.searchsorted(last, h)
@@ -60,7 +60,7 @@ def _sorted_sets(data: np.ndarray, offsets: np.ndarray, k: int, last: np.ndarray
         key = 2 * r + (last[place] == h)
     else:
         key = 2 * r
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key.astype(np.uint16) if 2 * len(sizes) < 1 << 16 else key, kind="stable")  # short keys sort faster
     h, r = h[order], r[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])

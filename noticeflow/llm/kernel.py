@@ -85,38 +85,84 @@ class Rolling:
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + U64(length))
 
 
-#: Spans of more than SHORT bytes are kept apart by a cryptographic digest; the worker remembers some of them.
-SHORT, REMEMBERED, REMEMBERED_BYTES = 7, 300_000, 64
+#: Spans of up to SHORT bytes are their own key; of longer ones a worker remembers some, those of up to MIDDLE bytes in a table.
+SHORT, MIDDLE, SLOTS, REMEMBERED = 7, 16, 1 << 19, 100_000
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], U64)
+
+
+class Spans:
+    """Byte spans of a block, eight bytes at a time: whole spans compare by two overlapping loads and their size."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.data, self.starts, self.ends, self.sizes = data, starts, ends, ends - starts
+        self.loads = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+    def short_keys(self) -> np.ndarray:
+        """For spans of up to SHORT bytes, bytes and size as one number: different spans have different ones."""
+        few = np.minimum(self.sizes, SHORT)
+        return (self.loads[self.starts] & _MASKS[few]) | (few.astype(U64) << U64(56))
+
+    def values(self, table: SpanTable, make: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
+        """(which, values) of the spans of more than SHORT bytes; what the table doesn't hold is made from the span."""
+        which = np.flatnonzero(self.sizes > SHORT)
+        out = np.zeros(len(which), U64)
+        middle = np.flatnonzero(self.sizes[which] <= MIDDLE)
+        w = which[middle]
+        one, two, size = self.loads[self.starts[w]], self.loads[self.ends[w] - 8], self.sizes[w].astype(np.uint8)
+        slot, hit = table.find(one, two, size)
+        out[middle] = table.value[slot]
+        slow = np.ones(len(which), bool)
+        slow[middle[hit]] = False
+        slow = np.flatnonzero(slow)
+        if len(slow):
+            raw, at = self.data.tobytes(), which[slow]
+            out[slow] = np.array([make(raw[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)], U64)
+            new = np.flatnonzero(~hit)
+            table.put(slot[new], one[new], two[new], size[new], out[middle[new]])
+        return which, out
+
+
+class SpanTable:
+    """Values of spans of SHORT + 1 to MIDDLE bytes, one per slot; a slot's span is compared whole, a later one replaces it."""
+
+    def __init__(self):
+        self.one, self.two, self.value = (np.zeros(SLOTS, U64) for _ in range(3))
+        self.size = np.zeros(SLOTS, np.uint8)
+
+    def find(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (mix(one ^ mix(two + size)) & U64(SLOTS - 1)).astype(np.int64)
+        return slot, (self.one[slot] == one) & (self.two[slot] == two) & (self.size[slot] == size)
+
+    def put(self, slot, one, two, size, value) -> None:
+        self.one[slot], self.two[slot], self.size[slot], self.value[slot] = one, two, size, value
+
+
+_KNOWN: dict[str, SpanTable] = {}
 _LONG: dict[bytes, int] = {}
 
 
 def _long_hash(span: bytes) -> int:
-    h = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
-    if len(span) <= REMEMBERED_BYTES:
-        if len(_LONG) >= REMEMBERED:
-            _LONG.clear()
-        _LONG[span] = h
+    if (h := _LONG.get(span)) is None:
+        h = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+        if MIDDLE < len(span) <= 64:
+            if len(_LONG) >= REMEMBERED:
+                _LONG.clear()
+            _LONG[span] = h
     return h
 
 
-def short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of each span of up to SHORT bytes and its size, as one number: different spans have different ones."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    loads = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
-    few = np.minimum(sizes, SHORT)
-    return (loads[starts] & _MASKS[few]) | (few.astype(U64) << U64(56))
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans. Those of up to SHORT bytes never collide with each other; longer ones have BLAKE2b's."""
-    sizes = ends - starts
-    out = mix(short_keys(data, starts, sizes)) if len(starts) else np.zeros(0, U64)
-    if len(long_ := np.flatnonzero(sizes > SHORT)):
-        raw, get = data.tobytes(), _LONG.get
-        spans = (raw[a:b] for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True))
-        out[long_] = np.array([get(x) or _long_hash(x) for x in spans], U64)
+    if not len(starts):
+        return np.zeros(0, U64)
+    spans = Spans(data, starts, ends)
+    out = mix(spans.short_keys())
+    if "hash" not in _KNOWN:
+        _KNOWN["hash"] = SpanTable()
+    which, values = spans.values(_KNOWN["hash"], _long_hash)
+    out[which] = values
     return out
 
 

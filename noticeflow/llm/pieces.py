@@ -68,6 +68,7 @@ class PieceEncoder:
     def clear(self) -> None:
         self.index: dict[int, int] = {}
         self.long: dict[bytes, int] = {}  # numbers of the pieces of more than K.SHORT bytes
+        self.table = K.SpanTable()  # and where some of them are found faster
         self.sizes = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.store = np.zeros(1 << 18, np.uint32)
@@ -98,12 +99,10 @@ class PieceEncoder:
 
     def _keys(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A number per piece: equal numbers are equal pieces, byte by byte. Short pieces are their own, long ones are counted."""
-        sizes = ends - starts
-        out = K.short_keys(data, starts, sizes)
-        raw, number = data.tobytes(), self.long
-        long_ = np.flatnonzero(sizes > K.SHORT)
-        spans = (raw[a:b] for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True))
-        out[long_] = np.array([number.setdefault(x, len(number)) for x in spans], K.U64) | K.U64(255 << 56)
+        spans, number = K.Spans(data, starts, ends), self.long
+        out = spans.short_keys()
+        which, values = spans.values(self.table, lambda x: number.setdefault(x, len(number)))
+        out[which] = values | K.U64(255 << 56)
         return out
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
