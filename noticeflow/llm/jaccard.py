@@ -613,12 +613,6 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return components(docs, **options).select("doc_id", "n_shingles", "component_id", "links")
 
 
-def alike(docs: DataFrame, **options) -> DataFrame:
-    """mark (xxhash64 of the text), unit: the smallest mark that a text reaches by links, for texts that reach a smaller one."""
-    found = components(only(docs, "text").select(F.xxhash64("text").alias("doc_id"), "text"), counted=False, **options)
-    return cut(found.where("component_id <> doc_id").groupBy(F.col("doc_id").alias("mark")).agg(F.min("component_id").alias("unit")))
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each component: that of its smallest doc_id.
 
