@@ -24,11 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without the lines that are boilerplate on their site; copies count as one page of it.
+    """The same documents without the lines that are boilerplate on their site; equal texts count as one page of it.
 
-    A null source is a site; null texts stay null, and every row stays, if it loses all its lines, too.
+    A page that would lose most of its text keeps it, but for lines on most of the site's pages. A null source is a site;
+    null texts stay null, and every row stays.
     """
-    return linededup.cleaned(docs, alike=jaccard.alike(docs))
+    return linededup.cleaned(docs, texts=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
