@@ -38,6 +38,9 @@ FILTER_IDS = 2_000_000
 #: Shared shingles that are compared at a time when the links inside a class are counted, and by how much a cell of
 #: their product is cheaper than a pair that is counted by itself.
 BLOCK, DENSE = 1024, 64
+#: What a task holds at a time: bytes of bitmaps that it compares, node pairs of a tree that it opens, candidate pairs
+#: before they are sent on, and bytes of members that it reads before it searches their groups.
+HELD_BYTES, OPEN, PAIRS, READ = 4_000_000, 16_384, 500_000, 16_000_000
 #: Most frequent shingles that are ordered last (8 bytes each, sent to all tasks).
 LAST = 500_000
 
@@ -276,8 +279,9 @@ class Bitmaps:
         for w in np.unique(both).tolist():
             who = np.flatnonzero(both == w)
             place, table = self.at(w)
-            for c in range(0, len(who), 100_000):
-                part = who[c : c + 100_000]
+            step = max(1, HELD_BYTES // (8 * w))
+            for c in range(0, len(who), step):
+                part = who[c : c + step]
                 a, b = table[place[i[part]]], table[place[j[part]]]
                 out[0, part] = np.bitwise_count(a & ~b).sum(1, dtype=np.int64)
                 out[1, part] = np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
@@ -313,9 +317,25 @@ class SignatureTree:
             self.levels.append(level)
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Member pairs that a dual traversal can't rule out."""
-        i = j = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, 0, -1):
+        """Member pairs that a dual traversal can't rule out, all at once."""
+        none = np.zeros(0, np.int64)
+        i, j = zip((none, none), *self.parts(percent), strict=True)
+        return np.concatenate(i), np.concatenate(j)
+
+    def parts(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same in parts: the traversal goes down OPEN node pairs at a time, the deepest first."""
+        top = np.zeros(1, np.int64)
+        todo = [(len(self.levels) - 1, top, top)]
+        while todo:
+            depth, i, j = todo.pop()
+            if len(i) > OPEN:
+                todo.append((depth, i[OPEN:], j[OPEN:]))
+                i, j = i[:OPEN], j[:OPEN]
+            if not depth:
+                i, j = self.who[i], self.who[j]
+                ok = (i != j) & _may_link(self.maps, self.n, self.label, i, j, percent)
+                yield i[ok], j[ok]
+                continue
             bits, low, high, excess, least, most = self.levels[depth]
             same_class = (least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j])
             shared = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
@@ -328,10 +348,8 @@ class SignatureTree:
             cj = (j[:, None, None] * LEAF + np.arange(LEAF)[None, None, :]) + np.zeros((1, LEAF, 1), np.int64)
             ci, cj = ci.ravel(), cj.ravel()
             fine = (ci < below) & (cj < below) & ((ci <= cj) if depth > 1 else (ci < cj))
-            i, j = ci[fine], cj[fine]
-        i, j = self.who[i], self.who[j]
-        ok = (i != j) & _may_link(self.maps, self.n, self.label, i, j, percent)
-        return i[ok], j[ok]
+            if fine.any():
+                todo.append((depth - 1, ci[fine], cj[fine]))
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
@@ -358,34 +376,50 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
             node, n, label, side = col("node"), col("n"), col("label"), col("side")
             bits = Bitmaps(table.column("bits").to_pylist())
             cross = g[1] != g[2]
-            ones, twos, tasks = [], [], []
+            ones, twos, tasks, found = [], [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                out = emit(np.concatenate(ones), np.concatenate(twos), np.concatenate(tasks))
+                for kept in (ones, twos, tasks):
+                    kept.clear()
+                return out
+
             for m in np.unique(size[size <= 2 * LEAF]).tolist():
                 if m < 2:
                     continue
                 x, y = np.triu_indices(m, 1)
                 base = start[size == m][:, None]
-                i, j = (base + x).ravel(), (base + y).ravel()
-                for c in range(0, len(i), 500_000):
-                    p, q = i[c : c + 500_000], j[c : c + 500_000]
+                step = max(1, PAIRS // len(x))
+                for c in range(0, len(base), step):
+                    p, q = (base[c : c + step] + x).ravel(), (base[c : c + step] + y).ravel()
                     ok = _may_link(bits, n, label, p, q, percent) & (~cross[p] | (side[p] != side[q]))
                     ones.append(node[p[ok]])
                     twos.append(node[q[ok]])
                     tasks.append(task[p[ok]])
+                    found += len(ones[-1])
+                    if found > PAIRS:
+                        yield sent()
+                        found = 0
             for a, m in zip(start.tolist(), size.tolist(), strict=True):
-                if m > 2 * LEAF:
-                    i, j = SignatureTree(bits, np.arange(a, a + m), n, label).pairs(percent)
+                if m <= 2 * LEAF:
+                    continue
+                for i, j in SignatureTree(bits, np.arange(a, a + m), n, label).parts(percent):
                     ok = ~cross[a] | (side[i] != side[j])
                     ones.append(node[i[ok]])
                     twos.append(node[j[ok]])
                     tasks.append(task[i[ok]])
+                    found += len(ones[-1])
+                    if found > PAIRS:
+                        yield sent()
+                        found = 0
             if ones:
-                yield emit(np.concatenate(ones), np.concatenate(twos), np.concatenate(tasks))
+                yield sent()
 
         held = 0
         for batch in batches:
             left.append(batch)
-            held += batch.num_rows
-            if held < 50_000:
+            held += batch.nbytes
+            if held < READ:
                 continue
             table = pa.Table.from_batches(left)
             key = np.stack([table.column(c).to_numpy() for c in keys])
@@ -393,7 +427,7 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
             if tail:
                 yield from search(table.slice(0, tail))
                 left = table.slice(tail).combine_chunks().to_batches()
-                held = table.num_rows - tail
+                held = sum(b.nbytes for b in left)
         if held:
             yield from search(pa.Table.from_batches(left))
 
@@ -451,12 +485,13 @@ def _verified(tasks: DataFrame, kinds: DataFrame, docs: DataFrame, k: int, perce
         task, have = None, {}
         for batch in batches:
             ones, twos = [], []
-            t, kind, a, b, e = (K.columns(batch, c).to_pylist() for c in ("task", "kind", "a", "b", "elements"))
+            t, kind, a, b = (K.columns(batch, c).to_pylist() for c in ("task", "kind", "a", "b"))
+            e = K.columns(batch, "elements")
             for x in range(batch.num_rows):
                 if t[x] != task:
                     task, have = t[x], {}
                 if not kind[x]:
-                    have[a[x]] = np.frombuffer(e[x], K.U64)
+                    have[a[x]] = np.frombuffer(e[x].as_buffer(), K.U64).copy()  # a view would keep the whole batch
                     continue
                 p, q = have[a[x]], have[b[x]]
                 if len(p) > len(q):
