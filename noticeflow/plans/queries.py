@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeflow.functions import text as T
-from noticeflow.operators import decisions, delta, documents, extraction, linking, metrics, replay, state, versions, views
+from noticeflow.operators import decisions, delta, documents, extraction, inbox, linking, metrics, replay, state, versions, views
 from noticeflow.plans import adapters as A
 from noticeflow.plans.adapters import table
 from noticeflow.sources import synthetic
@@ -625,3 +625,77 @@ def d19_claim_validation(spark, sf):
     pages, k = _notices(spark, sf), F.col("doc_id")
     claims = extraction.extract_claims(pages).withColumn("quote", F.when((k % 17 == 0) & (F.col("field") == "title"), "Title: nobody said so").otherwise(F.col("quote"))).withColumn("value", F.when((k % 19 == 0) & (F.col("field") == "buyer_name"), "somebody").otherwise(F.col("value")))
     return extraction.validate_claims(claims, pages).select("doc_id", F.array_join("issues", ",").alias("issues"), "valid")
+
+
+# --- inbox, workers and attachments --------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, max(ts) AS finished_at, arg_max(event_id, (ts, event_id)) AS run_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def w2_latest_success(spark, sf):
+    """Purchases as successful runs of a user."""
+    runs = table(spark, sf, "events").select("user_id", F.when(F.col("event_type") == "purchase", "success").otherwise("failed").alias("status"), F.col("ts").alias("finished_at"), F.col("event_id").alias("run_id"))
+    return inbox.latest_success(runs, "user_id", "status", "finished_at", "run_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS currency, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS amount FROM orders)
+SELECT id, CASE WHEN amount IS NOT NULL THEN min(id) FILTER (WHERE amount IS NOT NULL) OVER (PARTITION BY currency) END AS bucket FROM o""")
+def w8_currency_buckets(spark, sf):
+    """Order priorities stand for currencies, order keys for places in the list."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("currency"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")).alias("amount"))
+    return inbox.currency_buckets(o, "id").select("id", "bucket")
+
+
+DUE = "CASE WHEN event_type = 'view' THEN 'pending' WHEN event_type = 'click' THEN 'sending' ELSE 'sent' END"
+
+
+@query(f"""WITH m AS (SELECT user_id, max(ts) AS hi FROM events GROUP BY user_id), t AS (SELECT min(hi) AS now FROM m),
+e AS (SELECT event_id AS id, {DUE} AS status, CASE WHEN event_id % 50 <> 0 THEN ts END AS next_attempt_at FROM events)
+SELECT id, status FROM e, t WHERE status <> 'sent' AND (next_attempt_at IS NULL OR next_attempt_at <= now) ORDER BY next_attempt_at NULLS FIRST, id LIMIT 100""")
+def o6_due_queue(spark, sf):
+    """The limit is the queue's batch; now is the first user's last event."""
+    e = table(spark, sf, "events")
+    now = e.groupBy("user_id").agg(F.max("ts").alias("hi")).agg(F.min("hi").alias("now")).first()["now"]
+    q = e.select(F.col("event_id").alias("id"), F.expr(DUE).alias("status"), F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("next_attempt_at"))
+    return inbox.due(q, F.lit(now).cast(e.schema["ts"].dataType)).select("id", "status")
+
+
+@query("""SELECT o_orderkey AS id, 'loaded' AS page FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'next' FROM orders WHERE o_orderstatus = 'F'""")
+def u4_page_append(spark, sf):
+    """U4: the next page repeats the partly filled orders that are loaded."""
+    o = table(spark, sf, "orders")
+    page = lambda cond, name: o.where(cond).select(F.col("o_orderkey").alias("id"), F.lit(name).alias("page"))
+    return inbox.append_page(page("o_orderstatus <> 'F'", "loaded"), page("o_orderstatus <> 'O'", "next"))
+
+
+@query("""SELECT CASE event_type WHEN 'view' THEN 'ReadTimeout' WHEN 'click' THEN 'ValidationError' ELSE 'ProcessingError' END AS error_code, count(*) AS n FROM events GROUP BY ALL""")
+def p16_public_errors(spark, sf):
+    raised = F.when(F.col("event_type") == "view", "ReadTimeout").when(F.col("event_type") == "click", "ValidationError").otherwise(F.concat(F.col("event_type"), F.lit("Error")))
+    return table(spark, sf, "events").select(inbox.public_error(raised).alias("error_code")).groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(replace(url || '?v=1 (a)', chr(92), '/'), '[^/]*$'), '[^\p{L}\p{N}_.()-]+', '_', 'g'), '._') AS name FROM pages)
+SELECT page_id, left(CASE WHEN name = '' THEN 'attachment' ELSE name END, 255) AS name FROM p""")
+def f5_file_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", inbox.file_name(F.concat("url", F.lit("?v=1 (a)"))).alias("name"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS completed, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS failed FROM orders""")
+def f30_heartbeat(spark, sf):
+    """one line per order; every seventh lacks a counter."""
+    o = table(spark, sf, "orders")
+    line = F.concat(F.lit("12:00 j_complete=1 j_complete="), "o_orderkey", F.lit(" j_failed="), "o_custkey", F.lit(" j_retried=0"), F.when(F.col("o_orderkey") % 7 != 0, F.lit(" j_ongoing=2")).otherwise(" queued=3"))
+    return o.select(F.col("o_orderkey").alias("id"), inbox.heartbeat(line).alias("h")).select("id", "h.completed", "h.failed")
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS parts FROM documents),
+p AS (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS pages FROM d)
+SELECT doc_id, CASE WHEN len(pages) = 4 THEN array_to_string(pages, '|') END AS pages FROM p""")
+def f35_recognised_pages(spark, sf):
+    """lines stand for pages; four are expected."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(inbox.split_pages(F.translate("text", "\n", "\f"), F.lit(4)), "|").alias("pages"))
+
+
+@query("SELECT o_orderkey AS id, 'daily:' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || CASE WHEN o_orderstatus = 'O' THEN ':open' ELSE ':closed' END AS epoch FROM orders")
+def f38_daily_epoch(spark, sf):
+    state = F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), inbox.daily_epoch(F.col("o_orderdate"), state).alias("epoch"))
