@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import decontam, jaccard, linededup, packing, quality_model, repeats, rules, secrets, tokencount, warc
+from noticeflow.llm import codes, decontam, jaccard, linededup, packing, quality_model, repeats, rules, secrets, sharding, sortmeans, tokencount, warc
 from noticeflow.llm.shared import table_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,6 +64,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,8 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_packing, op7_jaccard_join, op8_token_counts, op9_repeats, op10_warc, op11_centroid_clustering, op12_vector_codes, op13_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.ORACLE}
+    return {"op3_line_dedup": linededup.ORACLE, "op11_centroid_clustering": sortmeans.oracle(), "op12_vector_codes": codes.oracle()}

@@ -73,3 +73,9 @@ def keyed_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, par
         cold_rows = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     found.append(cold_rows.join(side.drop(weight), on))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
