@@ -3,7 +3,7 @@
 Fingerprints are the minimum k-gram hash of each window of `span - k + 1` consecutive k-grams, so any shared
 run of `span` words has a fingerprint in common. The benchmark's fingerprints are joined with each document's
 inside the scan, and every hit is extended to the spans of `span` words around it, which must agree letter by
-letter. Items shorter than a span are their own k-gram and are looked up at every position (a winnowing window of one).
+letter; words are hashed with a secret key of the run, so that no item can be written to pass for another. Items shorter than a span are their own k-gram and are looked up at every position (a winnowing window of one).
 The benchmark comes in blocks of a bounded number of words. One block is a single pass; of several, each is a pass
 that reads the texts and keeps only what it hits, by the texts' digests.
 
@@ -16,6 +16,7 @@ and kept with their values by `clean`.
 from __future__ import annotations
 
 import itertools
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,14 +48,14 @@ class Index:
     """Distinct windows of a block of benchmark items, by length: hashes, the words themselves, and the items that hold each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], span: int, k: int):
-        self.span, self.k, self.w = span, k, span - k + 1
+        self.span, self.k, self.w, self.key = span, k, span - k + 1, secrets.token_bytes(16)
         self.names: list[str] = sorted({i for i, _ in items if i is not None})
         name = {i: n for n, i in enumerate(self.names)}
         item = np.array([-1 if i is None else name[i] for i, _ in items], np.int64)
         prints, found, self.text, held = [np.zeros(0, K.U64)], {}, b"", []
         done = 0
         for r0, _, data, offsets in K.blocks(pa.array([t for _, t in items], pa.large_string())):
-            W = K.Words(data, offsets, K.WORDY)
+            W = K.Words(data, offsets, K.WORDY, key=self.key)
             grams = K.shingles(W.hash, k)
             prints.append(grams[winnow(grams, W.first, k, self.w)])
             sizes = np.diff(W.first)
@@ -161,7 +162,7 @@ def _found(index: Index | None, text: pa.Array) -> tuple[np.ndarray, list[list[s
     """Per text its number of words, the items that it holds, and its runs of hit words (starts and ends, flattened)."""
     n_words, items, spans = [np.zeros(0, np.int64)], [], []
     for r0, r1, data, offsets in K.blocks(text):
-        W = K.Words(data, offsets, K.WORDY)
+        W = K.Words(data, offsets, K.WORDY, key=index.key if index else b"")
         n_words.append(np.diff(W.first))
         here: list[list[str]] = [[] for _ in range(r1 - r0)]
         runs: list[list[int]] = [[] for _ in range(r1 - r0)]

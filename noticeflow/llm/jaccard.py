@@ -12,6 +12,8 @@ A group has a hub, the member with most of the frequent shingles; groups of one
 of groups of more than `star` first link to the hub, so that a large group of near copies becomes one class
 before its tree is searched; groups beyond a quarter of `dense` are searched as pairs of parts, each a task of its own. Rows of a group are never gathered elsewhere.
 
+Words are hashed with a secret key of the run, so that nobody can write texts whose shingles collide.
+
 Defined results: null, empty and wordless texts have no shingles and link with nothing; fewer words than a
 shingle make one shingle of the whole sequence; rows with one doc_id are separate rows with that id; a null
 doc_id counts for its links but is never a component's id (a component of nothing else has none); an empty
@@ -20,7 +22,9 @@ table gives no rows; extra columns are ignored by `components` and kept by `keep
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,16 @@ HELD_BYTES, OPEN, PAIRS, READ = 4_000_000, 16_384, 500_000, 16_000_000
 LAST = 500_000
 
 
-def _sorted_sets(data: np.ndarray, offsets: np.ndarray, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Hashing(NamedTuple):
+    """How a run hashes: the key of its words, drawn anew each time, and the shingles that come last."""
+
+    key: bytes
+    last: np.ndarray
+
+
+def _sorted_sets(data: np.ndarray, offsets: np.ndarray, k: int, hashing: Hashing) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles row after row, frequent ones last and by hash else; and where each row starts."""
-    W = K.Words(data, offsets, K.NOT_SPACE)
+    W, last = K.Words(data, offsets, K.NOT_SPACE, key=hashing.key), hashing.last
     sizes = np.diff(W.first)
     grams = K.shingles(W.hash, k)
     rows = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
@@ -131,10 +142,10 @@ def _kinds(docs: DataFrame, k: int, percent: int, last) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), length)
                 flat = h[first[row] + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)]
                 often = np.zeros(len(h) + 1, np.int64)
-                if len(last.value):
-                    place = np.searchsorted(last.value, h)
-                    place[place == len(last.value)] = 0
-                    np.cumsum(last.value[place] == h, out=often[1:])
+                if len(frequent := last.value.last):
+                    place = np.searchsorted(frequent, h)
+                    place[place == len(frequent)] = 0
+                    np.cumsum(frequent[place] == h, out=often[1:])
                 usual = 1000 * (often[first[1:]] - often[first[:-1]]) // n
                 width = bitmap_bits(n)
                 ends = np.cumsum(width)
@@ -597,8 +608,9 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 75, star: int = 16
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    none = spark.sparkContext.broadcast(np.zeros(0, K.U64))
-    last = spark.sparkContext.broadcast(_frequent(docs, k, sample_one_in, frequent, none))
+    key = secrets.token_bytes(16)
+    none = spark.sparkContext.broadcast(Hashing(key, np.zeros(0, K.U64)))
+    last = spark.sparkContext.broadcast(Hashing(key, _frequent(docs, k, sample_one_in, frequent, none)))
     kinds = cut(_kinds(docs, k, percent, last))
     groups = cut(_groups(kinds, dense))
     texts = docs.select("text")

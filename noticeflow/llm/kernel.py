@@ -139,29 +139,38 @@ class SpanTable:
         self.one[slot], self.two[slot], self.size[slot], self.value[slot] = one, two, size, value
 
 
-_KNOWN: dict[str, SpanTable] = {}
-_LONG: dict[bytes, int] = {}
+#: What a worker remembers of the words hashed with one key; another key starts anew.
+_KNOWN: dict[bytes, tuple[SpanTable, dict[bytes, int]]] = {}
 
 
-def _long_hash(span: bytes) -> int:
-    if (h := _LONG.get(span)) is None:
-        h = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+def _long_hash(span: bytes, key: bytes, known: dict[bytes, int]) -> int:
+    if (h := known.get(span)) is None:
+        h = int.from_bytes(hashlib.blake2b(span, digest_size=8, key=key).digest(), "little")
         if MIDDLE < len(span) <= 64:
-            if len(_LONG) >= REMEMBERED:
-                _LONG.clear()
-            _LONG[span] = h
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[span] = h
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans. Those of up to SHORT bytes never collide with each other; longer ones have BLAKE2b's."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes = b"") -> np.ndarray:
+    """64-bit hashes of byte spans. Those of up to SHORT bytes never collide with each other; longer ones have BLAKE2b's.
+
+    key: 16 secret bytes of a run. Without them both can be computed, and inverted, by who writes the texts: what is combined
+    further (shingles) needs a key, or words that are compared.
+    """
     if not len(starts):
         return np.zeros(0, U64)
     spans = Spans(data, starts, ends)
     out = mix(spans.short_keys())
-    if "hash" not in _KNOWN:
-        _KNOWN["hash"] = SpanTable()
-    which, values = spans.values(_KNOWN["hash"], _long_hash)
+    if key:
+        one, two = np.frombuffer(key, "<u8")
+        out = mix(mix(out ^ one) + two)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = SpanTable(), {}
+    table, known = _KNOWN[key]
+    which, values = spans.values(table, lambda span: _long_hash(span, key, known))
     out[which] = values
     return out
 
@@ -230,11 +239,11 @@ WORDY[0x30:0x3A] = WORDY[0x61:0x7B] = WORDY[0x80:] = True
 class Words:
     """Words of a block of texts: byte spans, hashes, lengths, and the word index at which each row starts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True, key: bytes = b""):
         self.data = LOWER[data] if lower else data
         self.starts, self.ends = runs(table[self.data], offsets)
         self.first = np.searchsorted(self.starts, offsets)
-        self.hash = span_hashes(self.data, self.starts, self.ends)
+        self.hash = span_hashes(self.data, self.starts, self.ends, key)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """The words with a space after each, and where each starts there (and the end)."""

@@ -28,8 +28,8 @@ BROADCAST_LINES = 50_000
 
 
 def _digest(line: Column) -> Column:
-    """128 bits of a line: two 64-bit hashes with different seeds."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+    """A line's bucket hash, and 128 bits of its SHA-256: nobody can write a line that passes for another."""
+    return F.struct(F.xxhash64(line).alias("a"), F.unhex(F.substring(F.sha2(line, 256), 1, 32)).alias("b"))
 
 
 def _digests(text: Column) -> Column:

@@ -14,6 +14,7 @@ no rows; extra columns are kept by `apply_rules` unless they carry the name of a
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,9 +41,10 @@ def _pairs(hashes: Column, gap: int, n: Column, span: int) -> Column:
 def with_statistics(docs: DataFrame, text: str = "text", features: Sequence[str] = FEATURES) -> DataFrame:
     """docs, the five statistics (long) and the named FEATURES (double); columns with names in `_nf_*` are internal."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    salt = F.lit(secrets.randbits(63))  # words are hashed with a secret of the run: windows can't be written to collide
     df = docs.withColumn("_nf_words", F.array_remove(F.split(t, SPACE), ""))
     n = F.size("_nf_words")
-    df = df.withColumns({"_nf_n": n, "_nf_hash": F.transform("_nf_words", lambda w: F.xxhash64(w)), "_nf_lines": F.filter(F.split(t, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))})
+    df = df.withColumns({"_nf_n": n, "_nf_hash": F.transform("_nf_words", lambda w: F.xxhash64(salt, w)), "_nf_lines": F.filter(F.split(t, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))})
     df = df.withColumn("_nf_h2", _pairs(F.col("_nf_hash"), 1, F.col("_nf_n"), 2))
     df = df.withColumn("_nf_h4", _pairs(F.col("_nf_h2"), 2, F.col("_nf_n"), 4))
     df = df.withColumn("_nf_h8", _pairs(F.col("_nf_h4"), 4, F.col("_nf_n"), 8))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from noticeflow.llm import components, jaccard, queries
+from noticeflow.llm import kernel as K
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,3 +135,50 @@ def test_links(spark, options):
     other = lambda x: {y for y in sets.values() if y and x and y != x and 100 * len(x & y) >= 75 * len(x | y)}
     got = dict(jaccard.report(spark.createDataFrame(docs, "doc_id long, text string"), **options).select("doc_id", "links").collect())
     assert got == {d: len(other(x)) for d, x in sets.items()} and got[1] >= 59
+
+
+def forged_words(prefix: str, second: str) -> str:
+    """Two other words whose polynomial over unkeyed hashes is that of these two: made by inverting the finaliser."""
+    mul = K.U64(0x9FB21C651E98DF25)
+
+    def unmix(x):
+        def unshift(y, by):
+            out = y.copy()
+            for _ in range(64 // by):
+                out = y ^ (out >> K.U64(by))
+            return out
+
+        x = unshift(x, 31) * K.U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+        x = unshift(x, 27) * K.U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        return unshift(x, 30)
+
+    def key(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return K.span_hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+    # first * M + second == first' * M + second': choose first' and solve for second'
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    n = np.arange(1_500_000)
+    made = np.stack([letters[n // 26**i % 26] for i in range(6)], axis=1)
+    first = K.span_hashes(made.ravel(), n * 6, n * 6 + 6)
+    needed = unmix(key(second) + (key(prefix) - first) * mul)
+    raw = needed.astype("<u8").view(np.uint8).reshape(-1, 8)
+    fits = (raw[:, 7] == 7) & ((raw[:, :7] > 0x20) & (raw[:, :7] < 0x7F) & ~((raw[:, :7] >= 0x41) & (raw[:, :7] <= 0x5A))).all(1)
+    i = int(np.flatnonzero(fits)[0])
+    return made[i].tobytes().decode() + " " + raw[i, :7].tobytes().decode()
+
+
+def test_forged_shingles_link_nothing(spark):
+    """Five words whose unkeyed shingle hash is another five words': the run's secret key tells them apart."""
+    with np.errstate(over="ignore"):
+        forged = forged_words("alpha", "bravo") + " cargo delta echoes"
+    honest = "alpha bravo cargo delta echoes"
+    hashes = []
+    for text in (honest, forged):
+        data = np.frombuffer(text.encode(), np.uint8)
+        W = K.Words(data, np.array([0, len(data)]), K.NOT_SPACE)
+        hashes.append(K.shingles(W.hash, 5)[0])
+    assert hashes[0] == hashes[1] and forged != honest
+    docs = spark.createDataFrame([(1, honest), (2, forged), (3, honest)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.report(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {1, 2}
