@@ -7,19 +7,20 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 #: What case folding changes in lower-case text, from Python's own rule: final sigma, long s, ligatures and the like.
 _FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold() and not 0xD800 <= ord(c) < 0xE000}
 _ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
-_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+#: One character and what it becomes, comma by comma: one literal, whatever its length.
+_MORE = ",".join(c + f for c, f in _FOLDS.items() if len(f) > 1)
+_LONGER = "[" + "".join(c for c, f in _FOLDS.items() if len(f) > 1) + "]"
 
 
 def casefold(c: Column) -> Column:
     """Full case folding: lower case, and for texts beyond ASCII what lower case leaves apart."""
     low = F.lower(c)
-    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _MORE.items()))
     plain = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    full = F.when(plain.rlike("[" + "".join(_MORE) + "]"), F.reduce(pairs, plain, lambda t, p: F.replace(t, p["k"], p["v"]))).otherwise(plain)
+    each = F.reduce(F.split(F.lit(_MORE), ","), plain, lambda t, p: F.replace(t, F.left(p, F.lit(1)), F.substring(p, 2, 3)))
+    full = F.when(plain.rlike(_LONGER), each).otherwise(plain)
     return F.when(F.octet_length(low) == F.length(low), low).otherwise(full)
 
 

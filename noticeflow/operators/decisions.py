@@ -29,31 +29,28 @@ def eligibility(pairs: DataFrame, *, texts: tuple[str, ...] = ("title",), empty_
     min_contract_amount, max_contract_amount, contract_currency, excluded_keywords.
     """
     col = F.col
-    seen = lambda c: F.when(F.size(c) > 0, col(c)) if empty_is_unknown else col(c)
-    regions, required = seen("regions"), seen("required_certifications")
+    seen = lambda c: F.when(F.size(c) > 0, _norms(col(c))) if empty_is_unknown else _norms(col(c))
+    # what is compared is folded once per pair, not for every item that it is compared with
+    made = {"_nf_regions": seen("regions"), "_nf_required": seen("required_certifications"), "_nf_texts": _norms(F.array(*(F.coalesce(col(t), F.lit("")) for t in texts)))}
+    regions, required = col("_nf_regions"), col("_nf_required")
     amount, currency = col("estimated_amount").cast(MONEY), col("currency")
     low, high = col("p.min_contract_amount"), col("p.max_contract_amount")
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     bounds = low.isNotNull() | high.isNotNull()
     comparable = bounds & amount.isNotNull() & currency.isNotNull() & col("p.contract_currency").isNotNull()
     same = comparable & (F.upper(currency) == col("p.contract_currency"))
-    missing = F.array_except(_norms(required), _norms(F.coalesce(col("p.certifications"), F.array().cast("array<string>"))))
-    lists = [_norms(F.array(F.coalesce(col(t), F.lit("")))) for t in texts]
+    missing = F.array_except(required, _norms(F.coalesce(col("p.certifications"), F.array().cast("array<string>"))))
     # one reason for each excluded keyword, whatever number of fields match
 
-    def hit(keyword: Column) -> Column:
-        word = norm(keyword)
+    def hit(word: Column) -> Column:
         pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)"))
-        found = F.lit(False)
-        for values in lists:
-            # the pattern is compiled for texts that hold the keyword at all
-            found = found | F.exists(values, lambda x: F.contains(x, word) & F.regexp_like(x, pattern))
-        return found
+        # the pattern is compiled for texts that hold the keyword at all
+        return F.exists("_nf_texts", lambda x: F.contains(x, word) & F.regexp_like(x, pattern))
 
-    excluded = F.transform(F.filter(F.coalesce(col("p.excluded_keywords"), F.array().cast("array<string>")), hit), lambda _: F.lit("explicit_exclusion"))
+    excluded = F.transform(F.filter(_norms(F.coalesce(col("p.excluded_keywords"), F.array().cast("array<string>"))), hit), lambda _: F.lit("explicit_exclusion"))
     hard = F.array_compact(
         F.array(
-            F.when(regions.isNotNull() & some("p.regions") & ~F.arrays_overlap(_norms(regions), _norms(col("p.regions"))), "region_not_served"),
+            F.when(regions.isNotNull() & some("p.regions") & ~F.arrays_overlap(regions, _norms(col("p.regions"))), "region_not_served"),
             F.when(same & (amount < low), "amount_below_minimum"),
             F.when(same & (amount > high), "amount_above_maximum"),
             F.when(required.isNotNull() & (F.size(missing) > 0), "missing_certification"),
@@ -70,7 +67,7 @@ def eligibility(pairs: DataFrame, *, texts: tuple[str, ...] = ("title",), empty_
             F.when(required.isNull(), "certifications_unknown"),
         )
     )
-    out = held(pairs, {"hard_failures": F.concat(hard, excluded), "warnings": warn})
+    out = held(held(pairs, made), {"hard_failures": F.concat(hard, excluded), "warnings": warn}).drop(*made)
     return out.withColumn("eligible", F.size("hard_failures") == 0).withColumn("allows_recommendation", F.col("eligible") & (F.size("warnings") == 0))
 
 
@@ -88,15 +85,19 @@ def ranking(pairs: DataFrame, as_of: str = "as_of") -> DataFrame:
     col, zero = F.col, F.lit(0).cast("decimal(10,5)")
     ratio = lambda n, d: n.cast("decimal(10,0)") / d.cast("decimal(10,0)")
     none = F.array().cast("array<string>")
-    interests = F.array_distinct(F.flatten(F.transform(F.concat(F.coalesce(col("p.industries"), none), F.coalesce(col("p.capabilities"), none)), tokens)))
-    observed = tokens(F.concat_ws(" ", "title", "body", "category"))
+    made = {
+        "_nf_interests": F.array_distinct(F.flatten(F.transform(F.concat(F.coalesce(col("p.industries"), none), F.coalesce(col("p.capabilities"), none)), tokens))),
+        "_nf_observed": tokens(F.concat_ws(" ", "title", "body", "category")),
+        "_nf_owned": F.filter(F.array_distinct(_norms(F.coalesce(col("p.capabilities"), none))), lambda x: x != ""),
+        "_nf_stated": F.filter(F.array_distinct(_norms(F.coalesce(col("required_capabilities"), none))), lambda x: x != ""),
+        "_nf_shown": norm(F.concat_ws(" ", "title", "body")),
+        "_nf_category": norm(col("category")),
+    }
+    interests, observed, owned, stated, shown = (col(f"_nf_{c}") for c in ("interests", "observed", "owned", "stated", "shown"))
     lexical = F.when(F.size(interests) > 0, ratio(F.size(F.array_intersect(interests, observed)), F.size(interests))).otherwise(zero)
-    owned = F.filter(F.array_distinct(_norms(F.coalesce(col("p.capabilities"), none))), lambda x: x != "")
-    stated = F.filter(F.array_distinct(_norms(F.coalesce(col("required_capabilities"), none))), lambda x: x != "")
-    shown = norm(F.concat_ws(" ", "title", "body"))
     wanted = F.when(F.size(stated) > 0, stated).otherwise(F.filter(owned, lambda x: F.contains(shown, x)))
     capability = F.when(F.size(wanted) > 0, ratio(F.size(F.array_intersect(wanted, owned)), F.size(wanted))).otherwise(zero)
-    category = F.when(F.coalesce(F.exists("p.industries", lambda x: norm(x) == norm(col("category"))), F.lit(False)), 1).otherwise(0).cast("decimal(10,5)")
+    category = F.when(F.array_contains(_norms(F.coalesce(col("p.industries"), none)), col("_nf_category")), 1).otherwise(0).cast("decimal(10,5)")
     amount, low, high = col("estimated_amount").cast(MONEY), col("p.min_contract_amount").cast(MONEY), col("p.max_contract_amount").cast(MONEY)
     why = (
         F.when(amount.isNull() | col("currency").isNull(), "amount_unknown")
@@ -113,7 +114,7 @@ def ranking(pairs: DataFrame, as_of: str = "as_of") -> DataFrame:
     fresh = F.coalesce(F.greatest(zero, F.lit(1) - age / RECENCY_DAYS), zero)
     near = F.coalesce(F.greatest(zero, F.lit(1) - left / DEADLINE_DAYS), zero)
     recency = F.when(col("deadline") < col(as_of), zero).otherwise((fresh + near) / 2)
-    out = held(pairs, {"lexical": bounded(lexical), "capability": bounded(capability), "category_match": bounded(category), "amount_fit": bounded(money), "recency_deadline": bounded(recency), "amount_reason": why})
+    out = held(held(pairs, made), {"lexical": bounded(lexical), "capability": bounded(capability), "category_match": bounded(category), "amount_fit": bounded(money), "recency_deadline": bounded(recency), "amount_reason": why}).drop(*made)
     names = {"lexical": "lexical", "capability": "capability", "category": "category_match", "amount": "amount_fit", "recency_deadline": "recency_deadline"}
     total = sum((F.col(names[k]) * F.lit(Decimal(w)) for k, w in WEIGHTS.items()), F.lit(Decimal("0")))
     state = F.when(col("deadline").isNull(), "unknown").when(col("deadline") >= col(as_of), "open").otherwise("expired")

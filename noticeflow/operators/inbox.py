@@ -65,5 +65,10 @@ def split_pages(text: Column, expected: Column) -> Column:
 
 
 def daily_epoch(as_of: Column, deadline_state: Column) -> Column:
-    """the evaluation epoch of a day (UTC) and the deadline's state."""
-    return F.concat(F.lit("daily:"), F.date_format(as_of, "yyyy-MM-dd"), F.lit(":"), deadline_state)
+    """the evaluation epoch of a day (UTC, whatever the session's zone) and the deadline's state.
+
+    A plain timestamp is an instant; one without a zone is taken as UTC.
+    """
+    instant = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(as_of.cast("timestamp")) / 86400).cast("int"))
+    day = F.when(F.typeof(as_of) == "timestamp_ntz", F.to_date(as_of)).otherwise(instant).cast("string")
+    return F.concat(F.lit("daily:"), day, F.lit(":"), deadline_state)

@@ -53,3 +53,14 @@ def test_due_and_latest_run(spark):
     assert [r["id"] for r in inbox.due(events, F.lit(6)).collect()] == [2, 1, 5]
     runs = spark.createDataFrame([("a", "success", 3, 1), ("a", "success", 3, 2), ("a", "failed", 9, 3), ("b", "failed", 1, 4)], "source string, status string, finished_at long, id long")
     assert list(map(tuple, inbox.latest_success(runs, "source", "status", "finished_at", "id").collect())) == [("a", 3, 2)]
+
+
+def test_daily_epoch_is_the_utc_day_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        df = spark.sql("SELECT timestamp'2026-09-01T20:00:00Z' AS a, timestamp'1969-12-31T23:30:00Z' AS b, timestamp_ntz'2026-09-01 23:59:59' AS c, 'open' AS s")
+        got = df.select(*(inbox.daily_epoch(F.col(x), F.col("s")).alias(x) for x in "abc")).first()
+        assert tuple(got) == ("daily:2026-09-01:open", "daily:1969-12-31:open", "daily:2026-09-01:open")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
