@@ -158,12 +158,13 @@ def forged_words(prefix: str, second: str) -> str:
 
     # first * M + second == first' * M + second': choose first' and solve for second'
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
-    n = np.arange(1_500_000)
+    n = np.arange(2_500_000)
     made = np.stack([letters[n // 26**i % 26] for i in range(6)], axis=1)
     first = K.span_hashes(made.ravel(), n * 6, n * 6 + 6)
     needed = unmix(key(second) + (key(prefix) - first) * mul)
     raw = needed.astype("<u8").view(np.uint8).reshape(-1, 8)
-    fits = (raw[:, 7] == 7) & ((raw[:, :7] > 0x20) & (raw[:, :7] < 0x7F) & ~((raw[:, :7] >= 0x41) & (raw[:, :7] <= 0x5A))).all(1)
+    plain = K.NOT_SPACE & (np.arange(256) > 0) & (np.arange(256) < 0x7F) & (K.LOWER == np.arange(256))
+    fits = (raw[:, 7] == 7) & plain[raw[:, :7]].all(1)
     i = int(np.flatnonzero(fits)[0])
     return made[i].tobytes().decode() + " " + raw[i, :7].tobytes().decode()
 
