@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeflow.functions.text import casefold, norm
+from noticeflow.operators.graph import components
 
 #: Stages in order, and the confidence of each way of linking; the reasons in `links` are fixed, too.
 STAGES = ("pre-specification", "tender", "amendment", "award", "contract")
@@ -96,12 +97,32 @@ def closure(edges: DataFrame, depth: int = 4) -> DataFrame:
     return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
-def timelines(edges: DataFrame, depth: int = 4) -> DataFrame:
-    """Each linked node with its timeline's root (the ancestor of all; ids order ties)."""
-    up = closure(edges, depth)
-    top = up.groupBy("node").agg(F.max_by("ancestor", F.struct("distance", "ancestor")).alias("root"))
-    roots = top.select(F.col("root").alias("node"), "root").distinct()
-    return top.unionByName(roots)
+#: Fixed value: opportunities of a timeline that is still shown.
+MOST_SHOWN = 1000
+
+
+def timelines(links: DataFrame, opportunities: DataFrame, *, most: int = MOST_SHOWN) -> DataFrame:
+    """Node, timeline (the smallest opportunity that active links connect with it, in either direction), size, shown.
+
+    links: link_id, child, parent, status, created_at; opportunities: node. A timeline of more than `most` isn't shown.
+    """
+    edges = links.where("status = 'active'").select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    every = opportunities.select("node").unionByName(links.select(F.explode(F.array("child", "parent")).alias("node")))
+    found = components(edges, every)
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "root").select("node", F.col("root").alias("timeline"), "size", (F.col("size") <= most).alias("shown"))
+
+
+def timeline_links(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """The links of each timeline that is shown, in order: timeline, kind (active, historical), position, link_id.
+
+    placed: of `timelines`. A link that is no longer active belongs to every timeline that one of its ends is in.
+    """
+    at = placed.where("shown").select("node", "timeline")
+    ends = links.withColumn("node", F.explode(F.when(F.col("status") == "active", F.array("child")).otherwise(F.array("child", "parent"))))
+    own = ends.join(at, "node").select("timeline", F.when(F.col("status") == "active", "active").otherwise("historical").alias("kind"), "link_id", "created_at").distinct()
+    w = W.partitionBy("timeline", "kind").orderBy("created_at", "link_id")
+    return own.select("timeline", "kind", F.row_number().over(w).cast("long").alias("position"), "link_id")
 
 
 def compare_titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

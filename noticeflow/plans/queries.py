@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeflow.functions import text as T
 from noticeflow.operators import decisions, delta, documents, extraction, inbox, linking, metrics, replay, state, versions, views
 from noticeflow.plans import adapters as A
+from noticeflow.plans import flows  # noqa: F401  (registers its queries)
 from noticeflow.plans.adapters import table
+from noticeflow.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from noticeflow.sources import synthetic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _iso(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
