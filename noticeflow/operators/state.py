@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 #: Attempts before a job is dead-lettered, and the preferences of users without a row.
 MOST_ATTEMPTS = 3
 DEFAULT_CHANNELS = ("local",)
-TRIGGERS = ("material_change", "deadline_changed", "eligibility_changed", "new_high_relevance", "outcome_published")
+TRIGGERS = ("watched_material_change", "deadline_changed", "eligibility_changed", "new_high_relevance", "outcome_published")
 
 
 #: Fixed value: the largest balance and amount.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from noticeflow.operators import delivery, linking
+from noticeflow.functions import nested
+from noticeflow.functions.storage import new_table
+from noticeflow.operators import delivery, linking, reuse, triggers
 from noticeflow.plans.adapters import table
 from noticeflow.plans.registry import query
 
@@ -95,3 +97,131 @@ def d17_timeline_links(spark, sf):
     """The active links of every timeline that is shown, and the retracted ones that touch it."""
     links = _link_table(spark, sf)
     return linking.timeline_links(links, _placed(links))
+
+
+# --- triggers --------------------------------------------------------------------------------------------------------
+
+NOW = "1998-01-01"
+TRIGGERED = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderdate AS d, o_totalprice AS p FROM orders), stages AS (SELECT *, CASE k % 6 WHEN 3 THEN 'award' WHEN 4 THEN 'contract' WHEN 5 THEN 'amendment' ELSE 'tender' END AS stage,
+  CASE WHEN k % 4 = 0 THEN 'initial' WHEN k % 11 = 0 THEN 'historical' ELSE 'current' END AS kind, d + INTERVAL 30 DAY AS transition_at, d + INTERVAL 1 DAY * (k % 90) AS effective_at, d + INTERVAL 1 DAY * (k % 60) AS watched_at FROM o),
+watches AS (SELECT u, k, watched_at FROM stages WHERE k % 5 <> 4), inform AS (SELECT * FROM stages WHERE transition_at <= TIMESTAMP '{NOW}' AND effective_at <= TIMESTAMP '{NOW}'),
+told AS (SELECT *, list_filter([CASE WHEN k % 3 < 2 OR k % 5 = 0 THEN 'watched_material_change' END, CASE WHEN k % 3 = 0 AND k % 7 >= 3 THEN 'deadline_changed' END, CASE WHEN k % 3 = 1 THEN 'eligibility_changed' END], lambda x: x IS NOT NULL) AS triggers,
+  '{{"documents":' || CASE WHEN k % 5 = 0 THEN '{{"added":[{{"name":"n' || k || '"}}],"removed":[]}}' ELSE '{{"added":[],"removed":[]}}' END || ',"fields":' || CASE k % 3 WHEN 0 THEN '{{"closes_at":{{"after":"b","before":"a' || k || '"}}}}' WHEN 1 THEN '{{"budget":{{"after":' || k || ',"before":1}}}}' ELSE '{{}}' END
+  || ',"from_version_id":"' || k || '1","impact":"' || CASE WHEN k % 7 < 3 THEN 'low' WHEN k % 7 < 5 THEN 'medium' ELSE 'high' END || '","reasons":' || CASE k % 3 WHEN 0 THEN '["deadline_later"]' WHEN 1 THEN '["budget_increased","x"]' ELSE '[]' END || ',"to_version_id":"' || k || '2"}}' AS identity FROM inform WHERE kind = 'current' AND k % 10 < 8 AND k % 13 <> 0 AND k % 9 <> 0),
+up AS (SELECT c.k AS child, p.k AS parent FROM stages c JOIN stages p ON p.k = c.k - 1 WHERE c.k % 6 IN (3, 4) AND c.k % 8 <> 0 AND c.k % 7 <> 0),
+reach AS (SELECT k AS outcome, k AS at_ FROM stages UNION ALL SELECT child, parent FROM up UNION ALL SELECT a.child, b.parent FROM up a JOIN up b ON b.child = a.parent),
+t AS (SELECT u AS user_id, k AS opportunity_id, 'new_high_relevance' AS trigger, '{{"canonical_key":"order-' || k || '"}}' AS identity FROM stages WHERE effective_at <= TIMESTAMP '{NOW}' AND stage NOT IN ('award', 'contract') AND p > 150000
+UNION ALL SELECT w.u, w.k, unnest(triggers), identity FROM told JOIN watches w ON w.k = told.k AND w.watched_at <= transition_at
+UNION ALL SELECT w.u, w.k, 'outcome_published', '{{"outcome_id":"' || s.k || '","stage":"' || stage || '"}}' FROM inform s JOIN reach ON outcome = s.k JOIN watches w ON w.k = at_ AND w.watched_at <= s.transition_at WHERE stage IN ('award', 'contract') AND kind <> 'historical')"""
+
+
+def _triggers(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    day = lambda n: F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(n.cast("int") if not isinstance(n, int) else F.lit(n))
+    items = o.select(k.alias("opportunity_id"), text("order-", k).alias("canonical_key"), F.when(k % 6 == 3, "award").when(k % 6 == 4, "contract").when(k % 6 == 5, "amendment").otherwise("tender").alias("stage"))
+    versions = o.select(k.alias("opportunity_id"), (k * 10 + 2).alias("version_id"), F.when(k % 4 == 0, "initial").when(k % 11 == 0, "historical").otherwise("current").alias("transition_kind"), day(30).alias("transition_at"), day(k % 90).alias("effective_at"))
+    r = F.col("r")
+    fields = F.when(k % 3 == 0, text('{"closes_at": {"before": "a', k, '", "after": "b", "after_evidence": [{"quote": "q', r, '"}]}}')).when(k % 3 == 1, text('{"budget": {"before_evidence": {"page": ', r, '}, "after": ', k, ', "before": 1}}')).otherwise("{}")
+    documents = F.when(k % 5 == 0, text('{"removed": [], "added": [{"name": "n', k, '", "evidence": ', r, "}]}")).otherwise('{"removed": [], "added": []}')
+    # two revisions of each delta: the second repairs evidence alone
+    deltas = o.where(k % 10 < 8).withColumn("r", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        k.alias("opportunity_id"), (k * 10 + r).alias("delta_id"), (k * 10 + 1).alias("from_version_id"), (k * 10 + F.when(k % 13 == 0, 1).otherwise(2)).alias("to_version_id"), F.when(k % 9 == 0, "historical").otherwise("current_transition").alias("comparison_kind"),
+        day(30 + r).alias("created_at"), fields.alias("field_changes"), documents.alias("document_changes"), F.when(k % 7 < 3, "low").when(k % 7 < 5, "medium").otherwise("high").alias("impact_level"),
+        F.when(k % 3 == 0, F.array(F.lit("deadline_later"))).when(k % 3 == 1, F.array(F.lit("budget_increased"), F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("reason_codes"),
+    )
+    watches = o.where(k % 5 != 4).select(F.col("o_custkey").alias("user_id"), k.alias("opportunity_id"), day(k % 60).alias("created_at"))
+    rankings = o.select(F.col("o_custkey").alias("user_id"), k.alias("opportunity_id"), (F.col("o_totalprice") > 150000).alias("recommended"))
+    links = o.where((k % 6).isin(3, 4)).select(k.alias("child"), (k - 1).alias("parent"), (k * 10 + 2).alias("child_version_id"), ((k - 1) * 10 + F.when(k % 8 == 0, 1).otherwise(2)).alias("parent_version_id"), F.when(k % 7 == 0, "retracted").otherwise("active").alias("status"))
+    return triggers.derive(items, versions, deltas, rankings, links, watches, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(TRIGGERED + " SELECT * FROM t")
+def d23_triggers(spark, sf):
+    """What versions, deltas, rankings and outcomes tell to whom."""
+    return _triggers(spark, sf).drop("seq")
+
+
+@query(TRIGGERED + """, p AS (SELECT c_custkey AS user_id, c_custkey % 7 <> 0 AS enabled, CASE WHEN c_custkey % 3 = 0 THEN ['local', 'webhook'] WHEN c_custkey % 3 = 1 THEN ['email'] ELSE CAST([] AS VARCHAR[]) END AS channels, CASE WHEN c_custkey % 5 = 0 THEN ['watched_material_change'] ELSE ['deadline_changed', 'outcome_published', 'new_high_relevance'] END AS wanted FROM customer WHERE c_custkey % 2 = 0)
+SELECT DISTINCT user_id, opportunity_id, unnest(coalesce(channels, ['local'])) AS channel, trigger, identity FROM t LEFT JOIN p USING (user_id) WHERE coalesce(enabled, true) AND coalesce(list_contains(wanted, trigger), true)""")
+def d25_derived_outbox(spark, sf):
+    """D23 into D25: derived triggers by the channels that preferences allow, each identity once."""
+    k, lits = F.col("c_custkey"), lambda *x: F.array(*map(F.lit, x))
+    prefs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(k.alias("user_id"), (k % 7 != 0).alias("enabled"), F.when(k % 3 == 0, lits("local", "webhook")).when(k % 3 == 1, lits("email")).otherwise(F.array().cast("array<string>")).alias("channels"), F.when(k % 5 == 0, lits("watched_material_change")).otherwise(lits("deadline_changed", "outcome_published", "new_high_relevance")).alias("triggers"))
+    return triggers.outbox_events(_triggers(spark, sf), prefs).drop("dedupe_key")
+
+
+# --- nested values ---------------------------------------------------------------------------------------------------
+
+_URL = "'http://h/' || user_id"
+
+
+@query(f"""WITH v AS (SELECT event_id, user_id, {_URL} AS url, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, 'd' || user_id AS d, event_type AS t FROM events),
+w AS (SELECT *, '{{"attachments":["' || url || '"],' AS a, '"evidence":[{{"b":[1,2.5,null,true],"quote":"q","token":' AS b, '"props":{{"k":' || k || '}},"source_url":"' || url || '","title":"T' AS c, '/api/v1/documents/' || d || '/original' AS h FROM v)
+SELECT event_id, sha256(a || b || event_id || '}}],' || c || chr(233) || ' ' || t || '","z":' || event_id || '}}') AS digest, sha256('kind' || chr(0) || 'source' || chr(0) || a || b || event_id || '}}],' || c || '\\u00e9 ' || t || '","z":' || event_id || '}}') AS job_key,
+  CASE WHEN user_id % 2 = 0 THEN '{{"attachment_id":"' || d || '","attachments":[{{"attachment_id":"' || d || '","original_url":"' || h || '","sha256":"s"}}],"evidence":[{{"quote":"q"}}],"original_url":"' || h || '","sha256":"s","title":"T' || chr(233) || ' ' || t || '"}}'
+    ELSE '{{"attachments":[{{}}],"evidence":[{{"quote":"q"}}],"title":"T' || chr(233) || ' ' || t || '"}}' END AS shown,
+  a || b || '"[REDACTED]"}}],' || c || chr(233) || ' ' || t || '","z":' || event_id || '}}' AS redacted, a || c || chr(233) || ' ' || t || '","z":' || event_id || '}}' AS semantic FROM w""")
+def f6_nested_values(spark, sf):
+    """Digests, public form, redaction and meaning of JSON values of any depth."""
+    e = table(spark, sf, "events")
+    url = F.concat(F.lit("http://h/"), F.col("user_id").cast("string"))
+    value = F.concat(F.lit('{"z": '), F.col("event_id").cast("string"), F.lit(', "title": "T\\u00e9 '), F.col("event_type"), F.lit('", "source_url": "'), url, F.lit('", "props": '), F.col("props"), F.lit(', "attachments": ["'), url, F.lit('"], "evidence": [{"token": '), F.col("event_id").cast("string"), F.lit(', "quote": "q", "b": [1, 2.5, null, true]}]}'))
+    documents = F.when(F.col("user_id") % 2 == 0, F.to_json(F.array(F.struct(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("id"), F.lit("s").alias("sha256"), url.alias("source_url"), F.lit(True).alias("stored")))))
+    v = e.select("event_id", value.alias("v"), documents.alias("d"))
+    c = F.col("v")
+    return v.select("event_id", nested.digest(c).alias("digest"), nested.job_key(F.lit("kind"), F.lit("source"), c).alias("job_key"), nested.public(c, F.col("d")).alias("shown"), nested.redacted(c).alias("redacted"), nested.without(c, "evidence").alias("semantic"))
+
+
+# --- kept decisions --------------------------------------------------------------------------------------------------
+
+
+def _decided_twice(spark, sf):
+    """A store after two runs, and what the second asked: some orders are new to it, some have changed."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    inputs = lambda amount: o.select(k.alias("id"), amount.cast("decimal(18,2)").alias("amount")).withColumn("fingerprint", reuse.fingerprint(F.col("amount"), F.lit("rules-1")))
+    compute = lambda rows: rows.select("id", "fingerprint", (F.col("amount") < 100000).alias("eligible"))
+    store = reuse.Store(spark, new_table(spark, "decisions"), ["id"])
+    store.materialize(inputs(F.col("o_totalprice")).where("id % 3 <> 0"), compute)
+    now = inputs(F.col("o_totalprice") + F.when(k % 5 == 0, 1).otherwise(0))
+    return store, now, store.materialize(now, compute)
+
+
+@query("SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END < 100000 AS eligible, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS reused FROM orders")
+def d12_reuse(spark, sf):
+    """A second run decides what is new or changed, and takes the rest from the store."""
+    return _decided_twice(spark, sf)[2].select("id", "eligible", "reused")
+
+
+@query("SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) < 100000 AS eligible FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0")
+def d14_stale(spark, sf):
+    """Stored decisions whose inputs have changed since."""
+    store, now, _ = _decided_twice(spark, sf)
+    return store.stale(now).select("id", "eligible")
+
+
+@query("""WITH v AS (SELECT o_orderkey AS k, o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) AS as_of, CASE o_orderkey % 3 WHEN 0 THEN 'open' ELSE 'expired' END AS state, o_orderkey % 4 AS m FROM orders)
+SELECT k AS id, CASE m WHEN 0 THEN 'exact:' || strftime(as_of, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 1 THEN 'daily:' || strftime(as_of, '%Y-%m-%d') || ':' || state WHEN 2 THEN 'mine' END AS epoch, CASE WHEN m = 3 THEN 'epoch_mismatch' END AS error,
+CASE WHEN k % 17 = 0 THEN 'stale_eligibility' WHEN k % 5 = 0 THEN 'other_version' WHEN k % 7 = 0 THEN 'stale_provenance' WHEN k % 11 = 0 THEN 'not_available' END AS refused FROM v""")
+def d14_epochs(spark, sf):
+    """Exact and daily epochs, and why a version isn't ranked."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_seconds(_seconds("o_orderdate") + k % 86400)
+    o = table(spark, sf, "orders").select(k.alias("id"), at.alias("as_of"), F.when(k % 3 == 0, "open").otherwise("expired").alias("state"))
+    k = F.col("id")
+    asked = F.when(k % 4 == 1, F.concat(F.lit("daily:"), F.date_format("as_of", "yyyy-MM-dd"))).when(k % 4 == 2, "mine").when(k % 4 == 3, "daily:1900-01-01")
+    refused = reuse.ranking_error(k, F.when(k % 5 != 0, k), F.lit("n"), F.when(k % 7 != 0, "n"), F.when(k % 11 == 0, F.col("as_of") + F.expr("interval 1 second")).otherwise(F.col("as_of")), F.col("as_of"), k % 17 == 0)
+    return o.select("id", reuse.ranking_epoch(F.col("as_of"), asked, F.col("state")).alias("e"), refused.alias("refused")).select("id", "e.epoch", "e.error", "refused")
+
+
+@query("""WITH v AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), w AS (SELECT *, CASE WHEN n = 1 THEN 'initial' WHEN k % 4 = 1 THEN 'historical' WHEN k % 4 = 2 THEN 'old' ELSE 'current' END AS kind FROM v),
+b AS (SELECT *, CASE WHEN kind = 'current' THEN CASE WHEN k % 6 <> 0 THEN last_value(CASE WHEN kind IN ('initial', 'current') THEN k END IGNORE NULLS) OVER (PARTITION BY c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END ELSE lag(k) OVER (PARTITION BY c ORDER BY n) END AS before FROM w)
+SELECT k AS version_id, before AS from_version_id, CASE kind WHEN 'current' THEN 'current_transition' WHEN 'historical' THEN 'historical' ELSE 'legacy_unknown' END AS comparison_kind, CASE WHEN before IS NULL THEN 'no_predecessor' WHEN k % 5 = 0 THEN 'pending' WHEN k % 7 = 0 THEN 'existing' ELSE 'created' END AS status FROM b WHERE kind <> 'initial'""")
+def d8_delta_status(spark, sf):
+    """Which version each one is compared with, and what becomes of the delta."""
+    w, k = W.partitionBy("opportunity_id").orderBy("version_id"), F.col("version_id")
+    v = table(spark, sf, "orders").select(F.col("o_custkey").alias("opportunity_id"), F.col("o_orderkey").alias("version_id")).withColumn("version_number", F.row_number().over(w))
+    v = v.withColumn("transition_kind", F.when(F.col("version_number") == 1, "initial").when(k % 4 == 1, "historical").when(k % 4 == 2, "old").otherwise("current"))
+    last = F.last(F.when(F.col("transition_kind").isin("initial", "current"), k), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    pairs = reuse.comparison_pairs(v.withColumn("previous_current_version_id", F.when(k % 6 != 0, last)))
+    return pairs.select("version_id", "from_version_id", "comparison_kind", reuse.delta_status(F.col("transition_kind"), F.col("from_version_id"), k % 5 != 0, k % 7 == 0).alias("status"))

@@ -323,16 +323,16 @@ def d27_failure_state(spark, sf):
     return state.failure_state(log).select("job", "seq", "failed", F.col("attempts").alias("attempts"), "dead_lettered", "retry_after_s")
 
 
-OUTBOX = """WITH t AS (SELECT user_id, event_id % 40 AS opportunity_id, CASE event_type WHEN 'error' THEN 'deadline_changed' WHEN 'purchase' THEN 'material_change' ELSE 'new_high_relevance' END AS trigger, props AS identity, event_id AS seq FROM events),
-p AS (SELECT c_custkey AS user_id, c_custkey % 7 <> 0 AS enabled, CASE WHEN c_custkey % 3 = 0 THEN ['local', 'webhook'] WHEN c_custkey % 3 = 1 THEN ['email'] ELSE CAST([] AS VARCHAR[]) END AS channels, CASE WHEN c_custkey % 5 = 0 THEN ['material_change'] ELSE ['deadline_changed', 'material_change', 'new_high_relevance'] END AS wanted FROM customer WHERE c_custkey % 2 = 0),
+OUTBOX = """WITH t AS (SELECT user_id, event_id % 40 AS opportunity_id, CASE event_type WHEN 'error' THEN 'deadline_changed' WHEN 'purchase' THEN 'watched_material_change' ELSE 'new_high_relevance' END AS trigger, props AS identity, event_id AS seq FROM events),
+p AS (SELECT c_custkey AS user_id, c_custkey % 7 <> 0 AS enabled, CASE WHEN c_custkey % 3 = 0 THEN ['local', 'webhook'] WHEN c_custkey % 3 = 1 THEN ['email'] ELSE CAST([] AS VARCHAR[]) END AS channels, CASE WHEN c_custkey % 5 = 0 THEN ['watched_material_change'] ELSE ['deadline_changed', 'watched_material_change', 'new_high_relevance'] END AS wanted FROM customer WHERE c_custkey % 2 = 0),
 s AS (SELECT t.*, unnest(coalesce(channels, ['local'])) AS channel FROM t LEFT JOIN p USING (user_id) WHERE coalesce(enabled, true) AND coalesce(list_contains(wanted, trigger), true))
 , sent AS (SELECT user_id, opportunity_id, channel, trigger, identity, seq FROM s QUALIFY row_number() OVER (PARTITION BY user_id, opportunity_id, channel, trigger, identity ORDER BY seq) = 1)"""
 
 
 def _outbox(spark, sf):
-    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 40).alias("opportunity_id"), F.when(F.col("event_type") == "error", "deadline_changed").when(F.col("event_type") == "purchase", "material_change").otherwise("new_high_relevance").alias("trigger"), F.col("props").alias("identity"), F.col("event_id").alias("seq"))
+    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 40).alias("opportunity_id"), F.when(F.col("event_type") == "error", "deadline_changed").when(F.col("event_type") == "purchase", "watched_material_change").otherwise("new_high_relevance").alias("trigger"), F.col("props").alias("identity"), F.col("event_id").alias("seq"))
     k, lits = F.col("c_custkey"), lambda *x: F.array(*map(F.lit, x))
-    prefs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(k.alias("user_id"), (k % 7 != 0).alias("enabled"), F.when(k % 3 == 0, lits("local", "webhook")).when(k % 3 == 1, lits("email")).otherwise(F.array().cast("array<string>")).alias("channels"), F.when(k % 5 == 0, lits("material_change")).otherwise(lits("deadline_changed", "material_change", "new_high_relevance")).alias("triggers"))
+    prefs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(k.alias("user_id"), (k % 7 != 0).alias("enabled"), F.when(k % 3 == 0, lits("local", "webhook")).when(k % 3 == 1, lits("email")).otherwise(F.array().cast("array<string>")).alias("channels"), F.when(k % 5 == 0, lits("watched_material_change")).otherwise(lits("deadline_changed", "watched_material_change", "new_high_relevance")).alias("triggers"))
     return state.outbox(e, prefs)
 
 
