@@ -50,6 +50,15 @@ def zoned_instant(c: Column) -> Column:
     return F.when(c.rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(c))
 
 
+def utc_text(instant: Column) -> Column:
+    """An instant as yyyy-MM-ddTHH:mm:ss in UTC, whatever the session's zone."""
+    seconds = F.unix_seconds(instant)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+    left = F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), two(left / 3600), F.lit(":"), two(left % 3600 / 60), F.lit(":"), two(left % 60))
+
+
 def has_keyword(text: Column, keyword: str) -> Column:
     """whether normalised text holds the keyword between word borders."""
     needle = re.sub(r"\s+", " ", keyword.casefold()).strip()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noticeflow.functions.text import utc_text
 from noticeflow.operators.inbox import daily_epoch
 
 
@@ -106,14 +107,9 @@ def comparison_pairs(versions: DataFrame) -> DataFrame:
 
 def exact_epoch(as_of: Column) -> Column:
     """the epoch of one instant (UTC, ISO 8601 as Python writes it: microseconds only where there are any)."""
-    micros = F.unix_micros(as_of.cast("timestamp"))
-    seconds = F.floor(micros / 1_000_000)
-    left = F.pmod(micros, F.lit(1_000_000))
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
-    second = F.pmod(seconds, F.lit(86400))
-    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
-    clock = F.concat(two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60))
-    return F.concat(F.lit("exact:"), day, F.lit("T"), clock, F.when(left > 0, F.concat(F.lit("."), F.lpad(left.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+    at = as_of.cast("timestamp")
+    left = F.pmod(F.unix_micros(at), F.lit(1_000_000))
+    return F.concat(F.lit("exact:"), utc_text(at), F.when(left > 0, F.concat(F.lit("."), F.lpad(left.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
 def ranking_epoch(as_of: Column, asked: Column, deadline_state: Column) -> Column:

@@ -523,9 +523,18 @@ def _notices(spark, sf):
     return o.select(k.alias("doc_id"), F.posexplode(F.array(one, two)).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_number"), "text")
 
 
-@query()
+_NOTICED = f"""WITH {A.OPPORTUNITIES}, n AS (SELECT id AS k, title, trim(buyer) AS buyer, CAST(estimated_amount AS VARCHAR) AS amount, regions FROM opportunities)"""
+
+
+# the twin says what each notice states, from how it was written: it reads no text
+@query(_NOTICED + """ SELECT k AS doc_id, 'title' AS field, title AS value, CASE WHEN k % 2 = 0 THEN 'Title: ' WHEN k % 5 = 0 THEN '1. 사 업 명 :' || chr(10) ELSE '· 공고명： ' END || title AS quote, 1 AS page_number, CASE WHEN k % 13 = 0 THEN 2 ELSE 1 END AS quotes FROM n
+UNION ALL SELECT k, 'buyer_name', buyer, 'Buyer: ' || buyer, 1, 1 FROM n UNION ALL SELECT k, 'procurement_type', 'services', CASE WHEN k % 3 = 0 THEN '용역 입찰 공고' ELSE 'Category: IT services' END, 1, 1 FROM n
+UNION ALL SELECT k, unnest(['currency', 'estimated_amount']), unnest(['KRW', CASE WHEN contains(amount, '.') THEN rtrim(rtrim(amount, '0'), '.') ELSE amount END]), 'Budget: KRW ' || amount, 2, 1 FROM n WHERE amount IS NOT NULL
+UNION ALL SELECT k, 'regions', '["' || array_to_string(regions, '","') || '"]', 'Region: ' || array_to_string(regions, '; '), 2, 1 FROM n WHERE len(regions) > 0
+UNION ALL SELECT k, 'required_certifications', '["ISO 9001","ISO 27001"]', 'Certifications: ISO 9001; ISO 27001', 2, 1 FROM n WHERE k % 7 <> 0
+UNION ALL SELECT k, 'closes_at', CASE WHEN k % 11 = 0 THEN '!2026-02-30T09:00:00Z' ELSE '2026-09-30T09:00:00Z' END, CASE WHEN k % 11 = 0 THEN 'Deadline: 2026-02-30T09:00:00Z' ELSE '마감일: 2026-09-30 18:00 KST' END, 2, 1 FROM n WHERE k % 11 = 0 OR k % 4 = 0""")
 def d18_labelled_claims(spark, sf):
-    """Typed claims of two-page notices (tests hold them against a plain reading, line by line)."""
+    """Typed claims of two-page notices."""
     return extraction.extract_claims(_notices(spark, sf))
 
 
@@ -605,7 +614,8 @@ def d24_outcome_watchers(spark, sf):
     return state.outcome_watchers(p, up, w)
 
 
-@query()
+@query(_NOTICED + """ SELECT k AS doc_id, array_to_string(x, ',') AS issues, len(x) = 0 AS valid FROM (SELECT k, list_filter([CASE WHEN k % 19 = 0 THEN 'buyer_name:contradictory_claims' END, CASE WHEN k % 19 = 0 THEN 'buyer_name:unsupported_value' END, CASE WHEN k % 11 = 0 THEN 'closes_at:invalid_source_claim' END,
+CASE WHEN k % 13 = 0 THEN 'title:contradictory_claims' END, CASE WHEN k % 17 = 0 THEN 'title:evidence_not_on_page' END, CASE WHEN k % 17 = 0 THEN 'title:unsupported_value' END], lambda i: i IS NOT NULL) AS x FROM n)""")
 def d19_claim_validation(spark, sf):
     """The extracted claims of each notice, some with another quote or value, against its pages."""
     pages, k = _notices(spark, sf), F.col("doc_id")
