@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noticeflow.functions.storage import cut
+
 
 def rate(n: Column, d: Column) -> Column:
     """Null on zero support."""
@@ -45,15 +49,38 @@ def ranking_metrics(ranked: DataFrame, relevance: DataFrame, k: int, by: list[st
     gain = lambda g, pos: (F.pow(F.lit(2.0), g) - 1) / F.log2(pos + F.lit(1.0))
     top = ranked.where(F.col("position") <= k).join(relevance.where("grade > 0"), [*by, "id"], "left")
     got = top.groupBy(*by).agg(F.count(F.lit(1)).alias("returned"), F.count("grade").alias("hits"), F.sum(gain(F.coalesce("grade", F.lit(0)), F.col("position"))).alias("_dcg"))
+    # each task keeps its k best of a group before they meet
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("grade"), "id"))
-    best = relevance.withColumn("_r", place).groupBy(*by).agg(F.count_if(F.col("grade") > 0).alias("relevant_support"), F.sum(F.when(F.col("_r") <= k, gain(F.col("grade"), F.col("_r")))).alias("_ideal"))
-    both = best.join(got, by, "left").fillna(0, ["returned", "hits"])
+    ideal = relevance.withColumn("_r", place).where(F.col("_r") <= k).groupBy(*by).agg(F.sum(gain(F.col("grade"), F.col("_r"))).alias("_ideal"))
+    support = relevance.groupBy(*by).agg(F.count_if(F.col("grade") > 0).alias("relevant_support"))
+    both = support.join(ideal, by, "left").join(got, by, "left").fillna(0, ["returned", "hits"])
     return both.select(*by, "returned", "hits", "relevant_support", rate(F.col("hits"), F.col("relevant_support")).alias("recall_at_k"), F.try_divide(F.coalesce("_dcg", F.lit(0.0)), F.col("_ideal")).alias("ndcg_at_k"))
 
 
 def percentiles(df: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
-    """Exact percentiles with linear interpolation; null on no values."""
-    return df.groupBy(*by).agg(*(F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in percents))
+    """Exact percentiles with linear interpolation; null on no values.
+
+    Values are counted, then put in order by range: a part's place follows from the counts of the parts before it, so that no
+    task holds a group's values, whatever its size.
+    """
+    same = lambda a, b, on: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on), F.lit(True))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = cut(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.withColumns({"_start": before, "_all": F.sum("_n").over(W.partitionBy(*by))}).drop("_n")
+    upto = F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    placed = parts.withColumn("_upto", upto).alias("p").join(starts.alias("s"), same("p", "s", [*by, "_part"])).select(*(F.col(f"p.{c}") for c in [*by, "_v", "_n", "_upto"]), "_start", "_all")
+    last = F.col("_start") + F.col("_upto") - 1  # the last place of this value, from 0
+    first = last - F.col("_n") + 1
+    out = []
+    for p in percents:
+        place = (F.col("_all") - 1) * p / F.lit(100.0)
+        at = lambda where: F.max(F.when((first <= where) & (where <= last), F.col("_v")))
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + (high - low) * share).cast("double").alias(f"p{p}"))
+    found = placed.groupBy(*by).agg(*out)
+    return df.select(*by).distinct().alias("g").join(found.alias("f"), same("g", "f", by), "left").select(*(F.col(f"g.{c}") for c in by), *(f"f.p{p}" for p in percents)) if by else found
 
 
 def all_or_null(measured: Column, value: Column) -> Column:

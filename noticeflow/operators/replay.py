@@ -26,8 +26,8 @@ def enriched(versions: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def profile_at(profiles: DataFrame, instants: DataFrame) -> DataFrame:
-    """For each instant the profile with the latest (available_at, id) by then, as struct p."""
-    ready = instants.join(F.broadcast(profiles), F.col("available_at") <= F.col("as_of"))
+    """For each instant the profile with the latest (available_at, id) by then, as struct p. The stated instants are broadcast, not the profiles' versions."""
+    ready = profiles.join(F.broadcast(instants), F.col("available_at") <= F.col("as_of"))
     return ready.groupBy("as_of").agg(F.max_by(F.struct(*[c for c in profiles.columns if c not in ("as_of",)]), F.struct("available_at", "profile_id")).alias("p"))
 
 

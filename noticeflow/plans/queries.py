@@ -445,7 +445,7 @@ def a9_set_metrics(spark, sf):
 
 
 @query("""WITH p AS (SELECT o_orderkey AS case_id, unnest(['a', 'b', 'c']) AS field, unnest([o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'x' END, 'z']) AS value FROM orders WHERE o_orderkey % 5 <> 0),
-e AS (SELECT o_orderkey AS case_id, unnest(['a', 'b', 'd']) AS field, unnest([o_orderstatus, o_orderpriority, 'w']) AS value FROM orders WHERE o_orderkey % 7 <> 0),
+e AS (SELECT o_orderkey AS case_id, unnest(['a', 'b', 'd']) AS field, unnest([o_orderstatus, o_orderpriority, 'w']) AS value FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0),
 b AS (SELECT coalesce(p.case_id, e.case_id) AS case_id, coalesce(p.field, e.field) AS field, p.case_id IS NOT NULL AS p, e.case_id IS NOT NULL AS e, coalesce(p.value = e.value, false) AS ok FROM p FULL JOIN e ON p.case_id = e.case_id AND p.field = e.field)
 SELECT case_id, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE e) AS expected_fields, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE NOT p), '') AS missing, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE NOT e), '') AS unexpected, bool_and(ok) AS exact_match, round(count(*) FILTER (WHERE ok) / nullif(count(*) FILTER (WHERE e), 0)::DOUBLE, 9) AS accuracy FROM b GROUP BY case_id""")
 def a10_field_metrics(spark, sf):
@@ -453,7 +453,7 @@ def a10_field_metrics(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "case_id")
     rows = lambda df, *kv: df.select("case_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in kv))))
     p = rows(o.where("case_id % 5 <> 0"), ("a", F.col("o_orderstatus")), ("b", F.when(F.col("case_id") % 2 == 0, F.col("o_orderpriority")).otherwise("x")), ("c", F.lit("z")))
-    e = rows(o.where("case_id % 7 <> 0"), ("a", F.col("o_orderstatus")), ("b", F.col("o_orderpriority")), ("d", F.lit("w")))
+    e = rows(o.where("case_id % 7 <> 0 or case_id % 5 = 0"), ("a", F.col("o_orderstatus")), ("b", F.col("o_orderpriority")), ("d", F.lit("w")))
     return metrics.field_metrics(p, e).withColumns({"missing": F.array_join("missing", ","), "unexpected": F.array_join("unexpected", ","), "accuracy": F.round("accuracy", 9)})
 
 
@@ -538,10 +538,10 @@ def d18_labelled_claims(spark, sf):
     return extraction.extract_claims(_notices(spark, sf))
 
 
-@query("SELECT i, 'synthetic-' || i AS record_id, 'Synthetic Agency ' || (i % 71) AS buyer_name, 50000000 + (i * 7919) % 300000000 AS estimated_amount, strftime(TIMESTAMP '2026-09-01' + to_minutes(i % 14400), '%Y-%m-%d %H:%M:%S') AS published_at, CASE WHEN i % 3 <> 0 THEN 'Seoul' ELSE 'Busan' END AS region FROM range(50000) t(i)")
+@query("SELECT i, 'synthetic-' || i AS record_id, 'Synthetic Agency ' || (i % 71) AS buyer_name, 50000000 + (i * 7919) % 300000000 AS estimated_amount, strftime(TIMESTAMP '2026-09-01' + to_minutes(i % 14400), '%Y-%m-%d %H:%M:%S') AS published_at, CASE WHEN i % 3 <> 0 THEN 'Seoul' ELSE 'Busan' END AS region FROM (SELECT o_orderkey AS i FROM orders)")
 def s14_synthetic_feed(spark, sf):
-    """The generated feed, 50,000 records."""
-    return synthetic.synthetic_records(spark, 50_000).select("i", "record_id", "buyer_name", "estimated_amount", _iso("published_at").alias("published_at"), F.array_join("regions", ",").alias("region"))
+    """A generated record for every order's number."""
+    return synthetic.records_of(table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))).select("i", "record_id", "buyer_name", "estimated_amount", _iso("published_at").alias("published_at"), F.array_join("regions", ",").alias("region"))
 
 
 # --- delivery, documents and presentation ----------------------------------------------------------------------------------

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def synthetic_records(spark: SparkSession, n: int) -> DataFrame:
-    """Record i by arithmetic only, generated on the executors."""
+    """Records 0 to n - 1."""
+    return records_of(spark.range(n).withColumnRenamed("id", "i"))
+
+
+def records_of(numbers: DataFrame) -> DataFrame:
+    """Record i by arithmetic only, generated on the executors where the numbers (i) are."""
     i = F.col("i")
-    return spark.range(n).withColumnRenamed("id", "i").select(
+    return numbers.select(
         i,
         F.concat(F.lit("synthetic-"), i.cast("string")).alias("record_id"),
         F.concat(F.lit("Synthetic Agency "), (i % 71).cast("string")).alias("buyer_name"),
