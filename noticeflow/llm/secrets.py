@@ -288,6 +288,17 @@ def train(*, texts: int = 1200, epochs: int = 35, rate: float = 0.3, decay: floa
     return field
 
 
+def _apart(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The found ranges that no span overlaps: each looks up the furthest end of the spans that start before its own end."""
+    if not found or not spans:
+        return found
+    ordered = np.array(sorted(s[:2] for s in spans), np.int64)
+    reach = np.concatenate([[-1], np.maximum.accumulate(ordered[:, 1])])
+    ranges = np.array(found, np.int64)
+    free = reach[np.searchsorted(ordered[:, 0], ranges[:, 1], "left")] <= ranges[:, 0]
+    return [f for f, ok in zip(found, free.tolist(), strict=True) if ok]
+
+
 def scan(docs: DataFrame, *, field: Field | None = None, **options) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_crf, n_field and the found spans (kind, from, to; code points) per row.
 
@@ -318,7 +329,7 @@ def scan(docs: DataFrame, *, field: Field | None = None, **options) -> DataFrame
                 for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     body = raw[a:b]
                     spans = base_spans(body, runs.get(r, []))
-                    new = [(x, y, 3) for x, y in more.get(r, ()) if not any(x < q and p < y for p, q, _ in spans)]
+                    new = [(x, y, 3) for x, y in _apart(more.get(r, []), spans)]
                     spans = sorted(spans + new, key=lambda s: (s[0], s[2]))
                     if spans and not body.isascii():
                         point = np.zeros(len(body) + 1, np.int64)
