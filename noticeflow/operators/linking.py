@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -76,6 +76,55 @@ def links(nodes: DataFrame, *, fuzzy: bool = True) -> DataFrame:
     return out.select("child", "x.parent", F.when(linked, F.col("x.method")).alias("method"), F.when(linked, confidence[F.col("x.method")]).alias("confidence"), F.when(linked, None).otherwise(F.coalesce("x.unresolved", F.lit("no_conservative_match"))).alias("unresolved"))
 
 
+#: Candidates that a semantic comparator sees, and the least score that links.
+MOST_COMPARED, LEAST_SCORE = 20, "0.9500"
+
+
+def semantic_candidates(nodes: DataFrame, *, most: int = MOST_COMPARED) -> DataFrame:
+    """(source_id, rank, candidate): of each source, and for each stage, the first nodes by id of earlier stages.
+
+    Nodes that share source and stage have the same candidates, so these are found once: the first of each stage, then of each stage's
+    predecessors. Tasks keep their own first `most` before any shuffle; the table has at most sources * stages * most rows.
+    """
+    n = nodes.withColumn("rank", stage_rank(F.col("stage"))).where("rank is not null")
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("_n") <= most).drop("_n")
+    own = first(n.select("source_id", "rank", "id"), "source_id", "rank")
+    later = own.select("source_id", "id", F.explode(F.expr(f"CASE WHEN rank < {len(STAGES) - 1} THEN sequence(rank + 1, {len(STAGES) - 1}) END")).alias("rank"))
+    return first(later, "source_id", "rank").select("source_id", "rank", F.col("id").alias("candidate"))
+
+
+def semantic_links(nodes: DataFrame, decided: DataFrame, compare: Callable[[Column, Column], Column], *, most: int = MOST_COMPARED) -> DataFrame:
+    """J11, D15's last step: nodes for which nothing else found a parent, compared with at most `most` earlier ones of their source.
+
+    decided: of `links`; compare: a score from the structs of candidate and node (a column expression, or an Arrow function). Scores that are null,
+    not finite or outside 0 to 1 don't count. A unique best score of at least 0.95 links; several make the node ambiguous.
+    """
+    open_ = decided.where("unresolved = 'no_conservative_match'").select(F.col("child").alias("id"))
+    record = F.struct(*(F.col(c) for c in nodes.columns))
+    asked = nodes.withColumn("rank", stage_rank(F.col("stage"))).withColumn("_node", record).select("id", "source_id", "rank", "_node").join(open_, "id")
+    pairs = asked.join(semantic_candidates(nodes, most=most), ["source_id", "rank"])
+    pairs = pairs.join(nodes.select(F.col("id").alias("candidate"), record.alias("_candidate")), "candidate")
+    scored = pairs.select("id", "candidate", compare(F.col("_candidate"), F.col("_node")).cast("double").alias("score")).where("score between 0 and 1")
+    at = F.round("score", 4).cast("decimal(5,4)")
+    good = scored.where(F.col("score") >= float(LEAST_SCORE)).groupBy("id", "score").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("parent"))
+    best = good.groupBy("id").agg(F.max(F.struct("score", "n", "parent")).alias("x")).select("id", F.col("x.score").alias("score"), F.col("x.n").alias("n"), F.col("x.parent").alias("to"))
+    both = decided.join(best.withColumnRenamed("id", "child"), "child", "left")
+    one = F.col("n") == 1
+    return both.select(
+        "child", F.when(one, F.col("to")).otherwise(F.col("parent")).alias("parent"), F.when(one, "semantic").otherwise(F.col("method")).alias("method"), F.when(one, at).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(one, F.lit(None)).when(F.col("n") > 1, "ambiguous_semantic").otherwise(F.col("unresolved")).alias("unresolved"),
+    )
+
+
+@F.udtf(returnType="candidate long, score double")
+class CompareTitles:
+    """X: the comparator as a table function for SQL: each candidate of an array of (id, title), scored against a title by difflib's ratio."""
+
+    def eval(self, title: str, candidates: list):
+        for c in candidates or []:
+            yield c["id"], difflib.SequenceMatcher(None, c["title"] or "", title or "").ratio()
+
+
 def link_history(decisions: DataFrame) -> DataFrame:
     """Decisions (child, parent, decided_seq) as active intervals: a new decision retracts the one before it.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -108,3 +110,41 @@ def field_rows(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def decision_label(eligible: Column, warnings: Column, recommended: Column) -> Column:
     """The label of a card."""
     return F.when(recommended, "recommended").when(~eligible, "excluded").when(F.size(warnings) > 0, "review").otherwise("eligible")
+
+
+#: Rows of a batch, and batches that one request looks through for eligible rows.
+BATCH, MOST_BATCHES = 100, 10
+
+
+def _looked_through(rows: DataFrame, decide: Callable[[DataFrame], DataFrame], at: str, id_: str, after: tuple | None) -> DataFrame:
+    known = F.coalesce(F.col(at), F.lit(EPOCH).cast("timestamp_ntz"))
+    if after is not None:
+        last = F.lit(after[0]).cast("timestamp_ntz")
+        rows = rows.where((known < last) | ((known == last) & (F.col(id_) < F.lit(after[1]))))
+    newest = [known.desc(), F.col(id_).desc()]
+    first = rows.orderBy(*newest).limit(BATCH * MOST_BATCHES)
+    # a thousand rows at most from here on
+    w = W.orderBy(*newest)
+    placed = decide(first.withColumn("_place", F.row_number().over(w)))
+    return placed.withColumn("_found", F.count_if(F.coalesce("eligible", F.lit(False))).over(W.orderBy("_place").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def eligible_page(rows: DataFrame, decide: Callable[[DataFrame], DataFrame], size: int, *, at: str = "published_at", id_: str = "id", after: tuple | None = None) -> DataFrame:
+    """O3: of the next thousand rows (newest first, unknown times last) the first `size` that `decide` calls eligible.
+
+    decide keeps the rows and adds `eligible`; it sees a thousand rows, never the table. A page may be short, or empty, and
+    still have a cursor: see `eligible_cursor`.
+    """
+    found = _looked_through(rows, decide, at, id_, after)
+    return found.where(F.coalesce("eligible", F.lit(False)) & (F.col("_found") <= size)).orderBy("_place").drop("_place", "_found")
+
+
+def eligible_cursor(rows: DataFrame, decide: Callable[[DataFrame], DataFrame], size: int, *, at: str = "published_at", id_: str = "id", after: tuple | None = None) -> DataFrame:
+    """O3: the cursor (at, id) after that page: of its last row if it is full, else of the last row that was looked at; no row at the end of the table."""
+    found = _looked_through(rows, decide, at, id_, after)
+    seen = found.agg(
+        F.min_by(F.struct(at, id_), F.when(F.col("_found") >= size, F.col("_place"))).alias("full"), F.max_by(F.struct(at, id_), "_place").alias("last"), F.max("_place").alias("n"), F.max("_found").alias("found"), F.min(F.when(F.col("_found") >= size, F.col("_place"))).alias("stop")
+    )
+    more = (F.col("n") == BATCH * MOST_BATCHES) | (F.col("stop") < F.col("n"))
+    where = F.when(F.col("found") >= size, F.col("full")).otherwise(F.col("last"))
+    return seen.where(more).select(F.coalesce(where[at], F.lit(EPOCH).cast("timestamp_ntz")).alias("at"), where[id_].alias("id"))

@@ -263,6 +263,20 @@ def j10_fuzzy_links(spark, sf):
     return linking.links(_nodes(spark, sf), fuzzy=True)
 
 
+@query(LINKS + """, c AS (SELECT a.id AS child, p.id AS candidate, p.amount AS pa, a.amount AS aa FROM links JOIN n a ON a.id = links.child JOIN n p ON p.s = a.s AND p.rank < a.rank WHERE unresolved = 'no_conservative_match' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY p.id) <= 20),
+sc AS (SELECT child, candidate, CASE WHEN greatest(pa, aa) > 0 THEN 1 - abs(pa - aa) / greatest(pa, aa) ELSE 1.5 END AS score FROM c), b AS (SELECT child, max(score) AS best FROM sc WHERE score BETWEEN 0.95 AND 1 GROUP BY child), o AS (SELECT child, best, count(*) AS k, min(candidate) AS at_ FROM sc JOIN b USING (child) WHERE score = best GROUP BY child, best)
+SELECT links.child, CASE WHEN k = 1 THEN at_ ELSE parent END AS parent, CASE WHEN k = 1 THEN 'semantic' ELSE method END AS method, CASE WHEN k = 1 THEN CAST(round(best, 4) AS DECIMAL(5,4)) ELSE confidence END AS confidence, CASE WHEN k = 1 THEN NULL WHEN k > 1 THEN 'ambiguous_semantic' ELSE unresolved END AS unresolved FROM links LEFT JOIN o ON o.child = links.child""")
+def j11_semantic_links(spark, sf):
+    """The whole ladder; the comparator likens amounts, those of nothing score beyond 1 and don't count."""
+    nodes = _nodes(spark, sf)
+
+    def alike(a, b):
+        x, y = a["amount"].cast("double"), b["amount"].cast("double")
+        return F.when(F.greatest(x, y) > 0, 1 - F.abs(x - y) / F.greatest(x, y)).otherwise(1.5)
+
+    return linking.semantic_links(nodes, linking.links(nodes, fuzzy=False), alike)
+
+
 @query(LINKS + """, e AS (SELECT child, parent FROM links WHERE parent IS NOT NULL), c AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT a.child, b.parent, 2 FROM e a JOIN e b ON a.parent = b.child UNION ALL SELECT a.child, c.parent, 3 FROM e a JOIN e b ON a.parent = b.child JOIN e c ON b.parent = c.child
 UNION ALL SELECT a.child, d.parent, 4 FROM e a JOIN e b ON a.parent = b.child JOIN e c ON b.parent = c.child JOIN e d ON c.parent = d.child) SELECT node, ancestor, min(distance) AS distance FROM c GROUP BY ALL""")
 def j17_closure(spark, sf):
@@ -384,6 +398,14 @@ def o1_keyset_page(spark, sf):
     return views.keyset_page(o, 50, after=("1998-01-01 00:00:00", 5000)).select("id", _iso("published_at").alias("published_at"))
 
 
+@query("""WITH c AS (SELECT o_orderkey AS id, o_orderdate AS d, o_totalprice < 30000 AS eligible FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1998-01-01', 5000) ORDER BY d DESC, id DESC LIMIT 1000)
+SELECT id, strftime(d, '%Y-%m-%d %H:%M:%S') AS published_at FROM c WHERE eligible ORDER BY d DESC, id DESC LIMIT 20""")
+def o3_eligible_page(spark, sf):
+    """O3: a page of eligible rows out of the next thousand."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("published_at"), "o_totalprice")
+    return views.eligible_page(o, lambda df: df.withColumn("eligible", F.col("o_totalprice") < 30000), 20, after=("1998-01-01 00:00:00", 5000)).select("id", _iso("published_at").alias("published_at"))
+
+
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'error' AND f.event_id % 8 = 0 AND f.user_id = e.user_id AND (f.event_id % 16 = 0 OR f.event_id % 3 > 0 OR f.event_id % 5 = 0)) ORDER BY ts, event_id LIMIT 100""")
 def o5_pending_batch(spark, sf):
     """Oldest rows without a blocking failure."""
