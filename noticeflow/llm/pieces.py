@@ -56,7 +56,7 @@ class PieceEncoder:
     fold: the tokenizer lower-cases, so ASCII letters may be folded before the cache is asked.
     """
 
-    def __init__(self, path: str, fold: bool = False, most: int = 400_000, keep_ids: bool = True):
+    def __init__(self, path: str, fold: bool = False, most: int = 200_000, keep_ids: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
