@@ -74,10 +74,6 @@ OPERATIONS = ["event_id", "seq", "at", "action", "token", "good", "retryable"]
 DELIVERY_LOG = "event_id long, seq long, at long, outcome string, status string, attempts int"
 
 
-def _whole(x) -> int | None:
-    return None if x is None or x != x else int(x)
-
-
 def delivery_log(ops: DataFrame, until: int, *, lease_s: int = LEASE_S, backoff_s: int = 1) -> DataFrame:
     """What each operation on a delivery did, and when leases ran out and waits ended (rows without seq), by `until`.
 
@@ -87,7 +83,7 @@ def delivery_log(ops: DataFrame, until: int, *, lease_s: int = LEASE_S, backoff_
     claim that the user's preferences or watches no longer allow. Ties of `at` go by seq; null flags are false.
     """
     asked = ops.select("event_id", F.col("seq").cast("long").alias("seq"), F.col("at").cast("long").alias("at"), "action", F.col("token").cast("long").alias("token"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("retryable", F.lit(False)).alias("retryable"))
-    step = lambda d, row: d.apply(int(row[0]), int(row[1]), row[2], _whole(row[3]), bool(row[4]), bool(row[5]))
+    step = lambda d, row: d.apply(*row)
     return fold(asked, ["event_id"], ["at", "seq"], lambda: Delivery(lease_s, backoff_s), step, lambda d: d.pass_time(until), DELIVERY_LOG)
 
 
@@ -117,4 +113,4 @@ def limited(hits: DataFrame, most: int, window_s: int = WINDOW_S) -> DataFrame:
     hits: scope, actor, seq, at (seconds); ties go by seq. Rejected hits count, too.
     """
     rows = hits.select("scope", "actor", F.col("seq").cast("long").alias("seq"), F.col("at").cast("long").alias("at"))
-    return fold(rows, ["scope", "actor"], ["at", "seq"], lambda: Window(most, window_s), lambda w, row: [(int(row[0]), *w.hit(int(row[1])))], None, LIMITED)
+    return fold(rows, ["scope", "actor"], ["at", "seq"], lambda: Window(most, window_s), lambda w, row: [(row[0], *w.hit(row[1]))], None, LIMITED)

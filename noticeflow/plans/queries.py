@@ -7,8 +7,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noticeflow.functions import nested
 from noticeflow.functions import text as T
-from noticeflow.operators import decisions, delta, documents, extraction, inbox, linking, metrics, replay, state, versions, views
+from noticeflow.operators import decisions, delta, documents, evaluation, extraction, inbox, linking, metrics, replay, state, versions, views
 from noticeflow.plans import adapters as A
 from noticeflow.plans import flows  # noqa: F401  (registers its queries)
 from noticeflow.plans.adapters import table
@@ -645,6 +646,60 @@ def d19_claim_validation(spark, sf):
     return extraction.validate_claims(claims, pages).select("doc_id", F.array_join("issues", ",").alias("issues"), "valid")
 
 
+# --- stored evaluations ----------------------------------------------------------------------------------------------------
+
+EVALUATED = """WITH r AS (SELECT o_custkey % 50 AS artifact, route, o_orderkey AS k, o_orderkey % 4 <> 0 AS expected_valid, o_orderkey % 3 <> 0 AS valid, o_orderkey % 5 <> 0 AS schema_valid, o_orderkey % 9 AS correct, 8 AS support, route = 'hosted_all' OR o_orderkey % 2 = 0 AS called,
+  CASE WHEN (route = 'hosted_all' OR o_orderkey % 2 = 0) AND NOT (o_custkey % 10 = 3 AND o_orderkey % 13 = 0) THEN o_orderkey % 100 END AS pt, CASE WHEN route = 'hosted_all' OR o_orderkey % 2 = 0 THEN o_orderkey % 50 END AS ct FROM orders, (VALUES ('hosted_all'), ('hosted_gated')) x(route) WHERE NOT (route = 'hosted_gated' AND o_custkey % 50 % 7 = 0 AND o_orderkey % 11 = 0)),
+t AS (SELECT artifact, route, count(*) FILTER (WHERE called) AS calls, CASE WHEN count(*) FILTER (WHERE called AND pt IS NULL) = 0 THEN coalesce(sum(pt), 0) + coalesce(sum(ct), 0) END AS tokens FROM r GROUP BY ALL)"""
+
+
+def _evaluated(spark, sf):
+    """Two routes' rows over the same orders; one route of some artifacts lacks cases, and some calls didn't tell their tokens."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf, "orders").withColumn("route", F.explode(F.array(F.lit("hosted_all"), F.lit("hosted_gated"))))
+    full = (F.col("route") == "hosted_all") | (k % 2 == 0)
+    o = o.where(~((F.col("route") == "hosted_gated") & (cust % 50 % 7 == 0) & (k % 11 == 0)))
+    return o.select((cust % 50).alias("artifact"), "route", k.alias("case_id"), (k % 4 != 0).alias("expected_valid"), (k % 3 != 0).alias("valid"), (k % 5 != 0).alias("schema_valid"), (k % 9).alias("correct"), F.lit(8).alias("support"), full.alias("called"), F.when(full & ~((cust % 10 == 3) & (k % 13 == 0)), k % 100).alias("prompt_tokens"), F.when(full, k % 50).alias("completion_tokens"))
+
+
+@query(EVALUATED + """, w AS (SELECT artifact, bool_or(artifact % 7 = 0 AND k % 11 = 0) AS differ FROM r GROUP BY artifact)
+SELECT artifact, route, array_to_string(list_filter([CASE WHEN differ THEN 'other_cases' END, CASE WHEN artifact % 6 = 0 THEN 'correct_fields' END, CASE WHEN artifact % 9 = 0 AND route = 'hosted_gated' THEN 'hosted_calls' END, CASE WHEN tokens IS NOT NULL AND artifact % 4 = 1 THEN 'prompt_tokens' END, CASE WHEN artifact % 8 = 0 THEN 'field_accuracy' END], lambda x: x IS NOT NULL), ',') AS issues FROM t JOIN w USING (artifact)""")
+def a26_artifact_check(spark, sf):
+    """Stored totals with planted errors (and errors of rounding alone, which don't count) against the rows."""
+    rows, a = _evaluated(spark, sf), F.col("artifact")
+    wrong = {"correct_fields": F.col("correct_fields") + F.when(a % 6 == 0, 1).otherwise(0), "hosted_calls": F.col("hosted_calls") + F.when((a % 9 == 0) & (F.col("route") == "hosted_gated"), 1).otherwise(0), "prompt_tokens": F.col("prompt_tokens") - F.when(a % 4 == 1, 1).otherwise(0), "field_accuracy": F.col("field_accuracy") + F.when(a % 8 == 0, 1e-6).otherwise(1e-14)}
+    return evaluation.check_artifacts(evaluation.route_totals(rows).withColumns(wrong), rows).select("artifact", "route", F.array_join("issues", ",").alias("issues"))
+
+
+@query(EVALUATED + """, s AS (SELECT artifact, max(calls) FILTER (WHERE route = 'hosted_all') AS ac, max(calls) FILTER (WHERE route <> 'hosted_all') AS gc, max(tokens) FILTER (WHERE route = 'hosted_all') AS at_, max(tokens) FILTER (WHERE route <> 'hosted_all') AS gt FROM t GROUP BY artifact)
+SELECT artifact, CASE WHEN ac IS NOT NULL AND gc IS NOT NULL THEN 'measured' ELSE 'not_run' END AS status, ac - gc AS avoided_calls, round((ac - gc) / nullif(ac, 0)::DOUBLE, 9) AS call_reduction_rate, CASE WHEN ac - gc IS NOT NULL THEN round((at_ - gt) / nullif(at_, 0)::DOUBLE, 9) END AS token_reduction_rate, CASE WHEN artifact % 3 > 0 AND ac - gc IS NOT NULL THEN round((artifact % 3 - 0.5) / (artifact % 3)::DOUBLE, 9) END AS cost_reduction FROM s""")
+def a14_optimization(spark, sf):
+    """What gating saves; unknown tokens and costs of nothing stay unknown."""
+    a = F.col("artifact")
+    totals = evaluation.route_totals(_evaluated(spark, sf)).withColumn("cost", F.when(F.col("route") == "hosted_all", (a % 3).cast("double")).otherwise(0.5))
+    return evaluation.optimization(totals).select("artifact", "status", "avoided_calls", F.round("call_reduction_rate", 9).alias("call_reduction_rate"), F.round("token_reduction_rate", 9).alias("token_reduction_rate"), F.round("reported_cost_reduction_rate", 9).alias("cost_reduction"))
+
+
+@query(DELTA + """, e AS (SELECT canonical_key, obs_seq, CASE WHEN obs_seq % 7 = 0 THEN '' WHEN obs_seq % 5 = 0 THEN fields || ',extra' ELSE fields END AS fields, CASE WHEN obs_seq % 4 = 0 THEN 'high' ELSE impact END AS impact FROM d),
+pf AS (SELECT obs_seq, unnest(string_split(fields, ',')) AS f FROM d WHERE fields <> ''), ef AS (SELECT obs_seq, unnest(string_split(ltrim(fields, ','), ',')) AS f FROM e WHERE ltrim(fields, ',') <> ''), f AS (SELECT count(*) FILTER (WHERE p.f IS NOT NULL AND x.f IS NOT NULL) AS tp, count(*) FILTER (WHERE x.f IS NULL) AS fp, count(*) FILTER (WHERE p.f IS NULL) AS fn FROM pf p FULL JOIN ef x ON p.obs_seq = x.obs_seq AND p.f = x.f),
+h AS (SELECT count(*) FILTER (WHERE d.impact = 'high' AND e.impact = 'high') AS tp, count(*) FILTER (WHERE d.impact = 'high' AND e.impact <> 'high') AS fp, count(*) FILTER (WHERE d.impact <> 'high' AND e.impact = 'high') AS fn FROM d JOIN e USING (obs_seq)), q AS (SELECT count(*) AS n, count(*) FILTER (WHERE d.fields <> '') AS x FROM d JOIN e USING (obs_seq) WHERE e.fields = '')
+SELECT f.tp AS field_tp, f.fp AS field_fp, f.fn AS field_fn, h.tp AS high_tp, h.fp AS high_fp, h.fn AS high_fn, round(h.tp / (h.tp + h.fp)::DOUBLE, 9) AS high_precision, round(2 * f.tp / (2 * f.tp + f.fp + f.fn)::DOUBLE, 9) AS field_f1, n AS no_change_support, x AS false_alerts, round(x / n::DOUBLE, 9) AS false_alert_rate FROM f, h, q""")
+def a15_delta_evaluation(spark, sf):
+    """Deltas against expectations that leave out, add and raise some."""
+    d = delta.compute_delta(_pairs(spark, sf)).select(F.col("obs_seq").alias("case_id"), F.col("changed_fields").alias("fields"), "impact")
+    k, none = F.col("case_id"), F.array().cast("array<string>")
+    e = d.select("case_id", F.when(k % 7 == 0, none).when(k % 5 == 0, F.concat("fields", F.array(F.lit("extra")))).otherwise(F.col("fields")).alias("fields"), F.when(k % 4 == 0, "high").otherwise(F.col("impact")).alias("impact"))
+    m = evaluation.delta_evaluation(d, e)
+    return m.select("field_tp", "field_fp", "field_fn", "high_tp", "high_fp", "high_fn", F.round("high_precision", 9).alias("high_precision"), F.round("field_f1", 9).alias("field_f1"), "no_change_support", "false_alerts", F.round("false_alert_rate", 9).alias("false_alert_rate"))
+
+
+@query("SELECT user_id, sha256(string_agg(props || chr(0), '' ORDER BY event_id)) AS digest, count(*) AS n FROM events GROUP BY user_id")
+def a28_rolling_hash(spark, sf):
+    """Each user's records in order, as one digest."""
+    spaced = nested.canonical(F.col("props"), separators=nested.SPACED)
+    return evaluation.rolling_hash(table(spark, sf, "events").select("user_id", "event_id", spaced.alias("text")), "user_id", "event_id", "text")
+
+
 # --- inbox, workers and attachments --------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.functions import nested
-from noticeflow.operators import reuse, triggers
+from noticeflow.operators import delivery, evaluation, reuse, triggers
 
 
 def through(spark, make, *texts):
@@ -122,3 +122,56 @@ def test_epochs_in_any_zone(spark):
         assert [tuple(x) for x in got] == [("exact:2026-09-01T20:00:00+00:00", None), ("exact:2026-09-01T20:00:00.000120+00:00", None), ("daily:2026-09-01:open", None), (None, "epoch_mismatch")]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+ROWS = "artifact long, route string, case_id long, expected_valid boolean, valid boolean, schema_valid boolean, correct long, support long, prompt_tokens long, completion_tokens long, called boolean"
+
+
+def test_totals_follow_from_rows(spark):
+    rows = [(1, "hosted_all", c, c != 3, c == 1, c != 2, c, 4, 10 * c, None if c == 2 else 1, None) for c in (1, 2, 3)] + [(1, "hosted_gated", c, c != 3, True, True, 0, 4, None, None, c == 3) for c in (1, 2, 3)]
+    df = spark.createDataFrame(rows, ROWS)
+    got = {r.route: r for r in evaluation.route_totals(df).collect()}
+    a, g = got["hosted_all"], got["hosted_gated"]
+    assert (a.documents, a.correct_fields, a.expected_fields, a.schema_failures, a.grounded_accepted_documents, a.hosted_calls, a.prompt_tokens, a.completion_tokens, a.field_accuracy) == (3, 3, 8, 1, 1, 3, 60, None, 3 / 8)
+    assert (g.hosted_calls, g.prompt_tokens, g.completion_tokens) == (1, None, None)
+    rolled = {(r.artifact, r.route): r.documents for r in evaluation.route_totals(df, rolled=True).collect()}
+    assert rolled == {(1, "hosted_all"): 3, (1, "hosted_gated"): 3, (1, None): 6, (None, None): 6}
+
+
+def test_artifact_issues(spark):
+    row = lambda a, route, c, correct=1, support=2: (a, route, c, True, True, True, correct, support, 1, 1, True)
+    rows = [row(1, "hosted_all", 1), row(1, "hosted_gated", 1), row(2, "hosted_all", 1), row(2, "hosted_all", 1), row(3, "hosted_all", 1, 5), row(4, "hosted_all", 1), row(4, "hosted_gated", 1, 1, 3), row(5, "hosted_all", 1)]
+    df = spark.createDataFrame(rows, ROWS)
+    stored = evaluation.route_totals(df).where("artifact <> 5").unionByName(evaluation.route_totals(df).where("artifact = 5").withColumn("artifact", F.lit(6).cast("long")))
+    got = {(r.artifact, r.route): r.issues for r in evaluation.check_artifacts(stored, df).collect()}
+    assert got == {(1, "hosted_all"): [], (1, "hosted_gated"): [], (2, "hosted_all"): ["duplicate_cases"], (3, "hosted_all"): ["impossible_counts"], (4, "hosted_all"): ["other_cases"], (4, "hosted_gated"): ["other_cases"], (5, "hosted_all"): ["not_stored"], (6, "hosted_all"): ["no_rows"]}
+
+
+def test_savings_stay_unknown_where_a_side_is(spark):
+    totals = [(1, "hosted_all", 10, 5, 5, 2.0), (1, "hosted_gated", 12, 5, None, 1.0), (2, "hosted_all", 0, 0, 0, 0.0), (2, "hosted_gated", 0, 0, 0, 1.0), (3, "hosted_all", 1, 1, 1, None)]
+    df = spark.createDataFrame(totals, "artifact long, route string, hosted_calls long, prompt_tokens long, completion_tokens long, cost double")
+    got = {r.artifact: (r.status, r.avoided_calls, r.call_reduction_rate, r.token_reduction_rate, r.reported_cost_reduction_rate) for r in evaluation.optimization(df).collect()}
+    assert got == {1: ("measured", -2, -0.2, None, 0.5), 2: ("measured", 0, None, None, None), 3: ("not_run", None, None, None, None)}
+
+
+def test_rolling_hash_is_hashlib_in_order(spark):
+    rows = [(g, i, None if i == 3 else f"é{g}{i}") for g in ("a", "b", None) for i in (5, 1, 3, 2)]
+    df = spark.createDataFrame(rows, "g string, i long, t string").repartition(3)
+    want = {g: hashlib.sha256(b"".join(f"é{g}{i}".encode() + b"\0" for i in (1, 2, 5))).hexdigest() for g in ("a", "b", None)}
+    assert {r.g: r.digest for r in evaluation.rolling_hash(df, "g", "i", "t").collect()} == want
+
+
+def test_folds_keep_large_numbers_beside_nulls(spark):
+    big = (1 << 60) + 1
+    hits = spark.createDataFrame([("a", None, big, 5), ("a", None, big + 2, 6), (None, big, 3, 5)], "scope string, actor long, seq long, at long")
+    got = sorted(((r.scope, r.actor, r.seq, r.hits) for r in delivery.limited(hits, 1).collect()), key=str)
+    assert got == [("a", None, big, 1), ("a", None, big + 2, 2), (None, big, 3, 1)]
+
+
+def test_counters(spark):
+    links = spark.createDataFrame([(1, 2), (2, None)], "child long, parent long")
+    jobs = spark.createDataFrame([(True,), (False,), (None,)], "failed boolean")
+    ranked = spark.createDataFrame([(True,), (False,)], "recommended boolean")
+    assert tuple(evaluation.reconcile_counters(links, jobs, ranked).first()) == (1, 1, 2, 1, 1, 2)
+    out = spark.createDataFrame([(1, "applied", 5), (1, "duplicate", None), (2, "review", None)], "invoice_id long, outcome string, credit_units long")
+    assert sorted(map(tuple, evaluation.billing_scope(out).collect())) == [(1, 2, 1, 0, 5), (2, 1, 0, 1, None)]
