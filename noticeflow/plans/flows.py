@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from noticeflow.functions import nested
+from noticeflow.functions import checks, nested
 from noticeflow.functions.storage import new_table
-from noticeflow.operators import delivery, linking, reuse, triggers
+from noticeflow.operators import delivery, documents, linking, reuse, triggers
 from noticeflow.plans.adapters import table
 from noticeflow.plans.registry import query
 
@@ -225,3 +225,51 @@ def d8_delta_status(spark, sf):
     last = F.last(F.when(F.col("transition_kind").isin("initial", "current"), k), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     pairs = reuse.comparison_pairs(v.withColumn("previous_current_version_id", F.when(k % 6 != 0, last)))
     return pairs.select("version_id", "from_version_id", "comparison_kind", reuse.delta_status(F.col("transition_kind"), F.col("from_version_id"), k % 5 != 0, k % 7 == 0).alias("status"))
+
+
+# --- documents and what others send ----------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_replace(left(html, 1024), '^[ \\t\\n\\r]+', '')) AS s, CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN NULL ELSE 'other' END AS h FROM pages)
+SELECT page_id, CASE WHEN starts_with(s, '<!doctype html') OR starts_with(s, '<html') OR starts_with(s, '<h1') OR starts_with(s, '<p') THEN 'text/html' WHEN h = 'application/pdf' THEN h END AS media_type FROM p""")
+def f21_media_types(spark, sf):
+    """pages by their first bytes, else by a header that may be believed."""
+    k = F.col("page_id")
+    header = F.when(k % 3 == 0, "Application/PDF; q=1").when(k % 3 == 2, "other")
+    return table(spark, sf, "pages").select("page_id", checks.media_type(F.encode("html", "UTF-8"), header).alias("media_type"))
+
+
+@query("SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 700 <= 600 AS valid FROM events")
+def f31_signatures(spark, sf):
+    """signed bodies; some with another signature, without a time, or too late. The twin knows which."""
+    k = F.col("event_id")
+    at = (F.lit(1_000_000) + k % 700).cast("string")
+    right = checks.hmac_sha256(F.concat(at, F.lit("."), F.col("props")).cast("binary"), "a secret")
+    header = F.concat(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("t="), at, F.lit(","))), F.lit("v1="), F.when(k % 5 == 0, "0" * 64).otherwise(right))
+    return table(spark, sf, "events").select("event_id", checks.signed(F.col("props"), header, "a secret", F.lit(1_000_300)).alias("valid"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, unnest(['estimated_amount', 'currency', 'title', 'regions']) AS field, unnest([CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) || '0', 'KRW', CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'T' || o_orderkey END, '["b","a"]']) AS value FROM orders)
+SELECT k, field, value, field <> 'regions' AS known, CASE WHEN field IN ('estimated_amount', 'currency') THEN k % 5 = 0 WHEN field = 'title' THEN k % 7 = 0 ELSE k % 3 = 0 END AS conflict FROM a WHERE field <> 'regions' UNION ALL SELECT k, field, value, k % 2 = 0, k % 2 = 0 AND k % 3 = 0 FROM a WHERE field = 'regions'""")
+def d20_conflicts(spark, sf):
+    """attachments' claims against upstream ones: amounts as numbers, lists as sets, the budget as a pair."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    rows = lambda *kv: o.select(k.alias("k"), F.inline(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, v in kv)))))
+    upstream = rows(("estimated_amount", price.cast("string")), ("currency", F.lit("KRW")), ("title", F.concat(F.lit("T"), k.cast("string"))), ("regions", F.when(k % 2 == 0, F.when(k % 3 == 0, '["a"]').otherwise('["a","b"]'))))
+    attached = rows(("estimated_amount", F.concat((price + F.when(k % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("0"))), ("currency", F.lit("KRW")), ("title", F.when(k % 7 == 0, "other").otherwise(F.concat(F.lit("T"), k.cast("string")))), ("regions", F.lit('["b","a"]')))
+    return documents.withhold_conflicts(upstream, attached, ["k"]).select("k", "field", "value", F.col("upstream_value").isNotNull().alias("known"), "conflict")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS v, l_linenumber AS n, 's' || l_partkey AS s FROM lineitem), c AS (SELECT DISTINCT v, s, n % 2 = 0 AS ocr, CASE WHEN n % 2 = 0 THEN 'ocr1' WHEN n % 3 = 0 THEN 'native1' ELSE 'native2' END AS t FROM l WHERE n % 5 <> 0)
+SELECT v AS version_id, string_agg(s || ':1:' || t, ',' ORDER BY s, t) AS bundle FROM c GROUP BY v""")
+def d21_bundle(spark, sf):
+    """Each version's trusted pages: recognised text before native, then the latest parser; blank pages and repeats go."""
+    li, n = table(spark, sf, "lineitem"), F.col("l_linenumber")
+    a = li.select((F.col("l_orderkey") * 10 + n).alias("attachment_id"), F.col("l_orderkey").alias("version_id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("sha256"))
+    parse = lambda kind, version, trusted: F.when(trusted, F.struct(F.lit(kind).alias("parser_kind"), F.lit(version).alias("parser_version"), F.when(n % 5 == 0, "needs_ocr").otherwise("trusted").alias("status")))
+    each = li.select((F.col("l_orderkey") * 10 + n).alias("attachment_id"), F.inline(F.array_compact(F.array(parse("native", 1, n > 0), parse("native", 2, n % 3 != 0), parse("ocr", 1, n % 2 == 0)))))
+    page = lambda number, text: F.struct(F.lit(number).alias("page_number"), text.alias("text"))
+    parses = each.withColumn("pages", F.array(page(1, F.concat("parser_kind", F.col("parser_version").cast("string"))), page(2, F.lit(" \t"))))
+    text = F.array_join(F.transform("bundle", lambda p: F.concat_ws(":", p["sha256"], p["page_number"].cast("string"), p["text"])), ",")
+    return documents.document_bundle(a.distinct(), parses).select("version_id", text.alias("bundle"))
