@@ -2,8 +2,9 @@
 
 Each task encodes the texts of its own partition, cuts documents of more than a window into full windows and
 packs the remainders, longest first, each into the tightest open window that still has room. Nothing is
-shuffled: packing needs no meeting of particular documents, and what a partition can't fill is less than
-two windows' worth per block of pieces. Only piece sizes and checksums are held, never the ids of a partition.
+shuffled: packing needs no meeting of particular documents. Remainders stay whole, so padding depends on their lengths: remainders of
+a little more than half a window each leave nearly half of one, mixed lengths (the usual case) leave little; at most one window of a
+block is less than half full. Only piece sizes and checksums are held, never the ids of a partition.
 
 Defined results: null or empty text is a document of only the end id; repeated rows are packed one by one;
 an empty table gives no pieces; a null doc_id is kept; extra columns are ignored.
