@@ -1,4 +1,4 @@
-"""Change detection and impact."""
+"""Change detection and impact."""
 
 from __future__ import annotations
 

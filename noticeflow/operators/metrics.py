@@ -1,4 +1,4 @@
-"""Evaluation metrics (A8-A18, A22, A29): undefined support stays null."""
+"""Evaluation metrics (A8-A13, A15-A18, A22, A29): undefined support stays null."""
 
 from __future__ import annotations
 

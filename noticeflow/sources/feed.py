@@ -1,4 +1,4 @@
-"""Cursor-paged feeds as a Spark data source (S1-S4, D28): the offset of a stream is the feed's cursor.
+"""Cursor-paged feeds as a Spark data source (S1, S2): the offset of a stream is the feed's cursor.
 
 A feed is any object with `discover(cursor) -> (records, next_cursor)`, where records are dicts with obs_seq,
 source_record_id and payload, and next_cursor is None at the end. A page is read again from its cursor after a
