@@ -7,7 +7,8 @@ from pyspark.sql.window import Window as W
 
 from noticeflow.functions import checks, nested
 from noticeflow.functions.storage import new_table
-from noticeflow.operators import delivery, documents, linking, reuse, triggers
+from noticeflow.functions.text import utc_text
+from noticeflow.operators import delivery, documents, government, linking, presentation, reuse, triggers
 from noticeflow.plans.adapters import table
 from noticeflow.plans.registry import query
 
@@ -273,3 +274,52 @@ def d21_bundle(spark, sf):
     parses = each.withColumn("pages", F.array(page(1, F.concat("parser_kind", F.col("parser_version").cast("string"))), page(2, F.lit(" \t"))))
     text = F.array_join(F.transform("bundle", lambda p: F.concat_ws(":", p["sha256"], p["page_number"].cast("string"), p["text"])), ",")
     return documents.document_bundle(a.distinct(), parses).select("version_id", text.alias("bundle"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, 'services:N' || o_orderkey || ':' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS official_id, CASE WHEN o_orderkey % 3 = 0 THEN 'office' ELSE 'buyer ' || o_custkey END AS buyer, CASE WHEN o_orderkey % 4 = 0 THEN 'amendment' ELSE 'tender' END AS stage, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p, o_orderkey % 13 = 0 AS odd FROM orders)
+SELECT k, CASE WHEN NOT odd THEN official_id END AS official_id, buyer AS buyer_name, stage AS lifecycle_stage, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN NULL WHEN contains(p, '.') THEN rtrim(rtrim(p, '0'), '.') ELSE p END AS estimated_amount, CASE WHEN k % 6 = 0 THEN '2026-01-01 20:00:00' ELSE '2026-01-01 18:04:05' END AS effective_at,
+  CASE WHEN k % 2 = 0 THEN 'a' || k || '.pdf,specification-10' ELSE '' END AS files, array_to_string(list_filter([CASE WHEN odd THEN 'identity_invalid' END, CASE WHEN NOT odd AND k % 17 = 0 THEN 'identity_differs' END, CASE WHEN k % 11 = 0 THEN 'closes_at_invalid' END, CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN 'estimated_amount_invalid' END], lambda x: x IS NOT NULL), ',') AS errors,
+  CASE WHEN k % 3 = 0 THEN '/ntceInsttNm' ELSE '/dminsttNm' END AS buyer_pointer, CASE WHEN k % 5 <> 0 THEN '/presmptPrce' END AS currency_pointer FROM n""")
+def p2_government(spark, sf):
+    """The government feed's payloads by canonical names, with attachments, evidence and errors."""
+    k, text = F.col("o_orderkey"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    number = F.when(k % 13 == 0, "N 1").otherwise(text("N", k))
+    order = F.lpad((k % 1000).cast("string"), 3, "0")
+    url = lambda i: F.when(k % 2 == 0, text("https://files/", k, f"/{i}"))
+    payload = F.to_json(F.struct(
+        text(" Notice ", k, " ").alias("bidNtceNm"), number.alias("bidNtceNo"), order.alias("bidNtceOrd"), F.when(k % 4 == 0, "변경공고").otherwise("일반").alias("ntceKindNm"), F.when(k % 3 == 0, "  ").otherwise(text("buyer ", F.col("o_custkey"))).alias("dminsttNm"), F.lit("office").alias("ntceInsttNm"),
+        F.when(k % 5 == 0, "").when(k % 7 == 0, "-5").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("presmptPrce"), F.lit("2026-01-02 03:04:05").alias("bidNtceDt"), F.when(k % 11 == 0, "2026/01/01").otherwise("2026-02-01 00:00:00").alias("bidClseDt"),
+        F.when(k % 6 == 0, "2026-01-02 05:00:00").alias("chgDt"), url(1).alias("ntceSpecDocUrl1"), text("a", k, ".pdf").alias("ntceSpecFileNm1"), url(10).alias("ntceSpecDocUrl10"), url(11).alias("ntceSpecDocUrl11"),
+    ))
+    raw = table(spark, sf, "orders").select(k.alias("k"), payload.alias("payload"), F.when(k % 17 == 0, "services:other:000").otherwise(text("services:N", k, ":", order)).alias("record_id"))
+    n = government.map_notices(raw, record_id="record_id")
+    at = F.replace(utc_text(F.col("effective_at")), F.lit("T"), F.lit(" "))
+    return n.select("k", "official_id", "buyer_name", "lifecycle_stage", "estimated_amount", at.alias("effective_at"), F.array_join(F.transform("attachments", lambda a: a["filename"]), ",").alias("files"), F.array_join("errors", ",").alias("errors"), F.col("evidence")["buyer_name"]["json_pointer"].alias("buyer_pointer"), F.try_element_at("evidence", F.lit("currency"))["json_pointer"].alias("currency_pointer"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS user_id, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'amendment' ELSE 'tender' END AS stage, CASE o_orderkey % 7 WHEN 0 THEN 'documents_pending' WHEN 1 THEN 'odd' ELSE 'ready' END AS status, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 3 = 0 END AS eligible, o_orderkey % 5 = 0 AS hard, o_orderkey % 9 = 0 AS warn, o_orderkey % 2 = 0 AS seen, o_orderkey % 6 = 0 AS again FROM orders)
+SELECT user_id, k AS opportunity_id, CASE WHEN status <> 'ready' OR eligible IS NULL THEN 'pending' WHEN hard THEN 'danger' WHEN warn THEN 'pending' WHEN eligible THEN 'success' ELSE 'neutral' END AS tone, CASE WHEN status = 'documents_pending' THEN '문서 처리 중' WHEN status = 'odd' OR eligible IS NULL THEN '판단 대기' WHEN hard THEN '필수 조건 불일치' WHEN warn THEN '확인 필요' WHEN eligible THEN '필수 조건 충족' ELSE '참여 비추천' END AS label,
+  CASE WHEN NOT seen THEN 'new' WHEN NOT again THEN 'changed' END AS visit FROM d WHERE status <> 'ready' OR eligible IS NULL OR (NOT hard AND (warn OR NOT eligible))""")
+def d35_review_list(spark, sf):
+    """Every user's items for review, with labels and what is new since the last visit."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    some = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    items = o.select(k.alias("opportunity_id"), F.when(k % 4 == 0, "amendment").otherwise("tender").alias("stage"), at.alias("changed_at"))
+    decisions = o.select(F.col("o_custkey").alias("user_id"), k.alias("opportunity_id"), F.when(k % 7 == 0, "documents_pending").when(k % 7 == 1, "odd").otherwise("ready").alias("status"), F.when(k % 11 > 0, k % 3 == 0).alias("eligible"), some(k % 5 == 0).alias("hard_failures"), some(k % 9 == 0).alias("warnings"))
+    visit = lambda when, days: o.where(when).select(F.col("o_custkey").alias("user_id"), k.alias("opportunity_id"), (at + F.make_dt_interval(F.lit(days))).alias("visited_at"))
+    return presentation.inbox(items, decisions, visit(k % 2 == 0, -1).unionAll(visit(k % 6 == 0, 1)), "review").select("user_id", "opportunity_id", "tone", "label", "visit")
+
+
+@query("""WITH v AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), last AS (SELECT c, max(k) AS k FROM v GROUP BY c)
+SELECT c AS opportunity_id, 'version' AS kind, row_number() OVER (PARTITION BY c ORDER BY n DESC) AS position, k AS id FROM v UNION ALL SELECT c_nationkey, 'link', row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 100, c_custkey), c_custkey FROM customer
+UNION ALL SELECT c, 'document', row_number() OVER (PARTITION BY c ORDER BY l_linenumber), l_linenumber FROM last JOIN lineitem ON l_orderkey = k""")
+def d35_detail(spark, sf):
+    """The versions, links and current documents of every item, in the order of its page."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    v = o.select(F.col("o_custkey").alias("opportunity_id"), F.col("o_orderkey").alias("version_id"))
+    versions = v.withColumn("version_number", F.row_number().over(W.partitionBy("opportunity_id").orderBy("version_id")))
+    items = v.groupBy("opportunity_id").agg(F.max("version_id").alias("current_version_id"))
+    links = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("opportunity_id"), F.col("c_custkey").alias("link_id"), (F.col("c_custkey") % 100).alias("created_at"))
+    documents_ = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("opportunity_id"), F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").cast("long").alias("document_id"))
+    return presentation.detail(items, versions, links, documents_)
