@@ -126,7 +126,8 @@ def test_links(spark):
     assert [r[0] for r in pairs.select(linking.title_ratio("a", "b")).collect()] == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in (("abc d", "abd c"), ("", "x"), ("", ""))]
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "child long, parent long")
     assert {tuple(r) for r in linking.closure(edges).collect()} == {(2, 1, 1), (3, 2, 1), (4, 3, 1), (3, 1, 2), (4, 2, 2), (4, 1, 3)}
-    assert {tuple(r) for r in linking.timelines(edges).collect()} == {(i, 1) for i in (1, 2, 3, 4)}
+    links = edges.selectExpr("child AS link_id", "child", "parent", "'active' AS status", "child AS created_at")
+    assert {tuple(r) for r in linking.timelines(links, edges.selectExpr("child AS node")).collect()} == {(i, 1, 4, True) for i in (1, 2, 3, 4)}
 
 
 def test_metrics(spark):
