@@ -6,6 +6,9 @@ single longer text), never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -175,6 +178,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: byt
     return out
 
 
+def release() -> None:
+    """Drops what the worker remembers of words and powers (other operators' tasks ran in it before), and gives unused memory back."""
+    _KNOWN.clear()
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of true bytes that don't cross row borders."""
     n = len(mask)

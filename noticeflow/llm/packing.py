@@ -98,6 +98,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
 
         context = TaskContext.get()
         task = context.partitionId() if context else 0
+        K.release()  # in a pipeline the worker still holds what the stages before needed
         encode = encoder(tokenizer_path, fold, True)
         parts, held, made = [], 0, 0
         for batch in batches:
