@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,6 +143,104 @@ class SpanTable:
         self.one[slot], self.two[slot], self.size[slot], self.value[slot] = one, two, size, value
 
 
+class SpanNumbers:
+    """Numbers of distinct spans, in the order in which they come. Spans of up to MIDDLE bytes stand in arrays and are found by open
+    addressing, all of a block at once; longer ones in a dictionary. What is found is compared whole."""
+
+    _FULL = np.append(_MASKS, U64(_MASK))
+
+    def __init__(self):
+        self.one, self.two = (np.zeros(1 << 12, U64) for _ in range(2))
+        self.size = np.zeros(1 << 12, np.uint8)
+        self.slots = np.full(1 << 13, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.known = 0
+        self.secret = np.frombuffer(os.urandom(8), U64)[0]  # so that no text can be written whose spans all meet in one slot
+
+    def _slot(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix(one ^ mix((two + size) ^ self.secret))
+
+    def _find(self, one: np.ndarray, two: np.ndarray, size: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The number of each span, -1 where it has none."""
+        last = U64(len(self.slots) - 1)
+        slot = (mixed & last).astype(np.int64)
+        out = self.slots[slot].astype(np.int64)
+        left = np.arange(len(out))
+        while True:
+            n = out[left]
+            left = left[(n >= 0) & ((self.one[n] != one[left]) | (self.two[n] != two[left]) | (self.size[n] != size[left]))]
+            if not len(left):
+                return out
+            slot[left] = (slot[left] + 1) & int(last)
+            out[left] = self.slots[slot[left]]
+
+    def _put(self, numbers: np.ndarray) -> None:
+        """Gives each number a slot; all are of spans that have none."""
+        if 2 * self.known > len(self.slots):
+            self.slots = np.full(1 << (4 * self.known).bit_length(), -1, np.int32)
+            numbers = np.flatnonzero(self.size[: self.known])
+        last = len(self.slots) - 1
+        slot = (self._slot(self.one[numbers], self.two[numbers], self.size[numbers]) & U64(last)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]  # of several that want one slot the last stays there
+            left = self.slots[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & last
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each span; and, in the order of their numbers, one span of each number that is new."""
+        spans = Spans(data, starts, ends)
+        out, known = np.zeros(len(starts), np.int64), self.known
+        short = np.flatnonzero(spans.sizes <= MIDDLE)
+        size = spans.sizes[short]
+        one = spans.loads[starts[short]] & self._FULL[np.minimum(size, 8)]
+        two = np.where(size > 8, spans.loads[np.maximum(ends[short] - 8, 0)], U64(0))
+        size = size.astype(np.uint8)
+        mixed = self._slot(one, two, size)
+        out[short] = found = self._find(one, two, size, mixed)
+        new = np.flatnonzero(found < 0)
+        new = new[np.argsort(mixed[new], kind="stable")]
+        if len(new):
+            o, t, z = one[new], two[new], size[new]
+            first = np.ones(len(new), bool)
+            first[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1]) | (z[1:] != z[:-1])
+            out[short[new]] = self.known + np.cumsum(first) - 1
+            o, t, z, new = o[first], t[first], z[first], new[first]
+            self.known += len(new)
+            self._room()
+            self.one[known : self.known], self.two[known : self.known], self.size[known : self.known] = o, t, z
+            self._put(np.arange(known, self.known))
+        new = [short[new]]
+        if len(long := np.flatnonzero(spans.sizes > MIDDLE)):
+            raw = data.tobytes()
+            before, n = self.known, []
+            for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+                if (at := self.long.setdefault(raw[a:b], self.known)) == self.known:
+                    self.known += 1
+                    n.append(i)
+                out[i] = at
+            self._room()
+            self.size[before : self.known] = 0
+            new.append(np.array(n, np.int64))
+        return out, np.concatenate(new)
+
+    def _room(self) -> None:
+        if self.known > len(self.one):
+            self.one, self.two, self.size = (np.concatenate([x, np.zeros(2 * self.known - len(x), x.dtype)]) for x in (self.one, self.two, self.size))
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Forgets all others; these are numbered anew, in the order given."""
+        now = np.full(self.known, -1, np.int64)
+        now[numbers] = np.arange(len(numbers))
+        one, two, size, long = self.one[numbers], self.two[numbers], self.size[numbers], self.long
+        self.__init__()
+        self.long = {span: n for span, at in long.items() if (n := int(now[at])) >= 0}
+        self.known = len(numbers)
+        self._room()
+        self.one[: self.known], self.two[: self.known], self.size[: self.known] = one, two, size
+        self._put(np.flatnonzero(size))
+
+
 #: What a worker remembers of the words hashed with one key; another key starts anew.
 _KNOWN: dict[bytes, tuple[SpanTable, dict[bytes, int]]] = {}
 

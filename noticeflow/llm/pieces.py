@@ -8,6 +8,9 @@ marks that are in no special token, so special strings inside texts stay whole a
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 
 from noticeflow.llm import kernel as K
@@ -52,11 +55,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids or counts of whole texts, as tokenizers gives them for the file at `path`.
 
-    most: entries with which the cache starts anew in this worker (a bound of memory, not of results).
+    most: entries with which the cache drops its rarer half in this worker (a bound of memory, not of results).
     fold: the tokenizer lower-cases, so ASCII letters may be folded before the cache is asked.
     """
 
     def __init__(self, path: str, fold: bool = False, most: int = 200_000, keep_ids: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,44 +70,55 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.long: dict[bytes, int] = {}  # numbers of the pieces of more than K.SHORT bytes
-        self.table = K.SpanTable()  # and where some of them are found faster
+        self.numbers = K.SpanNumbers()
         self.sizes = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int64)
         self.store = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
-        known = len(self.index)
-        n = known + len(keys)
+    def _shrink(self) -> None:
+        """Keeps what came again and again, at most half of what the cache may hold; older finds count half."""
+        n = self.numbers.known
+        keep = np.argsort(-self.hits[:n], kind="stable")[: self.most // 2]
+        keep = keep[(self.hits[keep] > 1) & (np.cumsum(self.sizes[keep], dtype=np.int64) <= 4 * self.most)]
+        numbers, sizes, at, hits, store = self.numbers, self.sizes[keep], self.at[keep], self.hits[keep], self.store
+        self.clear()
+        numbers.keep(keep)
+        self.numbers = numbers
+        self._room(len(keep))
+        self.sizes[: len(keep)], self.hits[: len(keep)] = sizes, hits // 2
+        if self.keep_ids:
+            end = np.cumsum(sizes, dtype=np.int64)
+            self._ids_room(int(sizes.sum()))
+            self.store[: self.used] = store[np.repeat(at - end + sizes, sizes) + np.arange(self.used)]
+            self.at[: len(keep)] = end - sizes
+
+    def _room(self, n: int) -> None:
         if n > len(self.sizes):
-            self.sizes = np.resize(self.sizes, 2 * n)
-            self.at = np.resize(self.at, 2 * n)
-        for a in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)
+            self.sizes, self.at, self.hits = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)]) for x in (self.sizes, self.at, self.hits))
+
+    def _ids_room(self, n: int) -> int:
+        """Where n more ids go."""
+        at = self.used
+        self.used += n
+        if self.used > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(2 * self.used - len(self.store), np.uint32)])
+        return at
+
+    def _add(self, first: int, texts: list[str]) -> None:
+        """Encodes new pieces, numbered from `first`."""
+        self._room(first + len(texts))
+        for a in range(0, len(texts), 1024):
+            found = self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            here = slice(first + a, first + a + len(found))
+            self.sizes[here] = sizes
             if self.keep_ids:
-                lists = [e.ids for e in found]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-                if self.used + len(flat) > len(self.store):
-                    self.store = np.resize(self.store, 2 * (self.used + len(flat)))
-                self.store[self.used : self.used + len(flat)] = flat
-                self.at[known + a : known + a + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-                self.used += len(flat)
-            else:
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.sizes[known + a : known + a + len(sizes)] = sizes
-        for i, key in enumerate(keys):
-            self.index[key] = known + i
-
-    def _keys(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A number per piece: equal numbers are equal pieces, byte by byte. Short pieces are their own, long ones are counted."""
-        spans, number = K.Spans(data, starts, ends), self.long
-        out = spans.short_keys()
-        which, values = spans.values(self.table, lambda x: number.setdefault(x, len(number)))
-        out[which] = values | K.U64(255 << 56)
-        return out
+                n = int(sizes.sum())
+                at = self._ids_room(n)
+                self.store[at : at + n] = np.fromiter(chain.from_iterable([e.ids for e in found]), np.uint32, n)
+                self.at[here] = at + np.cumsum(sizes) - sizes
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece its place in the cache; for each row its first piece (and the end)."""
@@ -114,17 +129,15 @@ class PieceEncoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, np.int64), first
-        if len(self.index) >= self.most:
-            self.clear()
-        keys, where, back = np.unique(self._keys(data, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        get = self.index.get
-        places = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        if len(new := np.flatnonzero(places < 0)):
-            known, raw, w = len(self.index), data.tobytes(), where[new]
-            self._add([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
-            places[new] = np.arange(known, known + len(new))
-        return places[back.reshape(-1)], first
+        if self.numbers.known >= self.most or self.used >= 16 * self.most:
+            self._shrink()
+        known = self.numbers.known
+        places, new = self.numbers.of(data, starts, ends)
+        if len(new):
+            raw = data.tobytes()
+            self._add(known, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        self.hits[: self.numbers.known] += np.bincount(places, minlength=self.numbers.known)
+        return places, first
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         places, first = self.pieces(data, offsets)

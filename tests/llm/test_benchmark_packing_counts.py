@@ -92,6 +92,60 @@ def test_pieces_equal_the_library(name, fold):
     assert got == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_frequent_pieces_are_encoded_once():
+    import pyarrow as pa
+
+    from noticeflow.llm import kernel as K
+    from noticeflow.llm.pieces import PieceEncoder
+
+    own, sent = PieceEncoder(queries.tokenizer_file(queries.WORD_BPE), True, most=1000), defaultdict(int)
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **how):
+            for t in texts:
+                sent[t] += 1
+            return self.library.encode_batch_fast(texts, **how)
+
+    library, own.tokenizer = own.tokenizer, Counted(own.tokenizer)
+    often = ["often", "comes", "again", "internationalisation"]
+    texts = [" ".join([*often, *(f"rare{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n, n + 40)), *often]) for n in range(0, 8000, 40)]
+    got = []
+    for _, _, data, offsets in K.blocks(pa.array(texts), 2000):
+        flat, at = own.ids(data, offsets)
+        got += [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.numbers.known < 2000 < len(sent)  # the cache went over its bound several times
+    assert [sent[" " + w] for w in often] == [1, 1, 1, 1] and max(sent.values()) == 1
+
+
+def test_span_numbers_equal_a_dictionary():
+    from noticeflow.llm import kernel as K
+
+    rng = np.random.default_rng(3)
+    numbers, seen = K.SpanNumbers(), {}
+    for step in range(12):
+        cuts = np.unique(rng.integers(1, 30_000, 6000))
+        data = rng.choice(np.array([0, 1, 97, 255], np.uint8), 30_000, p=[0.1, 0.05, 0.8, 0.05])
+        starts, ends = np.append(0, cuts), np.append(cuts, len(data))
+        known = numbers.known
+        got, new = numbers.of(data, starts, ends)
+        spans = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+        assert got[new].tolist() == list(range(known, numbers.known))
+        for i in new:
+            assert spans[i] not in seen
+            seen[spans[i]] = got[i]
+        assert got.tolist() == [seen[x] for x in spans] and len(seen) == numbers.known
+        if step % 3 == 2:
+            keep = rng.permutation(numbers.known)[: numbers.known // 3]
+            numbers.keep(keep)
+            now = {int(old): i for i, old in enumerate(keep)}
+            seen = {x: now[n] for x, n in seen.items() if n in now}
+    assert max(map(len, seen)) > K.MIDDLE
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
