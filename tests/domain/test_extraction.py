@@ -1,6 +1,7 @@
 """Labelled claims and their validation, on notices of a town that doesn't exist. The registered queries have twins of their own."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,12 @@ def test_same_claims(spark):
     rows = [("estimated_amount", "7", "7.00", True), ("closes_at", "2031-05-06T07:00:00Z", "2031-05-06T16:00:00+09:00", True), ("regions", '["x", "y"]', '["y","x"]', True), ("title", "pier", "Pier", False), ("estimated_amount", "n", "n", True)]
     df = spark.createDataFrame(rows, "field string, a string, b string, want boolean")
     assert all(r[0] == r[1] for r in df.select(documents.same_claim(F.col("field"), F.col("a"), F.col("b")), "want").collect())
+
+
+def test_documents_are_dealt_once(spark):
+    """What is made of a page's text stays where its document is: neither claims nor quotes travel by keys of their own."""
+    p = spark.createDataFrame([(1, 1, "Title: a")], "doc_id long, page_number int, text string")
+    keys = lambda df: [re.sub(r"#\d+L?", "", k) for k in re.findall(r"hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())]
+    claims = extraction.extract_claims(p)
+    assert keys(claims) == ["doc_id"]
+    assert set(keys(extraction.validate_claims(claims, p))) == {"doc_id"}
