@@ -2,7 +2,8 @@
 
 import difflib
 import random
-from datetime import datetime
+import re
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -130,6 +131,55 @@ def test_links(spark):
     assert {tuple(r) for r in linking.timelines(links, edges.selectExpr("child AS node")).collect()} == {(i, 1, 4, True) for i in (1, 2, 3, 4)}
 
 
+LINKED = "id long, source_id long, record_id string, stage string, title string, buyer string, amount decimal(18,2), published_at timestamp_ntz, references array<struct<source_id: bigint, record_id: string, stage: string>>, identifiers array<struct<scheme: string, value: string>>"
+
+
+def seen(df, acc):
+    """df, and how many of its rows are computed (in an accumulator)."""
+
+    def count(batches):
+        for b in batches:
+            acc.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_fingerprints_without_pairs(spark):
+    """Matches are counted in their order: the ladder joins references alone, and titles are compared once per pair of titles."""
+    at, day = datetime(2026, 9, 1), timedelta(days=1)
+    node = lambda i, stage, when, title="Cloud migration services": (i, 1, str(i), stage, title, "Agency", Decimal(100), when, None, None)
+    rows = [node(1, "tender", at), node(2, "award", at + 30 * day + timedelta(microseconds=999_999)), node(3, "award", at - 30 * day - timedelta(seconds=1)), node(4, "contract", at + 60 * day, "Cloud migration service"), node(5, None, at - 90 * day), node(6, "award", at - 90 * day)]
+    df = spark.createDataFrame(rows, LINKED)
+    want = {1: "incompatible_stage", 2: 1, 3: "no_conservative_match", 4: 2, 5: "incompatible_stage", 6: "incompatible_stage"}
+    assert {r.child: r.parent or r.unresolved for r in linking.links(df).collect()} == want
+    assert {r.child: r.parent or r.unresolved for r in linking.links(df, fuzzy=False).collect()} == want | {4: "no_conservative_match"}
+    plan = lambda fuzzy: linking.links(df, fuzzy=fuzzy)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan(False))) == 1
+    assert re.search(r"ArrowEvalPython [^\n]*\n(?:[^\n]*\n){0,2}[^\n]*Aggregate \[", plan(True))
+
+
+def test_edges_are_computed_once(spark):
+    acc = spark.sparkContext.accumulator(0)
+    edges = seen(spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "child long, parent long"), acc)
+    assert linking.closure(edges).count() == 6 and acc.value == 3
+
+
+def test_outcome_watchers_read_each_table_once(spark):
+    from noticeflow.plans import queries
+
+    plan = queries.QUERIES["d24_outcome_watchers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[o_orderkey", plan)) == 2, "the ladder is computed again for each level of the closure"
+
+
+def test_decisions_are_computed_once(spark):
+    """The semantic step judges pairs where the decision is."""
+    acc = spark.sparkContext.accumulator(0)
+    rows = [(i, 1, str(i), stage, title, None, None, None, None, None) for i, stage, title in ((1, "tender", "a"), (2, "award", "a"), (3, "contract", "b"))]
+    nodes = spark.createDataFrame(rows, LINKED)
+    found = linking.semantic_links(nodes, seen(linking.links(nodes, fuzzy=False), acc), lambda a, b: F.when(a["title"] == b["title"], 1.0))
+    assert {r.child: r.parent for r in found.collect()} == {1: None, 2: 1, 3: None} and acc.value == 3
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", "b", 1), ("q", "a", 2)], "g string, id string, position int")
     relevance = spark.createDataFrame([("q", "a", 3), ("q", "c", 1)], "g string, id string, grade int")
